@@ -5,10 +5,11 @@
    form a class, and only one row of each class goes on.
 2. Every class is paired with the least class id of each band bucket it is in. The odd sketches' XOR population count
    estimates the similarity of a pair; each class is checked on full sets with its most similar one, and the links' components are found.
-3. Buckets that still hold more than one component are joined with themselves, but only pairs of different components whose odd sketches
-   may reach the threshold come out. These are checked on full sets too, and the components of all links are the result.
-   Pairs inside one component need no check, so a large group of copies costs about one check for each of its texts,
-   and no link that could join two components is left out.
+3. Buckets that still hold more than one component are gathered in clusters (texts connected by such buckets). Inside a cluster, blocks of texts
+   meet in pairs of blocks, one task each, where the odd sketches' XOR counts pick the pairs of different components that may reach the threshold, and
+   full sets confirm them. Only links that join components leave a task, never the pairs. A text is copied to at most 41 tasks, as
+   blocks grow with the cluster. The components of all links are the result.
+   Pairs inside one component need no check, and no link that could join two components is left out.
 
 At similarity 0.8 a pair shares no band with probability 5e-8. The sketch filter's margin is over six standard deviations. There is no cap
 on buckets or partners.
@@ -32,6 +33,8 @@ from .components import components
 
 BANDS, ROWS, SKETCH_BITS = 32, 4, 512
 SAMPLES = BANDS * ROWS
+#: Texts in a block of a small cluster, and blocks of a large one.
+BLOCK, MOST_BLOCKS = 256, 40
 #: Subtracted from the threshold before a sketch estimate can reject a pair: over six standard deviations of the estimate.
 MARGIN = 0.3
 _rng = np.random.default_rng(20240229)
@@ -128,6 +131,64 @@ def confirmed(df: DataFrame, pairs: DataFrame, percent: int, k: int, id_col: str
     return j.select("a", "b", both.alias("x"), (F.size("sa") + F.size("sb") - both).alias("u")).where(F.col("x") * 100 >= F.col("u") * percent).select("a", "b")
 
 
+def links_between_components(df: DataFrame, todo: DataFrame, percent: int, most: int, k: int, id_col: str, text_col: str) -> DataFrame:
+    """Confirmed links (a, b) that join components, from rows todo(id, component, cluster, sketch)."""
+    texts = semi_by_bloom(df.select(id_col, text_col), id_col, todo.select(F.col("id").alias(id_col)), todo.count())
+    sets = shingle_sets(texts, k, id_col, text_col).dropDuplicates(["id"])
+    sizes = todo.groupBy("cluster").agg(F.count(F.lit(1)).alias("m"))
+    blocks = F.ceil(F.col("m") / F.greatest(F.lit(BLOCK), F.ceil(F.col("m") / MOST_BLOCKS))).cast("int")
+    rows = join_groups(todo, sizes.select("cluster", blocks.alias("blocks")), ["cluster"], "id", 1).join(sets, "id")
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("cluster", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "id", "component", "sketch", "shingles")
+
+    def find(pdf):
+        import pandas as pd
+
+        return pd.DataFrame(block_links(pdf, percent, most), columns=["a", "b"]).astype("int64")
+
+    return rows.groupBy("cluster", "x", "y").applyInPandas(find, "a long, b long")
+
+
+def block_links(pdf, percent: int, most: int) -> list[tuple[int, int]]:
+    """Links between two blocks (or inside one) that join components, found row by row; united components aren't compared again."""
+    ids = pdf["id"].to_numpy()
+    _, comp = np.unique(pdf["component"].to_numpy(), return_inverse=True)
+    if comp.max() == 0:
+        return []
+    own, inside = pdf["own"].to_numpy(), bool((pdf["x"] == pdf["y"]).iloc[0])
+    sketch = np.stack(pdf["sketch"].to_list()).view(np.uint64)
+    sets = pdf["shingles"].to_list()
+    size = np.array([len(s) for s in sets])
+    _, code = np.unique(np.concatenate(sets), return_inverse=True)
+    start = np.concatenate([[0], np.cumsum(size)])
+    root = np.arange(comp.max() + 1)  # of each component, the united one it belongs to
+    held = np.zeros(code.max() + 1, bool)
+    first = pdf["x"].iloc[0]
+    left = np.flatnonzero(own == first)
+    right = left if inside else np.flatnonzero(own != first)
+    out = []
+    for i in left:
+        js = right[right > i] if inside else right
+        js = js[root[comp[js]] != root[comp[i]]]
+        if not len(js):
+            continue
+        js = js[np.bitwise_count(sketch[js] ^ sketch[i]).sum(axis=1) <= most]
+        # A pair's similarity is at most the ratio of the set sizes.
+        js = js[100 * np.minimum(size[js], size[i]) >= percent * np.maximum(size[js], size[i])]
+        mine = code[start[i] : start[i + 1]]
+        held[mine] = True
+        for j in js:
+            if root[comp[j]] == root[comp[i]]:
+                continue
+            both = int(held[code[start[j] : start[j + 1]]].sum())
+            if 100 * both >= percent * (size[i] + size[j] - both):
+                out.append((int(ids[i]), int(ids[j])))
+                root[root == root[comp[j]]] = root[comp[i]]
+        held[mine] = False
+    return out
+
+
 def near_duplicates(df: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of `df`: `id_col`, n_shingles, component_id (the smallest id reachable), kept."""
     most = most_differing_bits(percent / 100)
@@ -151,14 +212,13 @@ def near_duplicates(df: DataFrame, k: int = 5, percent: int = 80, id_col: str =
     links = materialise(confirmed(df, best.select("a", "b"), percent, k, id_col, text_col), "links")
     comp = components(links)
 
-    at = shared.select("band", "id").join(comp.select(F.col("node").alias("id"), "component"), "id", "left")
-    at = materialise(at.select("band", "id", F.coalesce("component", "id").alias("component")), "banded")
+    at = shared.select("band", "id", "hub").join(comp.select(F.col("node").alias("id"), "component"), "id", "left")
+    at = materialise(at.select("band", "id", "hub", F.coalesce("component", "id").alias("component")), "banded")
     mixed = at.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("band")
-    at = materialise(at.join(mixed, "band").join(sketches, "id"), "mixed-bands")
-    left, right = (at.select("band", *(F.col(c).alias(f"{c}_{s}") for c in ("id", "component", "sketch"))) for s in "ab")
-    apart = (F.col("component_a") < F.col("component_b")) & (differing_bits("sketch_a", "sketch_b") <= most)
-    pairs = left.join(right.hint("merge"), (left["band"] == right["band"]) & apart).select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
-    more = materialise(confirmed(df, materialise(pairs, "pairs"), percent, k, id_col, text_col), "links")
+    at = materialise(join_groups(at, mixed, ["band"], "id", 1), "mixed-bands")
+    clusters = components(at.select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct())
+    todo = at.select("id", "component").distinct().join(clusters.select(F.col("node").alias("id"), F.col("component").alias("cluster")), "id")
+    more = materialise(links_between_components(df, materialise(todo.join(sketches, "id"), "clustered"), percent, most, k, id_col, text_col), "links")
     comp = components(links.unionByName(more)) if more.limit(1).count() else comp
 
     out = members.join(comp.select(F.col("node").alias("rep"), "component"), "rep", "left")
