@@ -7,7 +7,9 @@
 2. Suffix order. One copy of each distinct run of such an anchor is dealt by anchor to buckets of about half a megabyte, and each bucket is sorted
    by the difference-cover algorithm (difference_cover.py): sort sampled triples, recurse on their names, merge the remaining suffixes. Windows that are
    neighbours in that order are compared over their `length` bytes.
-3. Hot anchors, whose distinct runs have over HOT_BYTES, don't go to one bucket: their windows are counted one by one by hash.
+3. Hot anchors, whose distinct runs have over HOT_BYTES, don't go to one bucket. Their runs are cut into blocks of windows with like offsets
+   to the anchor. A block whose core (the bytes that all its windows share) is unique repeats nothing, one that is equal to another as a whole repeats
+   in all its windows, and only the others are cut finer, down to single windows. Counts are grouped sums, so an anchor may have any share of the rows.
 4. The windows found are gathered per document, and only documents that have some are shuffled to meet them.
 
 Positions and counts are judged on the input. Matches never cross documents. Hashes of anchor and run are 64 bits each and must both agree.
@@ -32,6 +34,8 @@ GRAM = 24
 BLOCK = 1 << 18
 BUCKET_BYTES = 1 << 19
 HOT_BYTES = 1 << 16
+#: Windows in a block of a hot anchor's runs, from coarse to fine.
+WIDTHS = (24, 4, 1)
 
 _BYTE = mix64(np.arange(1, 257, dtype=np.uint64))
 _BASE = np.uint64(0xA0761D6478BD642F)
@@ -45,13 +49,18 @@ def _powers(base: np.uint64, n: int) -> np.ndarray:
 _POW = _powers(_BASE, 2 * BLOCK)
 
 
-def _runs_of_block(b: np.ndarray, length: int):
-    """(start, windows, anchor, run) arrays of one block of at least `length` bytes."""
-    h = _BYTE[b]
+def _grams(h: np.ndarray) -> np.ndarray:
+    """Hashes of all GRAM-byte strings, from the bytes' hashes."""
     x = h[:-1] * _POW[1] + h[1:]
     x = x[:-2] * _POW[2] + x[2:]
     e = x[:-4] * _POW[4] + x[4:]
-    g = mix64(e[:-16] * _POW[16] + e[8:-8] * _POW[8] + e[16:])
+    return mix64(e[:-16] * _POW[16] + e[8:-8] * _POW[8] + e[16:])
+
+
+def _runs_of_block(b: np.ndarray, length: int):
+    """(start, windows, anchor, run) arrays of one block of at least `length` bytes."""
+    h = _BYTE[b]
+    g = _grams(h)
     wide = length - GRAM + 1
     where = np.uint64(2 * BLOCK - 1)
     least = (g & ~where) | np.arange(len(g), dtype=np.uint64)  # ties: the leftmost
@@ -84,12 +93,35 @@ def runs(data: bytes, length: int):
     return tuple(np.concatenate(c) for c in zip(*out, strict=True))
 
 
-def window_keys(data: np.ndarray, length: int) -> np.ndarray:
-    """64-bit hashes of all windows of a short string."""
-    n = len(data)
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE[data] * _POW[:n], dtype=np.uint64)])
-    at = np.arange(n - length + 1)
-    return mix64((sums[at + length] - sums[at]) * _POW[n - at])
+def blocks_of_run(data: np.ndarray, n: int, length: int, widths: tuple[int, ...] = WIDTHS) -> list[dict]:
+    """A run's windows as nested blocks: of widths[0] windows, each cut into blocks of widths[1], and so on.
+
+    Blocks are aligned by the offset to the run's anchor, so equal windows of two runs lie in equal blocks. `full` is the hash of a
+    block's bytes, `core` that of the bytes which any window of such a block has; for single windows both are the window.
+    """
+    h = _BYTE[data]
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * _POW[: len(h)], dtype=np.uint64)])
+    hashed = lambda x, y: mix64((sums[y] - sums[x]) * _POW[2048 - x] + (y - x).astype(np.uint64) * _BASE2).view(np.int64).tolist()
+    anchor = int(np.argmin(_grams(h)))
+    out: list[dict] = []
+    parents = None
+    for w in widths:
+        block = (anchor - np.arange(n)) // w
+        first = np.concatenate([[0], np.flatnonzero(block[1:] != block[:-1]) + 1])
+        m = np.diff(np.append(first, n))
+        core = anchor - block[first] * w
+        rows = [
+            {"block": b, "at": a, "m": k, "full": f, "core": c, "finer": []}
+            for b, a, k, f, c in zip(block[first].tolist(), first.tolist(), m.tolist(), hashed(first, first + m - 1 + length), hashed(core, core - w + 1 + length), strict=True)
+        ]
+        if parents is None:
+            out = rows
+        else:
+            place = np.searchsorted(parents[1], first, side="right") - 1
+            for r, i in zip(rows, place.tolist(), strict=True):
+                parents[0][i]["finer"].append(r)
+        parents = (rows, first)
+    return out
 
 
 def _bytes(batch) -> list[bytes]:
@@ -158,21 +190,62 @@ def _by_suffix_order(strings: DataFrame, length: int) -> DataFrame:
     return strings.groupBy("bucket").applyInPandas(run, "doc long, a long, b long")
 
 
-def _window_rows(strings: DataFrame, length: int) -> DataFrame:
+def _block_type(levels: int):
+    """Arrow type and Spark type of a block with `levels` finer levels."""
+    import pyarrow as pa
+
+    kind, ddl = None, ""
+    for _ in range(levels + 1):
+        fields = [("block", pa.int32()), ("at", pa.int32()), ("m", pa.int32()), ("full", pa.int64()), ("core", pa.int64())]
+        names = "block:int,at:int,m:int,full:bigint,core:bigint"
+        if kind is not None:
+            fields.append(("finer", pa.list_(kind)))
+            names += f",finer:array<{ddl}>"
+        kind, ddl = pa.struct(fields), f"struct<{names}>"
+    return kind, ddl
+
+
+def _blocks(strings: DataFrame, length: int) -> DataFrame:
+    """(doc, s, anchor, c, b): the widest blocks of each run, with the finer ones inside."""
+    kind, ddl = _block_type(len(WIDTHS) - 1)
+
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for b in batches:
-            doc, s, anchor, c, data = (b.column(k).to_pylist() for k in range(5))
-            keys = [window_keys(np.frombuffer(d, np.uint8), length) for d in data]
-            for i in range(len(doc)):
-                m = len(keys[i])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(m, doc[i])), pa.array(s[i] + np.arange(m)), pa.array(np.full(m, anchor[i])), pa.array(np.full(m, c[i])), pa.array(keys[i].view(np.int64))],
-                    names=["doc", "a", "anchor", "c", "key"],
-                )
-
-    return strings.select("doc", "s", "anchor", "c", "data").mapInArrow(run, "doc long, a long, anchor long, c long, key long")
+            rows = [
+                (doc, s, anchor, c, block)
+                for doc, s, n, anchor, c, d in zip(*(x.to_pylist() for x in b.columns), strict=True)
+                for block in blocks_of_run(np.frombuffer(d, np.uint8), n, length)
+            ]
+            for i in range(0, len(rows), 10_000):
+                cols = zip(*rows[i : i + 10_000], strict=True)
+                kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), kind]
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(cols, kinds, strict=True)], names=["doc", "s", "anchor", "c", "b"])
+
+    return strings.select("doc", "s", "n", "anchor", "c", "data").mapInArrow(run, f"doc long, s int, anchor long, c long, b {ddl}")
+
+
+def _by_blocks(strings: DataFrame, length: int) -> DataFrame:
+    """(doc, a, b): repeated windows of the runs of hot anchors that occur once."""
+    rows, found = materialise(_blocks(strings, length), "blocks"), None
+    for level in range(len(WIDTHS)):
+        flat = rows.select("doc", "s", "anchor", "c", "b.*")
+        cores = flat.groupBy("anchor", "block", "core").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("anchor", "block", "core")
+        shared = join_groups(flat, cores, ["anchor", "block", "core"], "doc", 1)
+        wholes = shared.groupBy("anchor", "block", "full").agg(F.count(F.lit(1)).alias("k"))
+        judged = materialise(join_groups(shared, wholes, ["anchor", "block", "full"], "doc", 1), "blocks")
+        start = (F.col("s") + F.col("at")).cast("bigint")
+        done = judged.where("k > 1 and c = 1").select("doc", start.alias("a"), (start + F.col("m")).alias("b"))
+        found = done if found is None else found.unionByName(done)
+        if level + 1 < len(WIDTHS):
+            single = judged.where("k = 1")
+            # One of each set of equal blocks goes on as a partner of the differing blocks that share its core.
+            still = single.select("anchor", "block", "core").distinct()
+            partner = judged.where("k > 1").dropDuplicates(["anchor", "block", "full"]).withColumn("c", F.lit(2).cast("bigint"))
+            partner = join_groups(partner, still, ["anchor", "block", "core"], "doc", 1)
+            rows = single.unionByName(partner).select("doc", "s", "anchor", "c", F.explode("finer").alias("b"))
+    return found
 
 
 def repeated_ranges(df: DataFrame, length: int = 200, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -200,9 +273,7 @@ def repeated_ranges(df: DataFrame, length: int = 200, id_col: str = "doc_id", te
     strings = materialise(_strings(fetched, length), "strings")
 
     sorted_ = _by_suffix_order(strings.where("not hot").select("bucket", "doc", "s", "n", "c", "data"), length)
-    windows = materialise(_window_rows(strings.where("hot"), length), "hot-windows")
-    again = windows.groupBy("anchor", "key").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("anchor", "key")
-    hot = join_groups(windows.where("c = 1"), again, ["anchor", "key"], "doc", 1).select("doc", "a", (F.col("a") + 1).alias("b"))
+    hot = _by_blocks(strings.where("hot"), length)
     return easy.unionByName(easy2).unionByName(sorted_).unionByName(hot)
 
 
