@@ -2,10 +2,33 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+_QUERIES: dict[str, Callable] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable:
+    """Register a function (spark, sf_dir) -> DataFrame under its name, with the SQL that gives the same rows."""
+
+    def add(f: Callable) -> Callable:
+        _QUERIES[f.__name__] = f
+        if sql is not None:
+            _SQL[f.__name__] = sql.strip()
+        return f
+
+    return add
+
+
+def _load() -> None:
+    from . import assembly, graph, loading, search, streams  # noqa: F401
+
+
+def queries() -> dict[str, Callable]:
+    _load()
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    _load()
+    return dict(_SQL)
