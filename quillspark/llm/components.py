@@ -1,4 +1,4 @@
-"""Connected components of an edge table by label passing with pointer jumping."""
+"""Connected components of an edge table by contraction."""
 
 from __future__ import annotations
 
@@ -11,22 +11,21 @@ from .common import materialise
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) for all nodes of `edges(a, b)`; component is the smallest node reachable.
 
-    Each round takes the least label of a node and its neighbours (a partial aggregate, so a hub may have any number of
-    neighbours), then the label's own label. Rounds grow with the logarithm of the longest path in practice; each is
-    written to the shared folder, and the last one changes nothing.
+    In each round every node hooks to its least smaller neighbour (a partial aggregate, so a hub may have any number of neighbours), chains of hooks are
+    shortened by pointer jumping, and the edges are renamed to the roots. Edges inside a root vanish and equal ones merge, so the table shrinks
+    quickly; the rounds end when no edge is left. Edges and hooks are written to the shared folder in each round.
     """
-    both = materialise(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    labels = materialise(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("component")), "labels")
-    while True:
-        of_b = labels.select(F.col("node").alias("b"), F.col("component").alias("n"))
-        near = both.join(of_b, "b").select(F.col("a").alias("node"), "n")
-        own = labels.select("node", F.col("component").alias("n"))
-        least = near.unionByName(own).groupBy("node").agg(F.min("n").alias("n"))
-        least = materialise(least, "least")
-        jump = least.select(F.col("node").alias("n"), F.col("n").alias("nn"))
-        new = least.join(jump, "n", "left").select("node", F.least("n", F.coalesce("nn", "n")).alias("component"))
-        new = materialise(new, "labels")
-        moved = new.join(labels.withColumnRenamed("component", "was"), "node").where("component <> was").limit(1).count()
-        labels = new
-        if not moved:
-            return labels
+    pair = lambda a, b: (F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
+    e = materialise(edges.where("a <> b").select(*pair("a", "b")).distinct(), "edges")
+    labels = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("component", F.col("node"))
+    while not e.isEmpty():
+        hooks = materialise(e.groupBy(F.col("b").alias("low")).agg(F.min("a").alias("root")), "hooks")
+        for _ in range(2):
+            upper = hooks.select(F.col("low").alias("root"), F.col("root").alias("above"))
+            hooks = hooks.join(upper, "root", "left").select("low", F.coalesce("above", "root").alias("root"))
+        hooks = materialise(hooks, "hooks")
+        of_a, of_b = (hooks.select(F.col("low").alias(c), F.col("root").alias(f"r{c}")) for c in "ab")
+        renamed = e.join(of_a, "a", "left").join(of_b, "b").select(F.coalesce("ra", "a").alias("a"), F.col("rb").alias("b"))
+        e = materialise(renamed.where("a <> b").select(*pair("a", "b")).distinct(), "edges")
+        labels = labels.join(hooks.select(F.col("low").alias("component"), "root"), "component", "left").select("node", F.coalesce("root", "component").alias("component"))
+    return materialise(labels, "components")
