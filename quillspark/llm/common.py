@@ -59,19 +59,19 @@ def bloom_mask(key_hash: Column) -> Column:
 
 
 def bloom_filter(keys: DataFrame, key_hash: Column, words: int) -> DataFrame:
-    """A blocked Bloom filter as a table (bf_word, bf_bits) of at most `words` rows."""
+    """A blocked Bloom filter as a table (__bf_word, __bf_bits) of at most `words` rows."""
     return (
-        keys.select(bloom_word(key_hash, words).alias("bf_word"), bloom_mask(key_hash).alias("m"))
-        .groupBy("bf_word")
-        .agg(F.bit_or("m").alias("bf_bits"))
+        keys.select(bloom_word(key_hash, words).alias("__bf_word"), bloom_mask(key_hash).alias("m"))
+        .groupBy("__bf_word")
+        .agg(F.bit_or("m").alias("__bf_bits"))
     )
 
 
 def maybe_in(df: DataFrame, key_hash: Column, filt: DataFrame, words: int, flag: str) -> DataFrame:
     """Add boolean `flag`: false means the key is surely not in `filt`. The filter has at most MAX_BLOOM_WORDS rows."""
-    probe = df.withColumns({"bf_word": bloom_word(key_hash, words), "_bf_mask": bloom_mask(key_hash)})
-    hit = F.coalesce(F.col("bf_bits").bitwiseAND(F.col("_bf_mask")) == F.col("_bf_mask"), F.lit(False))
-    return probe.join(F.broadcast(filt), "bf_word", "left").withColumn(flag, hit).drop("bf_word", "_bf_mask", "bf_bits")
+    probe = df.withColumns({"__bf_word": bloom_word(key_hash, words), "__bf_mask": bloom_mask(key_hash)})
+    hit = F.coalesce(F.col("__bf_bits").bitwiseAND(F.col("__bf_mask")) == F.col("__bf_mask"), F.lit(False))
+    return probe.join(F.broadcast(filt), "__bf_word", "left").withColumn(flag, hit).drop("__bf_word", "__bf_mask", "__bf_bits")
 
 
 def semi_by_bloom(df: DataFrame, key: str, wanted: DataFrame, n_wanted: int) -> DataFrame:
@@ -79,16 +79,16 @@ def semi_by_bloom(df: DataFrame, key: str, wanted: DataFrame, n_wanted: int) ->
     words = bloom_words(n_wanted)
     h = F.xxhash64(F.col(key).cast("bigint"))
     filt = bloom_filter(wanted, h, words)
-    return maybe_in(df, h, filt, words, "_bf_hit").where("_bf_hit").drop("_bf_hit")
+    return maybe_in(df, h, filt, words, "__bf_hit").where("__bf_hit").drop("__bf_hit")
 
 
 def anti_by_bloom(df: DataFrame, key: str, lost: DataFrame, n_lost: int) -> DataFrame:
     """Rows of `df` whose `key` isn't in `lost[key]`: only rows that may be in it are shuffled, the rest pass straight through."""
     words = bloom_words(n_lost)
     h = F.xxhash64(F.col(key).cast("bigint"))
-    flagged = maybe_in(df, h, bloom_filter(lost, h, words), words, "_bf_hit")
-    tested = flagged.where("_bf_hit").join(lost.select(key).distinct(), key, "left_anti")
-    return flagged.where("not _bf_hit").unionByName(tested).select(*df.columns)
+    flagged = maybe_in(df, h, bloom_filter(lost, h, words), words, "__bf_hit")
+    tested = flagged.where("__bf_hit").join(lost.select(key).distinct(), key, "left_anti")
+    return flagged.where("not __bf_hit").unionByName(tested).select(*df.columns)
 
 
 def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], by: str, salts: int = 16) -> DataFrame:

@@ -292,13 +292,13 @@ def kept_bytes(data: bytes, ranges, length: int) -> tuple[bytes, int, int]:
 
 def with_ranges(df: DataFrame, ranges: DataFrame, id_col: str, columns: list[str]) -> DataFrame:
     """`columns` of df with `ranges`, null where there is none; documents without ranges aren't shuffled."""
-    per_doc = materialise(ranges.groupBy(F.col("doc").alias(id_col)).agg(F.collect_list(F.struct("a", "b")).alias("ranges")), "ranges")
+    per_doc = materialise(ranges.groupBy(F.col("doc").alias(id_col)).agg(F.collect_list(F.struct("a", "b")).alias("__ranges")), "__ranges")
     words = bloom_words(per_doc.count())
     h = F.xxhash64(F.col(id_col).cast("bigint"))
-    marked = maybe_in(df.select(*columns), h, bloom_filter(per_doc.select(id_col), h, words), words, "_hit")
+    marked = maybe_in(df.select(*columns), h, bloom_filter(per_doc.select(id_col), h, words), words, "__hit")
     none = F.lit(None).cast("array<struct<a:bigint,b:bigint>>")
-    rest = marked.where("_hit").join(per_doc.hint("merge"), id_col, "left").select(*columns, "ranges")
-    return marked.where("not _hit").select(*columns, none.alias("ranges")).unionByName(rest)
+    rest = marked.where("__hit").join(per_doc.hint("merge"), id_col, "left").select(*columns, "__ranges")
+    return marked.where("not __hit").select(*columns, none.alias("__ranges")).unionByName(rest)
 
 
 def passage_digests(df: DataFrame, length: int = 200, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -333,4 +333,4 @@ def drop_repeated_passages(df: DataFrame, length: int = 200, id_col: str = "doc_
         return pd.Series([left(t, r) for t, r in zip(text, ranges, strict=True)], dtype=object)
 
     both = with_ranges(df, repeated_ranges(df, length, id_col, text_col), id_col, df.columns)
-    return both.withColumn(text_col, cut(F.col(text_col), F.col("ranges"))).select(*df.columns)
+    return both.withColumn(text_col, cut(F.col(text_col), F.col("__ranges"))).select(*df.columns)

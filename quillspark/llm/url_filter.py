@@ -37,11 +37,10 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
-    at = F.instr(url, "://")
-    rest = F.when(at > 0, F.expr("substring({}, instr({}, '://') + 3)".format(*["`_url`"] * 2))).otherwise(F.lit(""))
-    rest = F.coalesce(rest, F.lit(""))
-    host = F.translate(F.regexp_extract(rest, r"^([^/?#]*)", 1), UPPER, LOWER)
-    path = F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1)
+    """(host, path) of a URL column; both '' for null or without `://`."""
+    rest = F.coalesce(F.regexp_extract(url, r"(?s)^.*?://(.*)$", 1), F.lit(""))
+    host = F.translate(F.regexp_extract(rest, r"(?s)^([^/?#]*)", 1), UPPER, LOWER)
+    path = F.regexp_extract(rest, r"(?s)^[^/?#]*([^?#]*)", 1)
     return host, path
 
 
@@ -81,8 +80,8 @@ def template_verdicts(pages: DataFrame) -> DataFrame:
     t = materialise(t, "templates")
     b = t.groupBy("host", "branch").agg(F.sum("n").alias("bn"), F.sum("k").alias("bk"))
     h = t.groupBy("host").agg(F.sum("n").alias("hn"), F.sum("k").alias("hk"))
-    g = t.agg(F.coalesce(F.sum("k") / F.nullif(F.sum("n"), F.lit(0)), F.lit(0.0)).alias("rate"))
-    j = t.join(b, ["host", "branch"]).join(h, "host").join(F.broadcast(g))
+    rate = t.agg(F.coalesce(F.sum("k") / F.nullif(F.sum("n"), F.lit(0)), F.lit(0.0))).first()[0]  # one number
+    j = t.join(b, ["host", "branch"]).join(h, "host").withColumn("rate", F.lit(float(rate)))
     smooth = lambda k, n, parent: (F.col(k) + PRIOR * F.col(parent)) / (F.col(n) + PRIOR)
     j = j.withColumn("h_share", smooth("hk", "hn", "rate")).withColumn("b_share", smooth("bk", "bn", "h_share"))
     error = F.sqrt(F.col("b_share") * (1 - F.col("b_share")) / F.greatest(F.col("n"), F.lit(1)))
@@ -91,13 +90,30 @@ def template_verdicts(pages: DataFrame) -> DataFrame:
     return j.select("host", "template", "pages", merged.alias("merged"), share.alias("bad_share"))
 
 
-def judge_urls(pages: DataFrame, labels: DataFrame, id_col: str = "page_id", url_col: str = "url", label_id: str = "doc_id", label_col: str = "quality", rules=RULES) -> DataFrame:
-    """One row per row of `pages`: `id_col`, host, path, rule, verdict, template, bad_share. Label 0 is bad."""
+def named_document(path: Column) -> Column:
+    """The document that a page shows, where its path ends in that document's number, else null."""
+    return F.regexp_extract(path, r"([0-9]+)[^0-9/]*/?$", 1).try_cast("bigint")
+
+
+def judge_urls(
+    pages: DataFrame,
+    labels: DataFrame,
+    id_col: str = "page_id",
+    url_col: str = "url",
+    label_id: str = "doc_id",
+    label_col: str = "quality",
+    rules=RULES,
+    document=named_document,
+) -> DataFrame:
+    """One row per row of `pages`: `id_col`, host, path, rule, verdict, template, bad_share. Label 0 is bad.
+
+    `document` gives the labelled id of a page from its path column.
+    """
     p = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("_url"))
     host, path = host_and_path(F.col("_url"))
-    p = p.select("id", host.alias("host"), path.alias("path"))
-    marks = labels.where(F.col(label_col).isNotNull()).groupBy(F.col(label_id).alias("id")).agg(F.max((F.col(label_col) == 0).cast("int")).alias("bad"))
-    p = materialise(with_templates(p).join(marks, "id", "left").select("id", "host", "path", "template", "branch", "bad"), "urls")
+    p = p.select("id", host.alias("host"), path.alias("path")).withColumn("doc", document(F.col("path")))
+    marks = labels.where(F.col(label_col).isNotNull()).groupBy(F.col(label_id).alias("doc")).agg(F.max((F.col(label_col) == 0).cast("int")).alias("bad"))
+    p = materialise(with_templates(p).join(marks, "doc", "left").select("id", "host", "path", "template", "branch", "bad"), "urls")
     judged = join_groups(p, template_verdicts(p), ["host", "template"], "id", 1)
     text, verdict = rule_for(F.col("host"), F.col("path"), rules)
     own = F.when(F.col("bad_share") >= LIMIT, F.lit("block")).otherwise(F.lit("allow"))

@@ -35,9 +35,9 @@ def invented_docs():
 
 @pytest.fixture(scope="session")
 def docs(spark, invented_docs):
-    rows = [(i, t, "en" if i % 2 else None, f"src{i % 3}", 0, "x") for i, t in invented_docs]
+    rows = [(i, t, "en" if i % 2 else None, f"src{i % 3}", 0, "x", "y", 5, "z") for i, t in invented_docs]
     # Extra columns with names that the operators use inside.
-    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, bf_word string").repartition(3)
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, bf_word string, ranges string, keep_id long, score string").repartition(3)
 
 
 @pytest.fixture(scope="session")

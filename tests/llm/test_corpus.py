@@ -279,3 +279,17 @@ def test_repeated_rows(spark, invented_docs):
     assert sorted((r.doc_id, r.n_removed) for r in suffix_dedup.passage_digests(df).collect()) == [(1, len(t)), (1, len(t)), (2, 0)]
     assert sorted((r.doc_id, r.group_size) for r in exact_dedup.groups_of_equal_text(df).collect()) == [(1, 2), (1, 2), (2, 1)]
     assert sorted((r.doc_id, r.component_id) for r in near_dedup.near_duplicates(df).collect()) == [(1, 1), (1, 1), (2, 2)]
+
+
+def test_components(spark):
+    from quillspark.llm.components import components
+
+    rng = random.Random(8)
+    edges = [(i, i + 1) for i in range(100, 160)] + [(7, 7)] + [(rng.randrange(1000, 1200), rng.randrange(1000, 1200)) for _ in range(120)] + [(500, 300), (500, 400)]
+    root = {x: x for e in edges for x in e}
+    for _ in range(200):
+        for a, b in edges:
+            root[a] = root[b] = min(root[a], root[b])
+    got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == root
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
