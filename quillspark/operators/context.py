@@ -36,9 +36,9 @@ def section_title(cap: Column, section: Column, title: Column) -> Column:
     return F.concat(F.lit("Cap "), cap.cast("string"), F.lit(", s"), section.cast("string"), F.lit(": "), F.coalesce(title, F.lit("")))
 
 
-def source_rows(pages: DataFrame, judgments: DataFrame, sections: DataFrame, judgment_base: str = "") -> DataFrame:
-    """Uniform (request, source_id, title, url) of the three kinds of hits."""
-    p = pages.select("request", joined(F.lit("clic"), F.col("nid"), F.col("chunk_no"), sep="-").alias("source_id"), "title", "url")
+def source_rows(pages: DataFrame, judgments: DataFrame, sections: DataFrame, judgment_base: str = "", page_kind: str = "page") -> DataFrame:
+    """Uniform (request, source_id, title, url) of the three kinds of hits; `page_kind` is the first part of page ids."""
+    p = pages.select("request", joined(F.lit(page_kind), F.col("nid"), F.col("chunk_no"), sep="-").alias("source_id"), "title", "url")
     j = judgments.select("request", joined(F.lit("judgment"), F.col("id"), sep="-").alias("source_id"), "title", F.concat(F.lit(judgment_base), F.col("url")).alias("url"))
     s = sections.select(
         "request",

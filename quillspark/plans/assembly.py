@@ -31,7 +31,7 @@ def request_status(spark, sf_dir):
 
 
 @query("""
-SELECT doc_id % 7 AS request, 'clic-' || doc_id || '-0' AS source_id, lang AS title, source AS url FROM documents
+SELECT doc_id % 7 AS request, 'page-' || doc_id || '-0' AS source_id, lang AS title, source AS url FROM documents
 UNION ALL SELECT c_custkey % 7, 'judgment-' || c_custkey, c_name, 'https://j/' || c_mktsegment FROM customer
 UNION ALL SELECT l_orderkey % 7, 'cap-' || l_partkey || '-' || l_linenumber || '-' || CASE WHEN l_returnflag = 'N' THEN 'none' ELSE l_returnflag END,
                  'Cap ' || l_partkey || ', s' || l_linenumber || ': ' || l_linestatus, 'u' FROM lineitem
@@ -48,11 +48,11 @@ def source_ids(spark, sf_dir):
 
 @query("""
 SELECT split_part(id, '-', 1) AS kind, count(*) AS n_sources, string_agg(DISTINCT id, ',' ORDER BY id) AS ids FROM (
-  SELECT 'clic-' || source AS id FROM documents UNION ALL SELECT 'judgment-' || n_name FROM nation UNION ALL SELECT 'cap-' || l_returnflag FROM lineitem) GROUP BY 1
+  SELECT 'page-' || source AS id FROM documents UNION ALL SELECT 'judgment-' || n_name FROM nation UNION ALL SELECT 'cap-' || l_returnflag FROM lineitem) GROUP BY 1
 """)
 def source_groups(spark, sf_dir):
     rows = None
-    for kind, name, column in (("clic-", "documents", "source"), ("judgment-", "nation", "n_name"), ("cap-", "lineitem", "l_returnflag")):
+    for kind, name, column in (("page-", "documents", "source"), ("judgment-", "nation", "n_name"), ("cap-", "lineitem", "l_returnflag")):
         part = table(spark, sf_dir, name).select(F.concat(F.lit(kind), column).alias("source_id"))
         rows = part if rows is None else rows.unionByName(part)
     return context.group_sources(rows).withColumn("ids", F.array_join("ids", ","))

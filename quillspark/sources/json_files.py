@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 REF = "STRUCT<type:STRING, cap:STRING, section:STRING, subsection:STRING>"
+#: The array of page references; files that call it otherwise are read with `pages_schema`.
+PAGE_REF = "page_ref"
 PAGES = (
     "nid INT, type STRING, is_complete BOOLEAN, title STRING, path STRING, url STRING, topic_value STRING, content STRING, is_noisy BOOLEAN, "
     "topic_key STRING, is_question BOOLEAN, context STRING, parsed_content STRING, cases_ref ARRAY<STRUCT<court:STRING, year:STRING, no:STRING>>, "
-    "legislation_ref ARRAY<STRUCT<type:STRING, no:STRING, section:STRING>>, clic_ref ARRAY<STRUCT<nid:INT, path:STRING>>, n_tokens INT"
+    "legislation_ref ARRAY<STRUCT<type:STRING, no:STRING, section:STRING>>, page_ref ARRAY<STRUCT<nid:INT, path:STRING>>, n_tokens INT"
 )
 CAPS = (
     "cap_no STRING, cap_type STRING, identifier STRING, language STRING, total_token_count INT, title STRING, long_title STRING, url STRING, eleg_url STRING, "
@@ -25,6 +27,11 @@ CAPS = (
 SUMMARIES = "citation STRING, summary STRING"
 
 
+def pages_schema(page_ref: str = PAGE_REF) -> str:
+    """The page schema with the name that a file gives its page references."""
+    return PAGES.replace(f"{PAGE_REF} ARRAY", f"{page_ref} ARRAY")
+
+
 def read_json_array(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """One file holding a JSON array of rows."""
     return spark.read.schema(schema).option("multiLine", True).json(path)
