@@ -81,11 +81,11 @@ class Element:
 
 
 def read_page(html: str):
-    """(blocks, subtrees): blocks (text, kind, owners) in page order, subtrees (hash, survives)."""
+    """(blocks, subtrees, places): blocks (text, kind, owners) in page order, subtrees (hash, survives), which of article and main there are."""
     import xxhash
 
     root = Element("", False, False, False)
-    stack, blocks, subtrees = [root], [], []
+    stack, blocks, subtrees, places = [root], [], [], set()
     buffer: list[str] = []
 
     def flush() -> None:
@@ -171,8 +171,9 @@ def read_page(html: str):
         inside = up.inside
         if tag == "article" and not dropped:
             inside = "article"
-        elif tag == "main" and not inside:
+        elif tag == "main" and not inside and not dropped:
             inside = "main"
+        places.add(inside)
         if header and not dropped and tag in HEADING:
             header = False
         e = Element(tag, dropped or (header and tag not in ("header", "hgroup", "div", "section")), inside, header)
@@ -181,15 +182,14 @@ def read_page(html: str):
     flush()
     while len(stack) > 1:
         close()
-    return blocks, subtrees
+    return blocks, subtrees, places
 
 
 def main_text(html: str, templates=frozenset()) -> str:
     """The page's main text without the subtrees whose hashes are in `templates`."""
-    blocks, _ = read_page(html)
-    kinds = {b[1] for b in blocks}
-    wanted = (2,) if 2 in kinds or "<article" in html.lower() else (1,) if 1 in kinds else (3,)
-    return "\n".join(b[0] for b in blocks if b[1] in wanted and (not templates or templates.isdisjoint(b[2])))
+    blocks, _, places = read_page(html)
+    wanted = 2 if "article" in places else 1 if "main" in places else 3
+    return "\n".join(b[0] for b in blocks if b[1] == wanted and (not templates or templates.isdisjoint(b[2])))
 
 
 def page_subtrees(pages: DataFrame) -> DataFrame:
