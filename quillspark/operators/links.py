@@ -149,9 +149,9 @@ def attach_vectors(chunks: DataFrame, vectors: DataFrame, key: str) -> DataFrame
 
 
 def link_cases(pages: DataFrame, judgments: DataFrame, key: str = "nid") -> DataFrame:
-    """Distinct page -> judgment edges from cases_ref(court, year, no), matched by court, year and number."""
+    """Distinct page -> judgment edges from cases_ref(court, year, no), matched by court, year and number; what is no number matches nothing."""
     r = pages.select(key, F.explode("cases_ref").alias("r"))
-    r = r.select(key, F.col("r.court").alias("court"), F.col("r.year").cast("int").alias("year"), F.col("r.no").cast("int").alias("number"))
+    r = r.select(key, F.col("r.court").alias("court"), F.col("r.year").try_cast("int").alias("year"), F.col("r.no").try_cast("int").alias("number"))
     j = judgments.select(F.col("courtName").alias("court"), F.col("year").cast("int").alias("year"), F.col("number").cast("int").alias("number"), F.col("id").alias("judgment_id"))
     return r.join(j, ["court", "year", "number"]).select(key, "judgment_id").distinct()
 

@@ -37,8 +37,8 @@ def caps(spark, tmp_path):
 
 
 def test_json_dir_keeps_good_files(caps):
-    assert caps.where("_corrupt_record is not null").count() == 1
-    assert caps.where("cap_no = '1'").count() == 1
+    got = rows(caps.select("cap_no", F.col("_corrupt_record").isNotNull()))
+    assert got == [("1", False), (None, True)]
 
 
 def test_json_sources(spark, tmp_path):
@@ -89,7 +89,7 @@ def test_cascade_stops_at_first_hit(spark):
     r = spark.createDataFrame([(1, ["a/1", "n1", "p1"]), (2, ["a/2", "p1"]), (3, ["zz"])], "row_id int, items array<string>")
     cases = spark.createDataFrame([("a/1", []), ("a/2", [20, 21])], "act string, judgment_ids array<int>")
     j, p = spark.createDataFrame([(5, "n1")], "id int, citation string"), spark.createDataFrame([("p1", 7)], "citation string, judgment_id int")
-    assert rows(links.cascade_match(r, cases, j, p)) == [(5,), (20,), (21,)]
+    assert set(rows(links.cascade_match(r, cases, j, p))) == {(5,), (20,), (21,)}
 
 
 def test_update_last_wins_on_all_rows(spark):
