@@ -61,11 +61,17 @@ def search_text(queries: DataFrame, docs: DataFrame, top: int | None, mode: str
     return scored if top is None else rank_top(scored, top, query, "score", doc)
 
 
-def unit(v: Column) -> Column:
-    """A vector of length one, in doubles; a zero vector stays zero."""
-    d = F.transform(v, lambda x: x.cast("double"))
-    norm = F.sqrt(F.aggregate(d, F.lit(0.0), lambda a, x: a + x * x))
-    return F.transform(d, lambda x: F.when(norm > 0, x / norm).otherwise(F.lit(0.0)))
+def doubles(v: Column) -> Column:
+    return F.transform(v, lambda x: x.cast("double"))
+
+
+def norm(v: Column) -> Column:
+    return F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
+
+
+def cosine(a: Column, b: Column, norm_a: Column, norm_b: Column) -> Column:
+    """To 6 places; 0 for a zero vector. Norms are given, so that none is computed anew for each pair."""
+    return F.round(F.when(norm_a * norm_b > 0, dot(a, b) / (norm_a * norm_b)).otherwise(F.lit(0.0)), 6)
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -78,11 +84,11 @@ def search_vector(queries: DataFrame, corpus: DataFrame, top: int, query: str =
     The stated queries are packed in blocks of about `block`; each corpus row meets each block once, and all but the k best of each
     partition are dropped before the shuffle.
     """
-    q = queries.select(query, unit(F.col(q_vec)).alias("u"))
+    q = queries.select(query, doubles(F.col(q_vec)).alias("u"), norm(F.col(q_vec)).alias("nu"))
     n = max(1, -(-queries.count() // block))
-    blocks = q.groupBy(F.pmod(F.xxhash64(query), F.lit(n)).cast("int").alias("block")).agg(F.collect_list(F.struct(F.col(query), "u")).alias("qs"))
-    c = corpus.select(F.col(doc), unit(F.col(vec)).alias("v"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("block"))
-    scored = c.join(blocks, "block").select(doc, F.explode(F.transform("qs", lambda s: F.struct(s[query].alias(query), F.round(dot(s["u"], F.col("v")), 6).alias("score")))).alias("h"))
+    blocks = q.groupBy(F.pmod(F.xxhash64(query), F.lit(n)).cast("int").alias("block")).agg(F.collect_list(F.struct(F.col(query), "u", "nu")).alias("qs"))
+    c = corpus.select(F.col(doc), doubles(F.col(vec)).alias("v"), norm(F.col(vec)).alias("nv"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("block"))
+    scored = c.join(blocks, "block").select(doc, F.explode(F.transform("qs", lambda s: F.struct(s[query].alias(query), cosine(s["u"], F.col("v"), s["nu"], F.col("nv")).alias("score")))).alias("h"))
     return rank_top(scored.select(f"h.{query}", doc, "h.score"), top, query, "score", doc)
 
 
@@ -101,10 +107,10 @@ def search_vector_lsh(queries: DataFrame, corpus: DataFrame, top: int, query: st
         side = lambda acc, p: acc * 2 + F.when(dot(v, p) > 0, F.lit(1)).otherwise(F.lit(0))
         return F.explode(F.transform(constant, lambda rows, t: t * (1 << bits) + F.aggregate(rows, F.lit(0), side)))
 
-    q = queries.select(query, unit(F.col(q_vec)).alias("u"))
-    c = corpus.select(doc, unit(F.col(vec)).alias("v"))
+    q = queries.select(query, doubles(F.col(q_vec)).alias("u"), norm(F.col(q_vec)).alias("nu"))
+    c = corpus.select(doc, doubles(F.col(vec)).alias("v"), norm(F.col(vec)).alias("nv"))
     pairs = q.select(query, buckets(F.col("u")).alias("k")).join(c.select(doc, buckets(F.col("v")).alias("k")), "k").select(query, doc).distinct()
-    scored = pairs.join(q, query).join(c, doc).select(query, doc, F.round(dot(F.col("u"), F.col("v")), 6).alias("score"))
+    scored = pairs.join(q, query).join(c, doc).select(query, doc, cosine(F.col("u"), F.col("v"), F.col("nu"), F.col("nv")).alias("score"))
     return rank_top(scored, top, query, "score", doc)
 
 
