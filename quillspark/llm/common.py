@@ -113,6 +113,13 @@ def mix64(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> _S32)
 
 
+def pieces(batches, rows: int = 512):
+    """Arrow batches in slices of at most `rows`, so that a task's Python copies of texts stay small."""
+    for b in batches:
+        for i in range(0, b.num_rows, rows):
+            yield b.slice(i, rows)
+
+
 def texts_of(batch) -> list[str]:
     """The second column of an Arrow batch as strings, null as empty."""
     return [t if t is not None else "" for t in batch.column(1).to_pylist()]
@@ -121,7 +128,7 @@ def texts_of(batch) -> list[str]:
 class WordHashes(dict):
     """Word (bytes) -> 64-bit hash, remembered up to `limit` words."""
 
-    limit = 500_000
+    limit = 100_000
 
     def __missing__(self, word: bytes) -> int:
         import xxhash

@@ -22,7 +22,7 @@ from html import unescape
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bloom_filter, bloom_words, materialise, maybe_in
+from .common import bloom_filter, bloom_words, materialise, maybe_in, pieces
 from .url_filter import host_and_path
 
 MIN_PAGES, SHARE = 10, 0.3
@@ -198,7 +198,7 @@ def page_subtrees(pages: DataFrame) -> DataFrame:
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for b in batches:
+        for b in pieces(batches):
             rows = []
             for i, host, html in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
                 seen: dict[int, bool] = {}
@@ -232,7 +232,7 @@ def extract_main_text(df: DataFrame, id_col: str = "page_id", url_col: str = "ur
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for b in batches:
+        for b in pieces(batches):
             text = [main_text(html or "", frozenset(t or ())) for html, t in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [b.column(0).cast(pa.int64()), b.column(1), pa.array(text, pa.string()), pa.array(list(map(len, text)), pa.int64())], names=[id_col, url_col, "text", "n_chars"]

@@ -28,7 +28,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import anti_by_bloom, join_groups, materialise, mix64, semi_by_bloom, texts_of, window_hashes, word_hashes
+from .common import anti_by_bloom, join_groups, materialise, mix64, pieces, semi_by_bloom, texts_of, window_hashes, word_hashes
 from .components import components
 
 BANDS, ROWS, SKETCH_BITS = 32, 4, 512
@@ -80,7 +80,7 @@ def signatures(df: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for b in batches:
+        for b in pieces(batches):
             n, lo, hi, bands, sketch = [], [], [], [], []
             for t in texts_of(b):
                 s = shingles(t, k)
@@ -107,7 +107,7 @@ def shingle_sets(df: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for b in batches:
+        for b in pieces(batches):
             sets = [shingles(t, k).view(np.int64) for t in texts_of(b)]
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["id", "shingles"])
 

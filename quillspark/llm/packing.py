@@ -20,7 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 from pyspark.sql import DataFrame
 
-from .common import texts_of
+from .common import pieces, texts_of
 from .tokens import encoder
 
 POOL_WINDOWS = 4096
@@ -142,7 +142,7 @@ def pack_documents(
                 made += 1
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=names)
 
-        for b in batches:
+        for b in pieces(batches):
             for doc, text in zip(b.column(0).to_pylist(), texts_of(b), strict=True):
                 ids = np.append(enc.encode(text), np.uint32(end_id))
                 pool.append((doc, ids))

@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
 
-from .common import texts_of
+from .common import pieces, texts_of
 
 SPACE_MARK = "▁"
 #: Segments remembered by a task before the memory is emptied.
@@ -155,7 +155,7 @@ def encode_documents(df: DataFrame, path: str, id_col: str = "doc_id", text_col:
         import pyarrow as pa
 
         c = codec(path)
-        for b in batches:
+        for b in pieces(batches):
             ids = [c.encode(t) + ([] if end_id is None else [end_id]) for t in texts_of(b)]
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(ids, pa.list_(pa.int32()))], names=[id_col, "ids"])
 
@@ -170,7 +170,7 @@ def round_trip_digests(df: DataFrame, path: str, id_col: str = "doc_id", text_co
 
         c = codec(path)
         shown = [str(i) for i in range(len(c.pieces))]
-        for b in batches:
+        for b in pieces(batches):
             n, a, d = [], [], []
             for t in texts_of(b):
                 ids = c.encode(t)

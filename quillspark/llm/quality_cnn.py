@@ -21,6 +21,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import pieces
+
 CHUNK, OVERLAP, WIDTH, STRIDE = 1024, 32, 12, 4
 EMBED, FILTERS, HIDDEN = 8, 32, 24
 PAD = 256
@@ -177,7 +179,7 @@ def score_documents(df: DataFrame, net: Network, id_col: str = "doc_id", text_co
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for b in batches:
+        for b in pieces(batches):
             texts = [t if t is not None else "" for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(score(net, texts), pa.float64())], names=[id_col, "score"])
 

@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, texts_of, window_hashes, word_hashes
+from .common import materialise, pieces, texts_of, window_hashes, word_hashes
 
 SYMBOLS = b"#*$%&|<>"
 WINDOW = 8
@@ -57,7 +57,7 @@ def text_statistics(df: DataFrame, id_col: str, text_col: str, lang_col: str, so
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for b in batches:
+        for b in pieces(batches):
             cols = list(zip(*map(statistics, texts_of(b)), strict=True)) or [[]] * 6
             yield pa.RecordBatch.from_arrays(
                 [b.column(0).cast(pa.int64()), b.column(2), b.column(3), *(pa.array(c, pa.int64()) for c in cols)], names=["id", "lang", "source", *names]

@@ -27,7 +27,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bloom_filter, bloom_words, join_groups, materialise, maybe_in, mix64, semi_by_bloom
+from .common import bloom_filter, bloom_words, join_groups, materialise, maybe_in, mix64, pieces, semi_by_bloom
 from .difference_cover import repeated_windows
 
 GRAM = 24
@@ -132,7 +132,7 @@ def occurrences(df: DataFrame, length: int, id_col: str, text_col: str) -> DataF
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for b in batches:
+        for b in pieces(batches):
             ids, parts = b.column(0).to_pylist(), [runs(t, length) for t in _bytes(b)]
             if not parts:
                 continue
@@ -155,7 +155,7 @@ def _strings(texts: DataFrame, length: int) -> DataFrame:
         import pyarrow as pa
 
         names = ["doc", "s", "n", "anchor", "c", "hot", "bucket", "data"]
-        for b in batches:
+        for b in pieces(batches):
             rows = [
                 (doc, i["s"], i["n"], i["anchor"], i["c"], i["hot"], i["bucket"], t[i["s"] : i["s"] + i["n"] + length - 1])
                 for doc, t, items in zip(b.column(0).to_pylist(), _bytes(b), b.column(2).to_pylist(), strict=True)
@@ -212,7 +212,7 @@ def _blocks(strings: DataFrame, length: int) -> DataFrame:
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for b in batches:
+        for b in pieces(batches):
             rows = [
                 (doc, s, anchor, c, block)
                 for doc, s, n, anchor, c, d in zip(*(x.to_pylist() for x in b.columns), strict=True)
@@ -307,7 +307,7 @@ def passage_digests(df: DataFrame, length: int = 200, id_col: str = "doc_id", te
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for b in batches:
+        for b in pieces(batches):
             rows = []
             for t, r in zip(_bytes(b), b.column(2).to_pylist(), strict=True):
                 left, gone, spans = kept_bytes(t, r, length)

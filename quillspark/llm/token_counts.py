@@ -17,6 +17,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import pieces
 from .tokens import encoder
 
 BLOCK = 4096
@@ -31,7 +32,7 @@ def token_lengths(df: DataFrame, json_path: str, ranks_path: str, pattern: str,
         import pyarrow as pa
 
         enc, seen = encoder(json_path, ranks_path, pattern), Counter()
-        for b in batches:
+        for b in pieces(batches):
             seen.update(len(enc.encode(t)) if t else 0 for t in b.column(0).to_pylist())
         yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.int64()), pa.array(list(seen.values()), pa.int64())], names=["n_tokens", "n_docs"])
 
