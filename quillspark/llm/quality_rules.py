@@ -7,7 +7,8 @@ found by concentration steps: start from medians and absolute deviations, keep t
 their mean and covariance, and repeat. Each step is a grouped aggregate over the statistics table (sums of x and x x', and a quantile sketch of
 the distances), so no group's rows meet in one task. A row is rejected when its squared Mahalanobis distance is over `CUTOFF`.
 
-`FLOOR` is added to each variance: where clean texts hardly vary, it keeps slight deviations from being outliers.
+`FLOOR` squared is added to each variance: where clean texts hardly vary, it keeps slight deviations from being outliers. It's small enough
+that each statistic alone can reject a text (`ALONE`).
 
 Defined cases: null and empty texts have all statistics 0 and fail the base limits; null language or source counts as ''; repeated rows
 each count; an empty table gives no rows. Only the named columns are read.
@@ -15,6 +16,7 @@ each count; an empty table gives no rows. Only the named columns are read.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,9 +29,12 @@ SYMBOLS = b"#*$%&|<>"
 WINDOW = 8
 FEATURES = 4
 CORE, STEPS, MIN_GROUP = 0.75, 4, 60
-FLOOR = (0.15, 0.12, 0.25, 0.25)
-#: Far over the 0.9999 quantile of chi-square with four degrees of freedom (23.5), as real texts have heavier tails.
-CUTOFF = 36.0
+#: The 0.9999 quantile of chi-square with four degrees of freedom.
+CUTOFF = 23.5127
+#: Deviations at which each statistic alone is an outlier where clean texts don't vary in it: a mean word length 1.6 times the centre's,
+#: and from a centre of 0, one symbol in ten words, three repeated lines in ten, two repeated words in ten.
+ALONE = (math.log(1.6), math.sqrt(0.1), math.sqrt(0.3), math.sqrt(0.2))
+FLOOR = tuple(x / math.sqrt(CUTOFF) for x in ALONE)
 
 
 def statistics(text: str) -> tuple[int, int, int, int, int, int]:

@@ -203,6 +203,38 @@ def test_outliers_are_found(spark):
     assert [i for i, k in got.items() if not k] == [i for i in sorted(got) if i % 20 == 0] or {i for i, k in got.items() if not k} == {i for i in got if i % 20 == 0}
 
 
+def clean_texts(rng, n):
+    """Texts of eight lines without symbols or repeats."""
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 8)))
+    return [[[word() for _ in range(12)] for _ in range(8)] for _ in range(n)]
+
+
+def joined(lines):
+    return "\n".join(" ".join(x) for x in lines)
+
+
+def rejected(spark, rows):
+    df = spark.createDataFrame([(i, t, "en", "s") for i, t in rows], "doc_id long, text string, lang string, source string")
+    got = quality_rules.judge_texts(df).collect()
+    assert not any(r.base_failed for r in got)
+    return {r.doc_id for r in got if not r.kept}
+
+
+def test_each_statistic_alone_is_an_outlier(spark):
+    rng = random.Random(6)
+    rows = [(i, joined(x)) for i, x in enumerate(clean_texts(rng, 400))]
+    planted = clean_texts(rng, 15)
+    for i, x in enumerate(planted):
+        if i < 5:  # a short line after each line: seven of sixteen lines are repeats, and no run of eight words
+            t = joined([y for line in x for y in (line, ["abcd", "dcba"])])
+        elif i < 10:  # sixteen words again on a line of their own: 32 of 113 words, and no line
+            t = joined([*x, x[0] + x[1][:4] + ["z"]])
+        else:
+            t = "\n".join(" | ".join(y) for y in x)
+        rows.append((1000 + i, t))
+    assert rejected(spark, rows) == {1000 + i for i in range(15)}
+
+
 # --- 9 ---------------------------------------------------------------------------------------------------------------
 
 
