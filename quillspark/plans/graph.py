@@ -109,6 +109,10 @@ def hops(spark, sf_dir, depth, seeds):
     return out.select("seed", "node", F.col("hop").cast("bigint").alias("hop"))
 
 
+def all_orders(spark, sf_dir):
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("seed"))
+
+
 def top_orders(spark, sf_dir):
     """The seeds of the deep expansions: the hits of a top-20 report by price."""
     o = table(spark, sf_dir, "orders").orderBy(F.desc("o_totalprice"), "o_orderkey").limit(20)
@@ -126,7 +130,7 @@ h3 AS (SELECT DISTINCT seed, dst AS node, 3 AS hop FROM h2 JOIN e ON node = src)
 
 @query("SELECT DISTINCT o_orderkey AS seed, l_partkey AS node, CAST(1 AS BIGINT) AS hop FROM orders JOIN lineitem ON l_orderkey = o_orderkey")
 def hop_expand_d2(spark, sf_dir):
-    return hops(spark, sf_dir, 2, table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("seed")))
+    return hops(spark, sf_dir, 2, all_orders(spark, sf_dir))
 
 
 @query(f"WITH {EDGES} SELECT seed, node, CAST(min(hop) AS BIGINT) AS hop FROM (SELECT * FROM h1 UNION ALL SELECT * FROM h2) GROUP BY seed, node")
@@ -139,6 +143,23 @@ def hop_expand_d4(spark, sf_dir):
     return hops(spark, sf_dir, 4, top_orders(spark, sf_dir))
 
 
+@query("""
+WITH e AS (SELECT DISTINCT src, dst FROM (SELECT l_partkey AS src, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS dst FROM lineitem) WHERE dst IS NOT NULL),
+h1 AS (SELECT DISTINCT o_orderkey AS seed, l_partkey AS node, 1 AS hop FROM orders JOIN lineitem ON l_orderkey = o_orderkey),
+h2 AS (SELECT DISTINCT seed, dst AS node, 2 AS hop FROM h1 JOIN e ON node = src)
+SELECT seed, node, CAST(min(hop) AS BIGINT) AS hop FROM (SELECT * FROM h1 UNION ALL SELECT * FROM h2) GROUP BY seed, node
+""")
+def hop_expand_all_d3(spark, sf_dir):
+    """Depth 3 from every order; hop_expand_d3 is the same for the hits of one report."""
+    return hops(spark, sf_dir, 3, all_orders(spark, sf_dir))
+
+
+@query()
+def hop_expand_all_d4(spark, sf_dir):
+    """Depth 4 from every order. It has no SQL, as its rows are a few hundred for each order; tested against brute force."""
+    return hops(spark, sf_dir, 4, all_orders(spark, sf_dir))
+
+
 @query("""
 WITH l AS (SELECT l_orderkey, string_agg(l_linenumber || ':' || l_partkey, ',' ORDER BY l_linenumber, l_partkey) AS lines FROM lineitem GROUP BY l_orderkey),
 s AS (SELECT l_orderkey, string_agg(CAST(l_suppkey AS VARCHAR), ',' ORDER BY l_suppkey) AS suppliers FROM (SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem) GROUP BY l_orderkey)

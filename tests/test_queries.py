@@ -26,6 +26,24 @@ def test_lsh_recall(spark, small):
     assert len(exact & found) >= 0.9 * len(exact)
 
 
+def test_deep_hops_from_every_order(spark, con, small):
+    lines, after = {}, {}
+    for order, part in con.execute("SELECT l_orderkey, l_partkey FROM lineitem ORDER BY l_orderkey, l_linenumber, l_partkey").fetchall():
+        if lines.get(order):
+            after.setdefault(lines[order][-1], set()).add(part)
+        lines.setdefault(order, []).append(part)
+    expect = {}
+    for (order,) in con.execute("SELECT o_orderkey FROM orders").fetchall():
+        new = set(lines.get(order, ()))
+        for hop in (1, 2, 3):
+            expect |= {(order, part): hop for part in new}
+            new = {x for part in new for x in after.get(part, ()) if (order, x) not in expect}
+    for name, depth in (("hop_expand_all_d3", 2), ("hop_expand_all_d4", 3)):
+        got = registry.queries()[name](spark, small).toPandas()
+        assert not got.duplicated(["seed", "node"]).any()
+        assert {(s, n): h for s, n, h in got.itertuples(index=False)} == {k: h for k, h in expect.items() if h <= depth}
+
+
 def test_entry_and_names(spark):
     import __spark_entry__ as entry
 
