@@ -5,10 +5,11 @@
    form a class, and only one row of each class goes on.
 2. Every class is paired with the least class id of each band bucket it is in. The odd sketches' XOR population count
    estimates the similarity of a pair; each class is checked on full sets with its most similar one, and the links' components are found.
-3. Buckets that still hold more than one component are gathered in clusters (texts connected by such buckets). Inside a cluster, blocks of texts
-   meet in pairs of blocks, one task each, where the odd sketches' XOR counts pick the pairs of different components that may reach the threshold, and
-   full sets confirm them. Only links that join components leave a task, never the pairs. A text is copied to at most 41 tasks, as
-   blocks grow with the cluster. The components of all links are the result.
+3. Texts in buckets that still hold more than one component are joined by an exact prefix filter: shingles are ordered by how many texts hold them, those
+   held inside one component only first, and two sets of different components and enough similarity must share one of the rarest shingles of each
+   (20% and one more at a threshold of 0.8). Texts with such a shingle in common are first linked with the least of them, as in step 2, and the components are found
+   again. What still mixes components is compared in fixed blocks of texts of like size, by size and sketch only, and the pairs that may reach the threshold
+   meet in a join on full sets. No task's size depends on the number of texts that share something. The components of all links are the result.
    Pairs inside one component need no check, and no link that could join two components is left out.
 
 At similarity 0.8 a pair shares no band with probability 5e-8. The sketch filter's margin is over six standard deviations. There is no cap
@@ -33,8 +34,8 @@ from .components import components
 
 BANDS, ROWS, SKETCH_BITS = 32, 4, 512
 SAMPLES = BANDS * ROWS
-#: Texts in a block of a small cluster, and blocks of a large one.
-BLOCK, MOST_BLOCKS = 256, 40
+#: Texts in a block of those that share a rare shingle, and rows of blocks compared in one call.
+BLOCK, CALL_ROWS = 512, 4096
 #: Subtracted from the threshold before a sketch estimate can reject a pair: over six standard deviations of the estimate.
 MARGIN = 0.3
 _rng = np.random.default_rng(20240229)
@@ -119,74 +120,108 @@ def differing_bits(a: str, b: str):
     return sum(x[1:], x[0])
 
 
-def confirmed(df: DataFrame, pairs: DataFrame, percent: int, k: int, id_col: str, text_col: str) -> DataFrame:
+def nearest_hub(stars: DataFrame, texts: DataFrame, most: int) -> DataFrame:
+    """For each b of stars(a, b) the most similar a by sketch, if it may reach the threshold and is in another component of texts(id, component, sketch)."""
+    sa, sb = (texts.select(F.col("id").alias(c), F.col("sketch").alias(f"k{c}"), F.col("component").alias(f"c{c}")) for c in "ab")
+    near = stars.join(sb, "b").join(sa, "a").where("ca <> cb").select("a", "b", differing_bits("ka", "kb").alias("bits")).where(F.col("bits") <= most)
+    return near.groupBy("b").agg(F.min_by("a", F.struct("bits", "a")).alias("a")).select("a", "b")
+
+
+def similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) with 100 * intersection >= percent * union on full shingle sets."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias(id_col)).distinct()
-    wanted = materialise(wanted, "to-check")
-    texts = semi_by_bloom(df.select(id_col, text_col), id_col, wanted, wanted.count())
-    sets = materialise(shingle_sets(texts, k, id_col, text_col).dropDuplicates(["id"]), "sets")
     of_a, of_b = (sets.select(F.col("id").alias(c), F.col("shingles").alias(f"s{c}")) for c in "ab")
     j = pairs.select("a", "b").join(of_a, "a").join(of_b, "b")
     both = F.size(F.array_intersect("sa", "sb"))
     return j.select("a", "b", both.alias("x"), (F.size("sa") + F.size("sb") - both).alias("u")).where(F.col("x") * 100 >= F.col("u") * percent).select("a", "b")
 
 
-def links_between_components(df: DataFrame, todo: DataFrame, percent: int, most: int, k: int, id_col: str, text_col: str) -> DataFrame:
-    """Confirmed links (a, b) that join components, from rows todo(id, component, cluster, sketch)."""
-    texts = semi_by_bloom(df.select(id_col, text_col), id_col, todo.select(F.col("id").alias(id_col)), todo.count())
-    sets = shingle_sets(texts, k, id_col, text_col).dropDuplicates(["id"])
-    sizes = todo.groupBy("cluster").agg(F.count(F.lit(1)).alias("m"))
-    blocks = F.ceil(F.col("m") / F.greatest(F.lit(BLOCK), F.ceil(F.col("m") / MOST_BLOCKS))).cast("int")
-    rows = join_groups(todo, sizes.select("cluster", blocks.alias("blocks")), ["cluster"], "id", 1).join(sets, "id")
-    rows = rows.withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+def confirmed(df: DataFrame, pairs: DataFrame, percent: int, k: int, id_col: str, text_col: str) -> DataFrame:
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias(id_col)).distinct()
+    wanted = materialise(wanted, "to-check")
+    texts = semi_by_bloom(df.select(id_col, text_col), id_col, wanted, wanted.count())
+    return similar(pairs, materialise(shingle_sets(texts, k, id_col, text_col).dropDuplicates(["id"]), "sets"), percent)
+
+
+def prefixes(sets: DataFrame, percent: int) -> DataFrame:
+    """(id, shingle): of each set in sets(id, component, shingles) the rarest shingles, one of which it must share with any similar set of another component."""
+    each = sets.select("id", "component", F.explode("shingles").alias("shingle"))
+    shared = each.groupBy("shingle").agg(F.count(F.lit(1)).alias("f"), F.min("component").alias("x"), F.max("component").alias("y")).where("x < y")
+    mine = join_groups(each.select("id", "shingle"), shared.select("shingle", "f"), ["shingle"], "id", 1)
+    mine = mine.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("f", "shingle"))).alias("mine"))
+    # A similar set holds at least `least` of the n shingles, so it misses fewer than n - least + 1. Those of one component come first and match nothing.
+    least = F.floor((F.size("shingles") * percent + 99) / 100).cast("int")
+    mine = mine.join(sets.select("id", least.alias("least")), "id").withColumn("take", F.size("mine") + 1 - F.col("least")).where("take > 0")
+    return mine.select("id", F.explode(F.slice("mine", F.lit(1), F.col("take"))["shingle"]).alias("shingle"))
+
+
+def shingle_blocks(index: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """(shingle, class, x, y, own, size_class, id, component, n, sketch): blocks x and y of the texts that share a shingle and mix components.
+
+    Set sizes of a similar pair are in one class or in neighbours, so each text goes to its own class and to the one below.
+    """
+    step = math.log(100 / percent * 1.0001)
+    at = index.join(texts.select("id", "component", F.floor(F.log("n") / step).alias("size_class")), "id")
+    at = at.withColumn("class", F.explode(F.array(F.col("size_class"), F.col("size_class") - 1)))
+    groups = at.groupBy("shingle", "class").agg(F.count(F.lit(1)).alias("m"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
+    groups = groups.select("shingle", "class", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
+    rows = join_groups(at, groups, ["shingle", "class"], "id", 1).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("cluster", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "id", "component", "sketch", "shingles")
+    rows = rows.select("shingle", "class", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "size_class", "id")
+    return rows.join(texts, "id")
+
+
+def links_between_components(df: DataFrame, todo: DataFrame, percent: int, most: int, k: int, id_col: str, text_col: str) -> DataFrame:
+    """Confirmed links (a, b) that join components, from rows todo(id, component, sketch)."""
+    wanted = semi_by_bloom(df.select(id_col, text_col), id_col, todo.select(F.col("id").alias(id_col)), todo.count())
+    sets = shingle_sets(wanted, k, id_col, text_col).dropDuplicates(["id"])
+    sets = materialise(todo.select("id", "component").join(sets, "id"), "sets")
+    index = materialise(prefixes(sets, percent), "prefixes")
+
+    hubs = index.groupBy("shingle").agg(F.min("id").alias("hub"), F.count(F.lit(1)).alias("m")).where("m > 1").select("shingle", "hub")
+    stars = join_groups(index, hubs, ["shingle"], "id", 1).where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
+    links = materialise(similar(nearest_hub(stars, todo, most), sets, percent), "links")
+
+    # Links between components, and the components that they make.
+    of = todo.select("id", "component")
+    over = links.join(of.select(F.col("id").alias("a"), F.col("component").alias("ca")), "a").join(of.select(F.col("id").alias("b"), F.col("component").alias("cb")), "b")
+    united = components(over.select(F.col("ca").alias("a"), F.col("cb").alias("b"))).select(F.col("node").alias("component"), F.col("component").alias("root"))
+    texts = todo.join(united, "component", "left").select("id", F.coalesce("root", "component").alias("component"), "sketch")
+    texts = materialise(texts.join(sets.select("id", F.size("shingles").alias("n")), "id"), "texts")
+
+    rows = materialise(shingle_blocks(index, texts, percent), "blocks")
+    calls = max(1, math.ceil(rows.count() / CALL_ROWS))
 
     def find(pdf):
         import pandas as pd
 
-        return pd.DataFrame(block_links(pdf, percent, most), columns=["a", "b"]).astype("int64")
+        return pd.DataFrame(block_pairs(pdf, percent, most), columns=["a", "b"]).astype("int64")
 
-    return rows.groupBy("cluster", "x", "y").applyInPandas(find, "a long, b long")
+    rows = rows.withColumn("call", F.pmod(F.xxhash64("shingle", "class", "x", "y"), F.lit(calls)))
+    pairs = materialise(rows.groupBy("call").applyInPandas(find, "a long, b long").distinct(), "pairs")
+    return links.unionByName(similar(pairs, sets, percent))
 
 
-def block_links(pdf, percent: int, most: int) -> list[tuple[int, int]]:
-    """Links between two blocks (or inside one) that join components, found row by row; united components aren't compared again."""
-    ids = pdf["id"].to_numpy()
-    _, comp = np.unique(pdf["component"].to_numpy(), return_inverse=True)
-    if comp.max() == 0:
-        return []
-    own, inside = pdf["own"].to_numpy(), bool((pdf["x"] == pdf["y"]).iloc[0])
+def block_pairs(pdf, percent: int, most: int) -> list[tuple[int, int]]:
+    """Pairs of different components that may reach the threshold, by size and sketch, of all blocks in `pdf`."""
+    pdf = pdf.sort_values(["shingle", "class", "x", "y"], kind="stable")
+    key = pdf[["shingle", "class", "x", "y"]].to_numpy(np.int64)
+    ends = [*(np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1).tolist(), len(key)]
+    ids, comp, size, own, cls = (pdf[c].to_numpy(np.int64) for c in ("id", "component", "n", "own", "size_class"))
     sketch = np.stack(pdf["sketch"].to_list()).view(np.uint64)
-    sets = pdf["shingles"].to_list()
-    size = np.array([len(s) for s in sets])
-    _, code = np.unique(np.concatenate(sets), return_inverse=True)
-    start = np.concatenate([[0], np.cumsum(size)])
-    root = np.arange(comp.max() + 1)  # of each component, the united one it belongs to
-    held = np.zeros(code.max() + 1, bool)
-    first = pdf["x"].iloc[0]
-    left = np.flatnonzero(own == first)
-    right = left if inside else np.flatnonzero(own != first)
-    out = []
-    for i in left:
-        js = right[right > i] if inside else right
-        js = js[root[comp[js]] != root[comp[i]]]
-        if not len(js):
-            continue
-        js = js[np.bitwise_count(sketch[js] ^ sketch[i]).sum(axis=1) <= most]
-        # A pair's similarity is at most the ratio of the set sizes.
-        js = js[100 * np.minimum(size[js], size[i]) >= percent * np.maximum(size[js], size[i])]
-        mine = code[start[i] : start[i + 1]]
-        held[mine] = True
-        for j in js:
-            if root[comp[j]] == root[comp[i]]:
-                continue
-            both = int(held[code[start[j] : start[j + 1]]].sum())
-            if 100 * both >= percent * (size[i] + size[j] - both):
-                out.append((int(ids[i]), int(ids[j])))
-                root[root == root[comp[j]]] = root[comp[i]]
-        held[mine] = False
-    return out
+    out = set()
+    start = 0
+    for end in ends:
+        inside, low = key[start, 2] == key[start, 3], cls[start:end] == key[start, 1]
+        for i in start + np.flatnonzero(low):
+            js = np.arange(start, end)
+            # Of two texts of the lower class, the first takes the pair.
+            js = js[(comp[js] != comp[i]) & (~low | (js > i)) & (inside | (own[js] != own[i]))]
+            # A pair's similarity is at most the ratio of the set sizes.
+            js = js[100 * np.minimum(size[js], size[i]) >= percent * np.maximum(size[js], size[i])]
+            js = js[np.bitwise_count(sketch[js] ^ sketch[i]).sum(axis=1) <= most]
+            out.update((min(a, b), max(a, b)) for a, b in zip([int(ids[i])] * len(js), ids[js].tolist(), strict=True))
+        start = end
+    return sorted(out)
 
 
 def near_duplicates(df: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -199,26 +234,22 @@ def near_duplicates(df: DataFrame, k: int = 5, percent: int = 80, id_col: str =
     copies = members.where("id <> rep").select("id")
     reps = anti_by_bloom(some.select("id", "bands", "sketch"), "id", copies, copies.count()).dropDuplicates(["id"])
     reps = materialise(reps, "classes")
-    sketches = reps.select("id", "sketch")
+    sketches = reps.select("id", "sketch", F.col("id").alias("component"))
 
     in_band = reps.select("id", F.explode("bands").alias("band"))
     buckets = in_band.groupBy("band").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("hub")).where("size > 1")
     shared = materialise(in_band.join(buckets.hint("merge"), "band").select("band", "id", "hub"), "shared-bands")
 
     stars = shared.where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
-    sa, sb = (sketches.select(F.col("id").alias(c), F.col("sketch").alias(f"k{c}")) for c in "ab")
-    near = stars.join(sb, "b").join(sa, "a").select("a", "b", differing_bits("ka", "kb").alias("bits")).where(F.col("bits") <= most)
-    best = near.groupBy("b").agg(F.min_by("a", F.struct("bits", "a")).alias("a"))
-    links = materialise(confirmed(df, best.select("a", "b"), percent, k, id_col, text_col), "links")
+    links = materialise(confirmed(df, nearest_hub(stars, sketches, most), percent, k, id_col, text_col), "links")
     comp = components(links)
 
     at = shared.select("band", "id", "hub").join(comp.select(F.col("node").alias("id"), "component"), "id", "left")
     at = materialise(at.select("band", "id", "hub", F.coalesce("component", "id").alias("component")), "banded")
     mixed = at.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("band")
     at = materialise(join_groups(at, mixed, ["band"], "id", 1), "mixed-bands")
-    clusters = components(at.select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct())
-    todo = at.select("id", "component").distinct().join(clusters.select(F.col("node").alias("id"), F.col("component").alias("cluster")), "id")
-    more = materialise(links_between_components(df, materialise(todo.join(sketches, "id"), "clustered"), percent, most, k, id_col, text_col), "links")
+    todo = at.select("id", "component").distinct().join(sketches.select("id", "sketch"), "id")
+    more = materialise(links_between_components(df, materialise(todo, "mixed-texts"), percent, most, k, id_col, text_col), "links")
     comp = components(links.unionByName(more)) if more.limit(1).count() else comp
 
     out = members.join(comp.select(F.col("node").alias("rep"), "component"), "rep", "left")

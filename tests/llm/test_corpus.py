@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quillspark.llm import exact_dedup, near_dedup, packing, piece_bpe, quality_cnn, quality_rules, queries, suffix_dedup, token_counts
 from quillspark.llm.common import table
@@ -177,6 +178,26 @@ def test_chain_of_links_and_estimates(spark):
     assert bits <= near_dedup.most_differing_bits(0.8)
 
 
+def test_texts_of_one_template(spark, monkeypatch):
+    """Texts with most words in common, few of them linked: no block grows with their number, and all links are found."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    template = [word() for _ in range(70)]
+    rows = [(i, " ".join(template + [word() for _ in range(rng.choice([8, 11, 14, 17, 20, 24]))])) for i in range(240)]
+    rows += [(1000 + i, t + " " + word()) for i, t in rows[::6]]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(near_dedup, "BLOCK", 16)
+    monkeypatch.setattr(near_dedup, "CALL_ROWS", 64)
+    sets = near_dedup.shingle_sets(df, 4, "doc_id", "text").withColumn("component", F.col("id")).withColumn("n", F.size("shingles"))
+    sets = sets.withColumn("sketch", F.array(*[F.lit(0)] * 8))
+    blocks = near_dedup.shingle_blocks(near_dedup.prefixes(sets, 80), sets.select("id", "component", "n", "sketch"), 80)
+    sizes = [r["count"] for r in blocks.groupBy("shingle", "class", "x", "y").count().collect()]
+    assert len(sizes) > 20 and max(sizes) <= 4 * 16
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.near_duplicates(df, 4).collect()}
+    want = brute.near_components(rows, 4)
+    assert got == want and 1 < len({c for _, c in want.values()}) < len(rows)
+
+
 # --- 5 ---------------------------------------------------------------------------------------------------------------
 
 
