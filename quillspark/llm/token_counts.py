@@ -76,6 +76,18 @@ def context_table(hist: DataFrame) -> DataFrame:
     )
 
 
+def answers_at(hist: DataFrame, limits: DataFrame) -> DataFrame:
+    """The context table's rows for all of limits(context_limit), whether a document has that length or not (then n_docs is 0).
+
+    Limits join the histogram as lengths of no document, so each is answered from what lies below it. Null limits are left out; an empty
+    histogram gives no rows.
+    """
+    some = F.broadcast(hist.limit(1).select(F.lit(0).cast("long").alias("n_docs")))
+    wanted = limits.where("context_limit is not null").select(F.col("context_limit").cast("long").alias("n_tokens")).distinct()
+    both = hist.select("n_tokens", "n_docs").unionByName(wanted.crossJoin(some)).groupBy("n_tokens").agg(F.sum("n_docs").alias("n_docs"))
+    return context_table(both).join(wanted.withColumnRenamed("n_tokens", "context_limit"), "context_limit", "left_semi")
+
+
 def quantile(table: DataFrame, q: float) -> DataFrame:
     """The least length whose rank reaches q, from a context table (a length, not an interpolation)."""
     return table.where(F.col("quantile_rank") >= q).agg(F.min("context_limit").alias("n_tokens"))

@@ -149,6 +149,21 @@ def test_token_counts(spark, docs, no_docs, paths, invented_docs):
     assert token_counts.context_table(token_counts.length_histogram(token_counts.token_lengths(no_docs, **byte_paths(paths)))).count() == 0
 
 
+def test_limits_between_lengths(spark):
+    lengths = [3, 3, 10, 5000, 9000]
+    hist = token_counts.length_histogram(spark.createDataFrame([(n, 1) for n in lengths], "n_tokens long, n_docs long"))
+    limits = [0, 1, 3, 4, 2048, 5000, 8999, 100_000]
+    asked = spark.createDataFrame([(n,) for n in [*limits, 2048, None]], "context_limit int")
+    rows = token_counts.answers_at(hist, asked).collect()
+    assert sorted(r.context_limit for r in rows) == limits
+    for r in rows:
+        n = r.context_limit
+        assert r.n_docs == lengths.count(n) and r.docs_fitting == sum(x <= n for x in lengths) and r.docs_cut == sum(x > n for x in lengths)
+        assert r.tokens_of_fitting == sum(x for x in lengths if x <= n) and r.tokens_of_this_or_longer == sum(x for x in lengths if x >= n)
+        assert r.tokens_truncated == sum(min(x, n) for x in lengths) and r.total_tokens == sum(lengths) and r.total_docs == len(lengths)
+    assert token_counts.answers_at(hist.where("n_docs < 0"), asked).count() == 0
+
+
 # --- 4 ---------------------------------------------------------------------------------------------------------------
 
 
