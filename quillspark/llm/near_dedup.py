@@ -5,15 +5,15 @@
    form a class, and only one row of each class goes on.
 2. Every class is paired with the least class id of each band bucket it is in. The odd sketches' XOR population count
    estimates the similarity of a pair; each class is checked on full sets with its most similar one, and the links' components are found.
-3. Texts in buckets that still hold more than one component are joined by an exact prefix filter: shingles are ordered by how many texts hold them, those
-   held inside one component only first, and two sets of different components and enough similarity must share one of the rarest shingles of each
-   (20% and one more at a threshold of 0.8). Texts with such a shingle in common are first linked with the least of them, as in step 2, and the components are found
-   again. What still mixes components is compared in fixed blocks of texts of like size, by size and sketch only, and the pairs that may reach the threshold
-   meet in a join on full sets. No task's size depends on the number of texts that share something. The components of all links are the result.
-   Pairs inside one component need no check, and no link that could join two components is left out.
+3. Buckets that still hold more than one component are cut into blocks of fixed size, and in each pair of blocks the sketches are compared. A task hands on only a
+   forest: at most one pair for each component that it joins to another, never all pairs. Components that may be alike so make families.
+4. Families are cut into blocks of a fixed number of shingles, and each pair of blocks is compared by sketch and then on full sets; again only a forest of
+   confirmed links leaves the task. Blocks that lie wholly in one component are not paired with each other, so a large group of copies costs its
+   size times the number of texts outside its component. The components of all links are the result.
+Pairs inside one component need no check, and no link that could join two components is left out.
 
 At similarity 0.8 a pair shares no band with probability 5e-8. The sketch filter's margin is over six standard deviations. There is no cap
-on buckets or partners.
+on buckets or partners. Work still grows with the square of a family that neither a hub nor a confirmed link holds together.
 
 Defined cases: null, empty and all-space texts have no shingles and are linked with nothing; a text with fewer than k words
 is one shingle, its whole sequence; A-Z are lower-cased and no other letters; repeated rows fall in one class. An empty table gives no
@@ -29,13 +29,13 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import anti_by_bloom, join_groups, materialise, mix64, pieces, semi_by_bloom, texts_of, window_hashes, word_hashes
+from .common import anti_by_bloom, join_groups, materialise, mix64, pieces, release, semi_by_bloom, texts_of, window_hashes, word_hashes
 from .components import components
 
 BANDS, ROWS, SKETCH_BITS = 32, 4, 512
 SAMPLES = BANDS * ROWS
-#: Texts in a block of those that share a rare shingle, and rows of blocks compared in one call.
-BLOCK, CALL_ROWS = 512, 4096
+#: Size of a block: sketches of a band bucket, shingles of a family. A call of a task compares about two blocks.
+SKETCHES, SHINGLES = 4096, 1 << 20
 #: Subtracted from the threshold before a sketch estimate can reject a pair: over six standard deviations of the estimate.
 MARGIN = 0.3
 _rng = np.random.default_rng(20240229)
@@ -142,86 +142,106 @@ def confirmed(df: DataFrame, pairs: DataFrame, percent: int, k: int, id_col: str
     return similar(pairs, materialise(shingle_sets(texts, k, id_col, text_col).dropDuplicates(["id"]), "sets"), percent)
 
 
-def prefixes(sets: DataFrame, percent: int) -> DataFrame:
-    """(id, shingle): of each set in sets(id, component, shingles) the rarest shingles, one of which it must share with any similar set of another component."""
-    each = sets.select("id", "component", F.explode("shingles").alias("shingle"))
-    shared = each.groupBy("shingle").agg(F.count(F.lit(1)).alias("f"), F.min("component").alias("x"), F.max("component").alias("y")).where("x < y")
-    mine = join_groups(each.select("id", "shingle"), shared.select("shingle", "f"), ["shingle"], "id", 1)
-    mine = mine.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("f", "shingle"))).alias("mine"))
-    # A similar set holds at least `least` of the n shingles, so it misses fewer than n - least + 1. Those of one component come first and match nothing.
-    least = F.floor((F.size("shingles") * percent + 99) / 100).cast("int")
-    mine = mine.join(sets.select("id", least.alias("least")), "id").withColumn("take", F.size("mine") + 1 - F.col("least")).where("take > 0")
-    return mine.select("id", F.explode(F.slice("mine", F.lit(1), F.col("take"))["shingle"]).alias("shingle"))
+def block_pairs(rows: DataFrame, group: str, size: str, most: int) -> DataFrame:
+    """`rows` with block, x, y, once for each pair of blocks (x, y) of its `group` that it is compared in; a block has about `most` of `size`.
 
-
-def shingle_blocks(index: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """(shingle, class, x, y, own, size_class, id, component, n, sketch): blocks x and y of the texts that share a shingle and mix components.
-
-    Set sizes of a similar pair are in one class or in neighbours, so each text goes to its own class and to the one below.
+    A component with an eighth of a block or more has blocks of its own, which aren't paired with each other; the other components share blocks.
     """
-    step = math.log(100 / percent * 1.0001)
-    at = index.join(texts.select("id", "component", F.floor(F.log("n") / step).alias("size_class")), "id")
-    at = at.withColumn("class", F.explode(F.array(F.col("size_class"), F.col("size_class") - 1)))
-    groups = at.groupBy("shingle", "class").agg(F.count(F.lit(1)).alias("m"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
-    groups = groups.select("shingle", "class", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
-    rows = join_groups(at, groups, ["shingle", "class"], "id", 1).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("shingle", "class", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "size_class", "id")
-    return rows.join(texts, "id")
-
-
-def links_between_components(df: DataFrame, todo: DataFrame, percent: int, most: int, k: int, id_col: str, text_col: str) -> DataFrame:
-    """Confirmed links (a, b) that join components, from rows todo(id, component, sketch)."""
-    wanted = semi_by_bloom(df.select(id_col, text_col), id_col, todo.select(F.col("id").alias(id_col)), todo.count())
-    sets = shingle_sets(wanted, k, id_col, text_col).dropDuplicates(["id"])
-    sets = materialise(todo.select("id", "component").join(sets, "id"), "sets")
-    index = materialise(prefixes(sets, percent), "prefixes")
-
-    hubs = index.groupBy("shingle").agg(F.min("id").alias("hub"), F.count(F.lit(1)).alias("m")).where("m > 1").select("shingle", "hub")
-    stars = join_groups(index, hubs, ["shingle"], "id", 1).where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
-    links = materialise(similar(nearest_hub(stars, todo, most), sets, percent), "links")
+    parts = rows.groupBy(group, "component").agg(F.sum(size).alias("w"))
+    parts = parts.withColumn("kind", F.when(F.col("w") * 8 >= most, F.col("component")).otherwise(F.lit(-1)))
+    kinds = parts.groupBy(group, "kind").agg(F.ceil(F.sum("w") / most).cast("int").alias("blocks"))
+    key = lambda kind, i: F.xxhash64(kind, i.cast("int"))
+    blocks = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda i: F.struct(F.col("kind").alias("kind"), key(F.col("kind"), i).alias("block")))
+    every = kinds.groupBy(group).agg(F.flatten(F.collect_list(blocks)).alias("all"))
+    at = join_groups(rows, parts.select(group, "component", "kind").join(kinds, [group, "kind"]), [group, "component"], "id", 1)
+    at = at.withColumn("block", key(F.col("kind"), F.pmod(F.xxhash64("id"), F.col("blocks")))).drop("blocks")
+    at = join_groups(at, every, [group], "id", 1)
+    others = F.filter("all", lambda o: (o["kind"] != F.col("kind")) | (o["kind"] == -1))
+    at = at.withColumn("other", F.explode(F.transform(others, lambda o: o["block"])))
+    return at.withColumns({"x": F.least("block", "other"), "y": F.greatest("block", "other")}).drop("all", "kind", "other")
+
+
+def common_sizes(sets: list[np.ndarray]):
+    """A function (i, js) -> sizes of the intersections of set i with the sets js."""
+    codes = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    size = np.array([len(s) for s in sets])
+    start = np.cumsum(size) - size
+    mark = np.zeros(len(codes), bool)
+
+    def common(i: int, js: np.ndarray) -> np.ndarray:
+        own = codes[start[i] : start[i] + size[i]]
+        mark[own] = True
+        ends = np.cumsum(size[js])
+        at = np.arange(ends[-1]) + np.repeat(start[js] - (ends - size[js]), size[js])
+        out = np.add.reduceat(mark[codes[at]], ends - size[js], dtype=np.int64)
+        mark[own] = False
+        return out
+
+    return common
+
+
+def forest(component, block, size, sketch, percent: int, most: int, sets=None) -> list[tuple[int, int]]:
+    """Rows (i, j) whose components may be alike by size and sketch, and are linked on full sets if these are given: one pair for each merge of components.
+
+    `block` is None inside one block; else only rows of different blocks are compared.
+    """
+    label, out = np.unique(component, return_inverse=True)[1], []
+    common = common_sizes(sets) if sets is not None else None
+    for i in range(len(label) - 1):
+        js = i + 1 + np.flatnonzero(label[i + 1 :] != label[i])
+        if block is not None:
+            js = js[block[js] != block[i]]
+        # A pair's similarity is at most the ratio of the set sizes.
+        js = js[100 * np.minimum(size[js], size[i]) >= percent * np.maximum(size[js], size[i])]
+        js = js[np.bitwise_count(sketch[js] ^ sketch[i]).sum(axis=1) <= most]
+        if common is not None and len(js):
+            both = common(i, js)
+            js = js[100 * both >= percent * (size[js] + size[i] - both)]
+        for j in js.tolist():
+            if label[j] != label[i]:
+                out.append((i, j))
+                label[label == label[j]] = label[i]
+    return out
 
-    # Links between components, and the components that they make.
-    of = todo.select("id", "component")
-    over = links.join(of.select(F.col("id").alias("a"), F.col("component").alias("ca")), "a").join(of.select(F.col("id").alias("b"), F.col("component").alias("cb")), "b")
-    united = components(over.select(F.col("ca").alias("a"), F.col("cb").alias("b"))).select(F.col("node").alias("component"), F.col("component").alias("root"))
-    texts = todo.join(united, "component", "left").select("id", F.coalesce("root", "component").alias("component"), "sketch")
-    texts = materialise(texts.join(sets.select("id", F.size("shingles").alias("n")), "id"), "texts")
 
-    rows = materialise(shingle_blocks(index, texts, percent), "blocks")
-    calls = max(1, math.ceil(rows.count() / CALL_ROWS))
+def forests(rows: DataFrame, group: str, weight: str, limit: int, percent: int, most: int, full: bool) -> DataFrame:
+    """Distinct (a, b) of the rows that `forest` finds in each pair of blocks: ids if full sets are compared, else components."""
+    total = rows.agg(F.coalesce(F.sum(weight), F.lit(0))).first()[0]
+    calls = max(1, math.ceil(total / limit))
 
     def find(pdf):
         import pandas as pd
 
-        return pd.DataFrame(block_pairs(pdf, percent, most), columns=["a", "b"]).astype("int64")
-
-    rows = rows.withColumn("call", F.pmod(F.xxhash64("shingle", "class", "x", "y"), F.lit(calls)))
-    pairs = materialise(rows.groupBy("call").applyInPandas(find, "a long, b long").distinct(), "pairs")
-    return links.unionByName(similar(pairs, sets, percent))
-
-
-def block_pairs(pdf, percent: int, most: int) -> list[tuple[int, int]]:
-    """Pairs of different components that may reach the threshold, by size and sketch, of all blocks in `pdf`."""
-    pdf = pdf.sort_values(["shingle", "class", "x", "y"], kind="stable")
-    key = pdf[["shingle", "class", "x", "y"]].to_numpy(np.int64)
-    ends = [*(np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1).tolist(), len(key)]
-    ids, comp, size, own, cls = (pdf[c].to_numpy(np.int64) for c in ("id", "component", "n", "own", "size_class"))
-    sketch = np.stack(pdf["sketch"].to_list()).view(np.uint64)
-    out = set()
-    start = 0
-    for end in ends:
-        inside, low = key[start, 2] == key[start, 3], cls[start:end] == key[start, 1]
-        for i in start + np.flatnonzero(low):
-            js = np.arange(start, end)
-            # Of two texts of the lower class, the first takes the pair.
-            js = js[(comp[js] != comp[i]) & (~low | (js > i)) & (inside | (own[js] != own[i]))]
-            # A pair's similarity is at most the ratio of the set sizes.
-            js = js[100 * np.minimum(size[js], size[i]) >= percent * np.maximum(size[js], size[i])]
-            js = js[np.bitwise_count(sketch[js] ^ sketch[i]).sum(axis=1) <= most]
-            out.update((min(a, b), max(a, b)) for a, b in zip([int(ids[i])] * len(js), ids[js].tolist(), strict=True))
-        start = end
-    return sorted(out)
+        pdf = pdf.sort_values(["g", "x", "y"], kind="stable")
+        key = pdf[["g", "x", "y"]].to_numpy(np.int64)
+        comp, size, block, name = (pdf[c].to_numpy(np.int64) for c in ("component", "n", "block", "id" if full else "component"))
+        sketch = np.stack(pdf["sketch"].to_list()).view(np.uint64)
+        sets = pdf["shingles"].to_list() if full else None
+        cuts = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1).tolist(), len(key)]
+        pairs = set()
+        for s, e in zip(cuts[:-1], cuts[1:], strict=True):
+            own = None if key[s, 1] == key[s, 2] else block[s:e]
+            found = forest(comp[s:e], own, size[s:e], sketch[s:e], percent, most, sets[s:e] if full else None)
+            pairs.update((int(name[s + i]), int(name[s + j])) for i, j in found)
+        return pd.DataFrame(sorted(pairs), columns=["a", "b"]).astype("int64")
+
+    dealt = rows.withColumnRenamed(group, "g").withColumn("call", F.pmod(F.xxhash64("g", "x", "y"), F.lit(calls)))
+    return dealt.groupBy("call").applyInPandas(find, "a long, b long").distinct()
+
+
+def links_between_components(df: DataFrame, at: DataFrame, texts: DataFrame, percent: int, most: int, k: int, id_col: str, text_col: str) -> DataFrame:
+    """Confirmed links (a, b) that join components of at(band, id) over texts(id, component, n, sketch)."""
+    rows = materialise(block_pairs(at.select("band", "id").join(texts, "id").withColumn("one", F.lit(1)), "band", "one", SKETCHES), "sketch-blocks")
+    alike = materialise(forests(rows, "band", "one", SKETCHES, percent, most, False), "alike")
+    release(rows)
+    family = components(alike).select(F.col("node").alias("component"), F.col("component").alias("family"))
+    todo = materialise(texts.join(family, "component"), "families")
+    wanted = semi_by_bloom(df.select(id_col, text_col), id_col, todo.select(F.col("id").alias(id_col)), todo.count())
+    sets = shingle_sets(wanted, k, id_col, text_col).dropDuplicates(["id"])
+    rows = materialise(block_pairs(todo.join(sets, "id"), "family", "n", SHINGLES), "set-blocks")
+    links = materialise(forests(rows, "family", "n", 2 * SHINGLES, percent, most, True), "links")
+    release(rows, alike, family, todo)
+    return links
 
 
 def near_duplicates(df: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -232,9 +252,9 @@ def near_duplicates(df: DataFrame, k: int = 5, percent: int = 80, id_col: str =
     classes = some.groupBy("n", "lo", "hi").agg(F.min("id").alias("rep"))
     members = materialise(join_groups(some.select("id", "n", "lo", "hi"), classes, ["n", "lo", "hi"], "id").select("id", "n", "rep"), "members")
     copies = members.where("id <> rep").select("id")
-    reps = anti_by_bloom(some.select("id", "bands", "sketch"), "id", copies, copies.count()).dropDuplicates(["id"])
+    reps = anti_by_bloom(some.select("id", "n", "bands", "sketch"), "id", copies, copies.count()).dropDuplicates(["id"])
     reps = materialise(reps, "classes")
-    sketches = reps.select("id", "sketch", F.col("id").alias("component"))
+    sketches = reps.select("id", "n", "sketch", F.col("id").alias("component"))
 
     in_band = reps.select("id", F.explode("bands").alias("band"))
     buckets = in_band.groupBy("band").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("hub")).where("size > 1")
@@ -245,12 +265,13 @@ def near_duplicates(df: DataFrame, k: int = 5, percent: int = 80, id_col: str =
     comp = components(links)
 
     at = shared.select("band", "id", "hub").join(comp.select(F.col("node").alias("id"), "component"), "id", "left")
-    at = materialise(at.select("band", "id", "hub", F.coalesce("component", "id").alias("component")), "banded")
-    mixed = at.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("band")
-    at = materialise(join_groups(at, mixed, ["band"], "id", 1), "mixed-bands")
-    todo = at.select("id", "component").distinct().join(sketches.select("id", "sketch"), "id")
-    more = materialise(links_between_components(df, materialise(todo, "mixed-texts"), percent, most, k, id_col, text_col), "links")
+    banded = materialise(at.select("band", "id", F.coalesce("component", "id").alias("component")), "banded")
+    mixed = banded.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("band")
+    at = materialise(join_groups(banded, mixed, ["band"], "id", 1), "mixed-bands")
+    texts = materialise(at.select("id", "component").distinct().join(sketches.select("id", "n", "sketch"), "id"), "mixed-texts")
+    more = links_between_components(df, at, texts, percent, most, k, id_col, text_col)
     comp = components(links.unionByName(more)) if more.limit(1).count() else comp
+    release(reps, shared, links, banded, at, texts, more)
 
     out = members.join(comp.select(F.col("node").alias("rep"), "component"), "rep", "left")
     out = out.select("id", "n", F.coalesce("component", "rep").alias("component"))

@@ -201,13 +201,14 @@ def test_texts_of_one_template(spark, monkeypatch):
     rows = [(i, " ".join(template + [word() for _ in range(rng.choice([8, 11, 14, 17, 20, 24]))])) for i in range(240)]
     rows += [(1000 + i, t + " " + word()) for i, t in rows[::6]]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    monkeypatch.setattr(near_dedup, "BLOCK", 16)
-    monkeypatch.setattr(near_dedup, "CALL_ROWS", 64)
-    sets = near_dedup.shingle_sets(df, 4, "doc_id", "text").withColumn("component", F.col("id")).withColumn("n", F.size("shingles"))
-    sets = sets.withColumn("sketch", F.array(*[F.lit(0)] * 8))
-    blocks = near_dedup.shingle_blocks(near_dedup.prefixes(sets, 80), sets.select("id", "component", "n", "sketch"), 80)
-    sizes = [r["count"] for r in blocks.groupBy("shingle", "class", "x", "y").count().collect()]
-    assert len(sizes) > 20 and max(sizes) <= 4 * 16
+    monkeypatch.setattr(near_dedup, "SKETCHES", 16)
+    monkeypatch.setattr(near_dedup, "SHINGLES", 1000)
+    sets = near_dedup.shingle_sets(df, 4, "doc_id", "text").withColumn("component", F.col("id")).withColumn("n", F.size("shingles")).withColumn("family", F.lit(1))
+    blocks = near_dedup.block_pairs(sets, "family", "n", 1000)
+    sizes = [r["w"] for r in blocks.groupBy("x", "y").agg(F.sum("n").alias("w")).collect()]
+    assert len(sizes) > 20 and max(sizes) <= 4 * 1000
+    one = near_dedup.block_pairs(sets.withColumn("component", F.when(F.col("id") < 200, 0).otherwise(F.col("id"))), "family", "n", 1000)
+    assert one.where("component = 0").groupBy("x", "y").agg(F.countDistinct("block").alias("k")).where("k > 1").count() == 0
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.near_duplicates(df, 4).collect()}
     want = brute.near_components(rows, 4)
     assert got == want and 1 < len({c for _, c in want.values()}) < len(rows)
