@@ -238,7 +238,7 @@ def links_between_components(df: DataFrame, at: DataFrame, texts: DataFrame, per
     todo = materialise(texts.join(family, "component"), "families")
     wanted = semi_by_bloom(df.select(id_col, text_col), id_col, todo.select(F.col("id").alias(id_col)), todo.count())
     sets = shingle_sets(wanted, k, id_col, text_col).dropDuplicates(["id"])
-    rows = materialise(block_pairs(todo.join(sets, "id"), "family", "n", SHINGLES), "set-blocks")
+    rows = materialise(block_pairs(todo, "family", "n", SHINGLES).join(sets, "id"), "set-blocks")
     links = materialise(forests(rows, "family", "n", 2 * SHINGLES, percent, most, True), "links")
     release(rows, alike, family, todo)
     return links
