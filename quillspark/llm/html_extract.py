@@ -1,16 +1,19 @@
 """Operator 8: main text of HTML pages, with site templates removed.
 
 First pass: each page is read into a light element tree; every block element's subtree outside the article, and every container (not a
-paragraph) inside it, is hashed from its tag, text and children. Spark counts each host's pages with each hash. A subtree that recurs
-on at least MIN_PAGES pages and the SHARE of its host's pages is a template. Second pass: templates, and elements that by tag, role or class are menus,
-headers, footers, sidebars, notices, adverts, forms, scripts or comments, are deleted; the text blocks that remain are the result. Only pages on which a
-template survives the structural rules are shuffled to meet their hashes.
+paragraph) inside it, is hashed from its tag, text and children, whatever its tag or class says. Spark counts each host's distinct pages with each hash. A subtree is a template
+if it recurs on enough of them (`pages_needed`: all of three, six of nine, 20 of 100, 2,000 of a million, so that the share falls as a host grows and notices that rotate are
+found too). Copies of one page count once, so that copied pages aren't taken for templates. Second pass: templates are deleted; what they leave is read by structural rules as a
+fallback, for what occurs on few pages: elements that by tag, role or class are menus, headers, footers, sidebars, notices, adverts, forms, scripts or comments are
+dropped; the text blocks that remain are the result. Only pages on which a template survives the structural rules are shuffled to meet their hashes.
 
 If a page has `article` elements, only their text counts; else `main`; else the body. Paragraphs of an article are never templates,
 as passages may recur in many articles.
 
+Reading takes time in proportion to a page's length, however deeply its elements are nested or left open.
+
 Defined cases: null html is an empty page with text ''; cut-off pages and unclosed tags are read as far as they go; a null URL has the host ''; repeated rows
-each give a row; an empty table gives no rows. Only the id, URL and html columns are read.
+each give a row; an empty table gives no rows. After a tag whose quoted value never ends, tags of that page end at their first `>`. Only the id, URL and html columns are read.
 """
 
 from __future__ import annotations
@@ -22,12 +25,12 @@ from html import unescape
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bloom_filter, bloom_words, materialise, maybe_in, pieces
+from .common import bloom_filter, bloom_words, materialise, maybe_in, pieces, release
 from .url_filter import host_and_path
 
-MIN_PAGES, SHARE = 10, 0.3
-
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*|[^>]*)>|<[!?][^>]*>|<[a-zA-Z/!?][^>]*\Z""", re.S)
+#: The rest of a start tag after its name; quoted values may hold `>`.
+_REST = re.compile(r"""((?>[^>"']+|"[^"]*"|'[^']*')*+)>""")
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 _ATTR = re.compile(r"""([a-zA-Z_:][-\w:.]*)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 _SPACE = re.compile(r"[ \t\n\x0b\x0c\r]+")
 _WORD = re.compile(r"[a-z0-9]+")
@@ -53,6 +56,7 @@ MARKS = frozenset(
 )
 HEADERS = frozenset(("header", "site-header", "page-header", "siteheader", "pageheader", "top-header"))
 #: An open element of the key closes when one of these starts.
+ENDS_ITEMS = frozenset("ul ol dl table tbody thead div article body select".split())
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}}
 _NO_P = BLOCK - {"html", "body", "head", "td", "th", "tr", "tbody", "thead", "tfoot", "caption", "option", "legend", "summary", "center"}
 
@@ -74,101 +78,123 @@ def _marked(tag: str, attrs: str) -> bool:
 
 
 class Element:
-    __slots__ = ("tag", "dropped", "inside", "header", "parts", "nodes")
-
-    def __init__(self, tag: str, dropped: bool, inside: bool, header: bool):
-        self.tag, self.dropped, self.inside, self.header, self.parts, self.nodes = tag, dropped, inside, header, [], []
+    """An open or closed element; `block` is the nearest open block element at or above it, `items` the list items, cells and so on that a new one would close."""
+
+    __slots__ = ("tag", "up", "depth", "dropped", "inside", "header", "parts", "digest", "block", "items")
+
+    def __init__(self, tag: str, up: Element | None, dropped: bool, inside, header: bool):
+        self.tag, self.up, self.dropped, self.inside, self.header, self.parts, self.digest = tag, up, dropped, inside, header, [], None
+        self.depth = up.depth + 1 if up else 0
+        self.block = self if up is None or tag in BLOCK else up.block
+        self.items = {} if up is None or tag in ENDS_ITEMS else {**up.items, tag: self} if tag in CLOSED_BY else up.items
+
+
+def tags_and_text(html: str):
+    """(text, tag, attributes) in page order: tag is None for text, attributes None for an end tag. Comments, declarations and raw elements are left out."""
+    at, quoted = 0, True
+    while True:
+        lt = html.find("<", at)
+        if lt < 0:
+            yield html[at:], None, None
+            return
+        c = html[lt + 1 : lt + 2]
+        if not (c in ("/", "!", "?") or c.isascii() and c.isalpha()):
+            yield html[at : lt + 1], None, None
+            at = lt + 1
+            continue
+        if lt > at:
+            yield html[at:lt], None, None
+        if html.startswith("<!--", lt):
+            at = html.find("-->", lt + 4) + 3
+            if at < 3:
+                return
+            continue
+        name = _NAME.match(html, lt + 2 if c == "/" else lt + 1)
+        m = _REST.match(html, name.end()) if quoted and name and c != "/" else None
+        quoted = quoted and (m is not None or not name or c == "/")
+        end = m.end() - 1 if m else html.find(">", lt)
+        if end < 0:
+            return
+        at = end + 1
+        if name is None or name.end() > end:
+            continue
+        tag, attrs = name[0].lower(), html[name.end() : end]
+        if c == "/":
+            yield None, tag, None
+        elif tag in RAW and not attrs.endswith("/"):
+            stop = re.compile("</" + tag, re.I).search(html, at)
+            if stop is None:
+                return
+            at = html.find(">", stop.end()) + 1
+            if at < 1:
+                return
+        else:
+            yield None, tag, attrs
 
 
 def read_page(html: str):
-    """(blocks, subtrees, places): blocks (text, kind, owners) in page order, subtrees (hash, survives), which of article and main there are."""
+    """(blocks, elements, places): blocks (text, kind, element) in page order, the hashed elements, which of article and main there are."""
     import xxhash
 
-    root = Element("", False, False, False)
-    stack, blocks, subtrees, places = [root], [], [], set()
+    root = Element("", None, False, False, False)
+    top, blocks, hashed, places = root, [], [], set()
     buffer: list[str] = []
+    opened: dict[str, int] = {}
 
     def flush() -> None:
         if buffer:
             text = _SPACE.sub(" ", unescape("".join(buffer))).strip(" ")
             buffer.clear()
             if text:
-                top = stack[-1]
-                kind = 0 if top.dropped else 2 if top.inside == "article" else 1 if top.inside == "main" else 3
-                block = [text, kind, []]
-                blocks.append(block)
-                for e in stack:
-                    e.nodes.append(block)
+                blocks.append((text, 0 if top.dropped else 2 if top.inside == "article" else 1 if top.inside == "main" else 3, top))
                 top.parts.append(text)
 
     def close() -> None:
-        if stack[-1].tag in BLOCK:
+        nonlocal top
+        if top.tag in BLOCK:
             flush()
-        e = stack.pop()
+        e, top = top, top.up
+        opened[e.tag] -= 1
         if e.parts:
             digest = xxhash.xxh64_intdigest("\x00".join((e.tag, *e.parts))) - (1 << 63)
-            stack[-1].parts.append(str(digest))
+            top.parts.append(str(digest))
             if e.tag in BLOCK and e.tag not in ("html", "body", "article", "main", "head") and not (e.inside and e.tag in PARAGRAPH):
-                subtrees.append((digest, not e.dropped))
-                for block in e.nodes:
-                    block[2].append(digest)
-
-    at, end, low = 0, len(html), None
-    while at < end:
-        m = _TOKEN.search(html, at)
-        if m is None:
-            buffer.append(html[at:])
-            break
-        if m.start() > at:
-            buffer.append(html[at : m.start()])
-        at = m.end()
-        if m[2] is None:
+                e.digest = digest
+                hashed.append(e)
+
+    def close_to(e: Element) -> None:
+        while top.depth >= e.depth:
+            close()
+
+    for text, tag, attrs in tags_and_text(html):
+        if tag is None:
+            buffer.append(text)
             continue
-        tag = m[2].lower()
-        if m[1]:
-            if tag in VOID:
-                if tag == "br":
-                    buffer.append(" ")
-                continue
+        if tag == "br":
+            buffer.append(" ")
+            continue
+        if attrs is None:
             if tag in BLOCK:
                 flush()
-            if any(e.tag == tag for e in stack):
-                while stack[-1].tag != tag:
+            if tag not in VOID and opened.get(tag):
+                while top.tag != tag:
                     close()
                 close()
             continue
         if tag in VOID:
             if tag == "hr":
                 flush()
-            elif tag == "br":
-                buffer.append(" ")
-            continue
-        if tag in RAW and not m[3].endswith("/"):
-            low = low or html.lower()
-            stop = low.find("</" + tag, at)
-            at = end if stop < 0 else (html.find(">", stop) + 1 or end)
             continue
         if tag in BLOCK:
             flush()
-            if tag in _NO_P:
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i].tag == "p":
-                        while len(stack) > i:
-                            close()
-                        break
-                    if stack[i].tag in BLOCK:
-                        break
-            for i in range(len(stack) - 1, 0, -1):
-                if tag in CLOSED_BY.get(stack[i].tag, ()):
-                    while len(stack) > i:
-                        close()
-                    break
-                if stack[i].tag in ("ul", "ol", "dl", "table", "tbody", "thead", "div", "article", "body", "select"):
-                    break
-        up = stack[-1]
-        header = up.header or (tag == "header" and bool(up.inside))
-        dropped = up.dropped or (tag in DROPPED and not (tag == "header" and up.inside)) or (bool(m[3].strip()) and _marked(tag, m[3]))
-        inside = up.inside
+            if tag in _NO_P and top.block.tag == "p":
+                close_to(top.block)
+            ended = [e for t, e in top.items.items() if tag in CLOSED_BY[t]]
+            if ended:
+                close_to(max(ended, key=lambda e: e.depth))
+        header = top.header or (tag == "header" and bool(top.inside))
+        dropped = top.dropped or (tag in DROPPED and not (tag == "header" and top.inside)) or (bool(attrs.strip()) and _marked(tag, attrs))
+        inside = top.inside
         if tag == "article" and not dropped:
             inside = "article"
         elif tag == "main" and not inside and not dropped:
@@ -176,40 +202,68 @@ def read_page(html: str):
         places.add(inside)
         if header and not dropped and tag in HEADING:
             header = False
-        e = Element(tag, dropped or (header and tag not in ("header", "hgroup", "div", "section")), inside, header)
-        if not m[3].endswith("/") or tag in BLOCK:
-            stack.append(e)
+        if not attrs.endswith("/") or tag in BLOCK:
+            top = Element(tag, top, dropped or (header and tag not in ("header", "hgroup", "div", "section")), inside, header)
+            opened[tag] = opened.get(tag, 0) + 1
     flush()
-    while len(stack) > 1:
+    while top is not root:
         close()
-    return blocks, subtrees, places
+    return blocks, hashed, places
 
 
 def main_text(html: str, templates=frozenset()) -> str:
     """The page's main text without the subtrees whose hashes are in `templates`."""
     blocks, _, places = read_page(html)
     wanted = 2 if "article" in places else 1 if "main" in places else 3
-    return "\n".join(b[0] for b in blocks if b[1] == wanted and (not templates or templates.isdisjoint(b[2])))
+    known: dict[int, bool] = {}
+
+    def deleted(e: Element) -> bool:
+        way = []
+        while e is not None and id(e) not in known:
+            way.append(e)
+            e = e.up
+        gone = e is not None and known[id(e)]
+        for e in reversed(way):
+            gone = known[id(e)] = gone or e.digest in templates
+        return gone
+
+    return "\n".join(text for text, kind, e in blocks if kind == wanted and not (templates and deleted(e)))
+
+
+def pages_needed(host_pages):
+    """On how many distinct pages of a host a subtree must recur to be a template: three at least, then twice the square root of all."""
+    return F.greatest(F.lit(3), F.least(host_pages, F.ceil(F.sqrt(host_pages) * 2)))
 
 
 def page_subtrees(pages: DataFrame) -> DataFrame:
-    """(id, host, subtree, survives) for the distinct subtrees of each page."""
+    """(id, host, page, subtree, survives) for the distinct subtrees of each page; `page` is a hash of all its text."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
+        import xxhash
 
         for b in pieces(batches):
             rows = []
             for i, host, html in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
+                blocks, hashed, _ = read_page(html or "")
+                page = xxhash.xxh64_intdigest("\n".join(x[0] for x in blocks).encode("utf-8", "surrogatepass")) - (1 << 63)
                 seen: dict[int, bool] = {}
-                for digest, survives in read_page(html or "")[1]:
-                    seen[digest] = seen.get(digest, False) or survives
-                rows += [(i, host, d, s) for d, s in seen.items()]
+                for e in hashed:
+                    seen[e.digest] = seen.get(e.digest, False) or not e.dropped
+                rows += [(i, host, page, d, s) for d, s in seen.items()]
             if rows:
-                kinds = [pa.int64(), pa.string(), pa.int64(), pa.bool_()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["id", "host", "subtree", "survives"])
+                kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.bool_()]
+                names = ["id", "host", "page", "subtree", "survives"]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+
+    return pages.select("id", "host", "html").mapInArrow(run, "id long, host string, page long, subtree long, survives boolean")
+
 
-    return pages.select("id", "host", "html").mapInArrow(run, "id long, host string, subtree long, survives boolean")
+def templates_of(found: DataFrame) -> DataFrame:
+    """Distinct (host, subtree) of the templates, from rows(host, page, subtree)."""
+    sizes = found.select("host", "page").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("host_pages"))
+    times = found.select("host", "subtree", "page").distinct().groupBy("host", "subtree").agg(F.count(F.lit(1)).alias("times"))
+    return times.where("times > 2").join(sizes, "host").where(F.col("times") >= pages_needed(F.col("host_pages"))).select("host", "subtree")
 
 
 def extract_main_text(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -217,11 +271,9 @@ def extract_main_text(df: DataFrame, id_col: str = "page_id", url_col: str = "ur
     raw = df.select(F.col(id_col).alias("id"), F.col(url_col).alias("_url"), F.col(html_col).alias("html"))
     pages = raw.withColumn("host", host_and_path(F.col("_url"))[0])
     found = materialise(page_subtrees(pages), "subtrees")
-    sizes = pages.groupBy("host").agg(F.count(F.lit(1)).alias("host_pages"))
-    often = found.groupBy("host", "subtree").agg(F.count(F.lit(1)).alias("times")).where(F.col("times") >= MIN_PAGES)
-    often = often.join(sizes, "host").where(F.col("times") >= F.col("host_pages") * SHARE).select("host", "subtree")
-    hit = found.where("survives").join(often, ["host", "subtree"]).groupBy("id").agg(F.collect_set("subtree").alias("templates"))
+    hit = found.where("survives").join(templates_of(found), ["host", "subtree"]).groupBy("id").agg(F.collect_set("subtree").alias("templates"))
     hit = materialise(hit, "templates")
+    release(found)
 
     words = bloom_words(hit.count())
     h = F.xxhash64(F.col("id").cast("bigint"))

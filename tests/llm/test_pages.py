@@ -84,6 +84,62 @@ def test_templates_are_removed_per_host(spark):
     assert html_extract.extract_main_text(df.where("page_id < 0")).count() == 0
 
 
+def test_rotating_templates_small_hosts_and_copies(spark):
+    """Eight notices rotate over a large host; a host has three pages; copies of one page aren't templates; extra columns clash."""
+    notice = [f"Notice {k} of this site" for k in range(8)]
+    rows = [(i, f"https://big.org/{i}", f"<div>{notice[i % 8]}</div><div><p>own {i}</p></div>") for i in range(400)]
+    rows += [(1000 + i, f"https://small.org/{i}", f"<div>Follow us</div><p>small {i}</p>") for i in range(3)]
+    rows += [(2000 + i, f"https://copy.org/{i}", "<div><p>the same page</p></div>") for i in range(40)] + [(2999, "https://copy.org/x", "<p>another</p>")]
+    df = spark.createDataFrame([(*r, "x", "y") for r in rows], "page_id long, url string, html string, templates string, host string")
+    got = {r.page_id: r.text for r in html_extract.extract_main_text(df).collect()}
+    assert len(got) == len(rows)
+    assert all(got[i] == f"own {i}" for i in range(400)) and all(got[1000 + i] == f"small {i}" for i in range(3))
+    assert all(got[2000 + i] == "the same page" for i in range(40)) and got[2999] == "another"
+
+
+def plain_templates(pages):
+    """The templates of (host, html) pages, counted in loops."""
+    import collections
+    import math
+
+    pages_of, seen = collections.defaultdict(set), collections.defaultdict(set)
+    for host, html in pages:
+        blocks, hashed, _ = html_extract.read_page(html)
+        text = "\n".join(b[0] for b in blocks)
+        if hashed:
+            pages_of[host].add(text)
+        for e in hashed:
+            seen[host, e.digest].add(text)
+    need = {h: max(3, min(len(p), math.ceil(2 * math.sqrt(len(p))))) for h, p in pages_of.items()}
+    return {(h, d) for (h, d), texts in seen.items() if len(texts) >= need[h]}
+
+
+def test_templates_against_loops(spark, small):
+    rows = [(r.page_id, r.url, r.html) for r in table(spark, small, "pages").collect()]
+    host = lambda url: re.match(r"[^/?#]*", url.split("://", 1)[1])[0].lower()
+    plain = lambda h: re.sub(r"</?(nav|header|footer|aside|form|article|main)\b", lambda m: m[0].replace(m[1], "div"), h.replace('class="', 'data-k="'))
+    for strip in (str, plain):
+        # Once without the tags and classes that the structural rules know. Each host gets a closing line and one of three notices.
+        rows = [(i, u, strip(h) + f"<div>All pages of {host(u)}</div><section><div>Notice {i % 3}</div></section>") for i, u, h in rows]
+        want = plain_templates([(host(u), h) for _, u, h in rows])
+        df = spark.createDataFrame([(i, host(u), h) for i, u, h in rows], "id long, host string, html string")
+        found = html_extract.page_subtrees(df)
+        assert {(r.host, r.subtree) for r in html_extract.templates_of(found).collect()} == want
+        assert want
+        text = {r.page_id: r.text for r in html_extract.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+        for i, u, h in rows:
+            assert text[i] == html_extract.main_text(h, frozenset(d for x, d in want if x == host(u)))
+
+
+@pytest.mark.parametrize("html", ["<div>" * 20_000, "<div>x" * 20_000, "<div><li>" + "<span>" * 8000 + "<li></li>" * 5000, "<a '" * 20_000, "<!--" * 30_000, '<a "> " ' * 20_000])
+def test_time_grows_with_length(html):
+    import time
+
+    began = time.perf_counter()
+    html_extract.main_text(html)
+    assert time.perf_counter() - began < 3
+
+
 def test_articles_of_the_driver_tables(spark, small):
     html = {r.page_id: r.html for r in table(spark, small, "pages").collect()}
     rows = queries.op8_html_extraction(spark, small).collect()
