@@ -7,7 +7,7 @@ A task packs its own partition in pools of about `POOL_WINDOWS` windows, so no s
 3. the least filled windows are then taken apart to fill the others' gaps (pieces may be cut freely), and what is left
    in the end goes into sequences whose lengths are powers of two, which need no padding.
 
-Defined cases: a null or empty text is its end id alone. Repeated rows are packed once each. An empty table gives no
+Defined cases: a null or empty text is its end id alone. Very long texts, of white space too, are encoded whole. Repeated rows are packed once each. An empty table gives no
 rows. Only the id and text columns are read. Results depend on how the rows are dealt to partitions, and a task that is
 run again on the same rows gives the same result.
 """

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import exact_dedup, html_extract, near_dedup, packing, piece_bpe, quality_cnn, quality_rules, suffix_dedup, token_counts, url_filter
-from .common import table
+from .common import materialise, table
 
 
 def tokenizer_paths() -> dict[str, str]:
@@ -51,7 +51,7 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     lengths = token_counts.token_lengths(table(spark, sf_dir, "documents"), **_byte_bpe())
-    return token_counts.context_table(token_counts.length_histogram(lengths))
+    return token_counts.context_table(materialise(token_counts.length_histogram(lengths), "length-histogram"))
 
 
 def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

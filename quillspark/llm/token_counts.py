@@ -7,7 +7,7 @@ when every document is truncated to L, tokens lost, and the share of documents n
 
 The sums run in two levels, inside blocks of lengths and over the blocks' totals, so that no window holds the whole
 histogram. Defined cases: null and empty texts have length 0 and are counted; repeated rows count each time; an empty
-table gives no rows. Only the text column is read.
+table gives no rows; very long texts and runs of white space are encoded whole. Only the text column is read.
 """
 
 from __future__ import annotations
@@ -44,7 +44,7 @@ def length_histogram(lengths: DataFrame) -> DataFrame:
 
 
 def context_table(hist: DataFrame) -> DataFrame:
-    """From (n_tokens, n_docs): a row for each context limit with the answers named above."""
+    """From (n_tokens, n_docs): a row for each context limit with the answers named above. `hist` is read twice: write it first, or its texts are encoded twice."""
     h = hist.withColumn("tokens", F.col("n_tokens") * F.col("n_docs")).withColumn("block", F.floor(F.col("n_tokens") / BLOCK))
     inside = Window.partitionBy("block").orderBy("n_tokens")
     h = h.withColumns({"d": F.sum("n_docs").over(inside), "t": F.sum("tokens").over(inside)})

@@ -1,8 +1,9 @@
 """Byte-level BPE ids of whole texts, one vocabulary in two file forms.
 
 The ids are those of the tokenizers library. A text goes through tiktoken with the same vocabulary as ranks, which gives
-the same ids (a test holds the two against each other) several times faster; a text that holds a special token's string,
-which tokenizers reads as that token, goes through tokenizers itself.
+the same ids (a test holds the two against each other) several times faster. A text that holds a special token's string,
+which tokenizers reads as that token, goes through tokenizers itself, and so does a text whose runs of white space are too long for tiktoken's
+pattern (hundreds of thousands of characters), which it refuses with a ValueError.
 """
 
 from __future__ import annotations
@@ -24,9 +25,12 @@ class TextEncoder:
         self.fast = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
     def encode(self, text: str) -> np.ndarray:
-        if any(s in text for s in self.special):
-            return np.array(self.tok.encode(text, add_special_tokens=False).ids, np.uint32)
-        return self.fast.encode_to_numpy(text, disallowed_special=())
+        if not any(s in text for s in self.special):
+            try:
+                return self.fast.encode_to_numpy(text, disallowed_special=())
+            except ValueError:
+                pass
+        return np.array(self.tok.encode(text, add_special_tokens=False).ids, np.uint32)
 
 
 _ENCODERS: dict[tuple[str, str, str], TextEncoder] = {}
