@@ -20,13 +20,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a local default where it is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir. Where it is unset, a local session has its own; on a cluster that is an error."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = "/tmp/checkpoints/quillspark"
     return path.rstrip("/")
 
 
+def fresh(columns: list[str], *names: str) -> list[str]:
+    """Column names like `names` that none of `columns` has (in any case), so that helper columns never meet the caller's."""
+    taken, out = {c.lower() for c in columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        taken.add(n.lower())
+        out.append(n)
+    return out
+
+
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write `df` as Parquet in the shared folder and read it back: cuts lineage and survives lost executors."""
     spark = df.sparkSession
@@ -71,36 +84,36 @@ def bloom_mask(key_hash: Column) -> Column:
 
 
 def bloom_filter(keys: DataFrame, key_hash: Column, words: int) -> DataFrame:
-    """A blocked Bloom filter as a table (__bf_word, __bf_bits) of at most `words` rows."""
-    return (
-        keys.select(bloom_word(key_hash, words).alias("__bf_word"), bloom_mask(key_hash).alias("m"))
-        .groupBy("__bf_word")
-        .agg(F.bit_or("m").alias("__bf_bits"))
-    )
+    """A blocked Bloom filter as a table (word, bits) of at most `words` rows."""
+    rows = keys.select(bloom_word(key_hash, words).alias("word"), bloom_mask(key_hash).alias("m"))
+    return rows.groupBy("word").agg(F.bit_or("m").alias("bits"))
 
 
 def maybe_in(df: DataFrame, key_hash: Column, filt: DataFrame, words: int, flag: str) -> DataFrame:
     """Add boolean `flag`: false means the key is surely not in `filt`. The filter has at most MAX_BLOOM_WORDS rows."""
-    probe = df.withColumns({"__bf_word": bloom_word(key_hash, words), "__bf_mask": bloom_mask(key_hash)})
-    hit = F.coalesce(F.col("__bf_bits").bitwiseAND(F.col("__bf_mask")) == F.col("__bf_mask"), F.lit(False))
-    return probe.join(F.broadcast(filt), "__bf_word", "left").withColumn(flag, hit).drop("__bf_word", "__bf_mask", "__bf_bits")
+    word, mask, bits = fresh([*df.columns, flag], "bf_word", "bf_mask", "bf_bits")
+    probe = df.withColumns({word: bloom_word(key_hash, words), mask: bloom_mask(key_hash)})
+    hit = F.coalesce(F.col(bits).bitwiseAND(F.col(mask)) == F.col(mask), F.lit(False))
+    small = filt.select(F.col("word").alias(word), F.col("bits").alias(bits))
+    return probe.join(F.broadcast(small), word, "left").withColumn(flag, hit).drop(word, mask, bits)
 
 
 def semi_by_bloom(df: DataFrame, key: str, wanted: DataFrame, n_wanted: int) -> DataFrame:
     """Rows of `df` whose `key` may be in `wanted[key]` (no false negatives): shrinks what a later join shuffles."""
     words = bloom_words(n_wanted)
     h = F.xxhash64(F.col(key).cast("bigint"))
-    filt = bloom_filter(wanted, h, words)
-    return maybe_in(df, h, filt, words, "__bf_hit").where("__bf_hit").drop("__bf_hit")
+    (flag,) = fresh(df.columns, "bf_hit")
+    return maybe_in(df, h, bloom_filter(wanted, h, words), words, flag).where(F.col(flag)).drop(flag)
 
 
 def anti_by_bloom(df: DataFrame, key: str, lost: DataFrame, n_lost: int) -> DataFrame:
     """Rows of `df` whose `key` isn't in `lost[key]`: only rows that may be in it are shuffled, the rest pass straight through."""
     words = bloom_words(n_lost)
     h = F.xxhash64(F.col(key).cast("bigint"))
-    flagged = maybe_in(df, h, bloom_filter(lost, h, words), words, "__bf_hit")
-    tested = flagged.where("__bf_hit").join(lost.select(key).distinct(), key, "left_anti")
-    return flagged.where("not __bf_hit").unionByName(tested).select(*df.columns)
+    (flag,) = fresh(df.columns, "bf_hit")
+    flagged = maybe_in(df, h, bloom_filter(lost, h, words), words, flag)
+    tested = flagged.where(F.col(flag)).join(lost.select(key).distinct(), key, "left_anti")
+    return flagged.where(~F.col(flag)).unionByName(tested).select(*df.columns)
 
 
 def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], by: str, salts: int = 16) -> DataFrame:

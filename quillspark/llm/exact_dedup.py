@@ -40,7 +40,7 @@ def _cells(h: Column, words: int) -> Column:
 
 
 def repeated_cells(hashes: DataFrame, words: int) -> DataFrame:
-    """(__bf_word, __bf_bits): the cells that at least two rows of `hashes.h` meet, as bits; at most `words` rows."""
+    """(word, bits): the cells that at least two rows of `hashes.h` meet, as bits; at most `words` rows."""
     met = (
         hashes.select(F.explode(_cells(F.col("h"), words)).alias("cell"))
         .groupBy("cell")
@@ -48,7 +48,7 @@ def repeated_cells(hashes: DataFrame, words: int) -> DataFrame:
         .where("n > 1")
     )
     bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("cell").bitwiseAND(F.lit(63)).cast("int"))
-    return met.groupBy(F.shiftright("cell", 6).cast("int").alias("__bf_word")).agg(F.bit_or(bit).alias("__bf_bits"))
+    return met.groupBy(F.shiftright("cell", 6).cast("int").alias("word")).agg(F.bit_or(bit).alias("bits"))
 
 
 def groups_of_equal_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_rows: int | None = None) -> DataFrame:
@@ -63,7 +63,7 @@ def groups_of_equal_text(df: DataFrame, id_col: str = "doc_id", text_col: str =
     a, b = (_cells(F.col("h"), words)[i] for i in (0, 1))
     probe = digests.withColumns({"c0": a, "c1": b})
     for c in ("c0", "c1"):
-        f = filt.select(F.col("__bf_word").alias(f"w_{c}"), F.col("__bf_bits").alias(f"b_{c}"))
+        f = filt.select(F.col("word").alias(f"w_{c}"), F.col("bits").alias(f"b_{c}"))
         probe = probe.join(F.broadcast(f), F.shiftright(c, 6).cast("int") == F.col(f"w_{c}"), "left")
         probe = probe.withColumn(f"in_{c}", F.coalesce(F.getbit(f"b_{c}", F.col(c).bitwiseAND(F.lit(63)).cast("int")) == 1, F.lit(False)))
     probe = probe.withColumn("maybe", F.col("in_c0") & F.col("in_c1")).select("id", "len", "sha", "maybe")

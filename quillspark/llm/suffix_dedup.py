@@ -27,7 +27,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bloom_filter, bloom_words, join_groups, materialise, maybe_in, mix64, pieces, semi_by_bloom
+from .common import bloom_filter, bloom_words, fresh, join_groups, materialise, maybe_in, mix64, pieces, release, semi_by_bloom
 from .difference_cover import repeated_windows
 
 GRAM = 24
@@ -253,13 +253,15 @@ def repeated_ranges(df: DataFrame, length: int = 200, id_col: str = "doc_id", te
     occ = materialise(occurrences(df, length, id_col, text_col), "runs")
     multi = occ.groupBy("anchor").agg(F.count(F.lit(1)).alias("times"), F.min("run").alias("r0"), F.max("run").alias("r1")).where("times > 1")
     met = materialise(join_groups(occ, multi.select("anchor", (F.col("r0") == F.col("r1")).alias("equal")), ["anchor"], "doc", 1), "shared-anchors")
-    easy = met.where("equal").select("doc", F.col("s").cast("bigint").alias("a"), (F.col("s") + F.col("n")).cast("bigint").alias("b"))
+    release(occ)
 
     mixed = met.where("not equal")
     distinct = mixed.groupBy("anchor", "run").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("doc", "s", "n")).alias("one"))
     distinct = materialise(distinct.select("anchor", "run", "c", "one.*"), "distinct-runs")
-    whole = join_groups(mixed, distinct.where("c > 1").select("anchor", "run"), ["anchor", "run"], "doc", 1)
-    easy2 = whole.select("doc", F.col("s").cast("bigint").alias("a"), (F.col("s") + F.col("n")).cast("bigint").alias("b"))
+    # Each occurrence keeps its row here and learns whether its run is repeated as a whole.
+    known = met.join(distinct.where("c > 1").select("anchor", "run", F.lit(True).alias("again")).hint("merge"), ["anchor", "run"], "left")
+    start = F.col("s").cast("bigint")
+    easy = known.where("equal or again").select("doc", start.alias("a"), (start + F.col("n")).alias("b"))
 
     size = F.sum(F.col("n") + F.lit(length - 1))
     sized = distinct.groupBy("anchor").agg(size.alias("bytes"))
@@ -274,7 +276,7 @@ def repeated_ranges(df: DataFrame, length: int = 200, id_col: str = "doc_id", te
 
     sorted_ = _by_suffix_order(strings.where("not hot").select("bucket", "doc", "s", "n", "c", "data"), length)
     hot = _by_blocks(strings.where("hot"), length)
-    return easy.unionByName(easy2).unionByName(sorted_).unionByName(hot)
+    return easy.unionByName(sorted_).unionByName(hot)
 
 
 def kept_bytes(data: bytes, ranges, length: int) -> tuple[bytes, int, int]:
@@ -290,15 +292,16 @@ def kept_bytes(data: bytes, ranges, length: int) -> tuple[bytes, int, int]:
     return np.frombuffer(data, np.uint8)[~gone].tobytes(), int(gone.sum()), starts
 
 
-def with_ranges(df: DataFrame, ranges: DataFrame, id_col: str, columns: list[str]) -> DataFrame:
-    """`columns` of df with `ranges`, null where there is none; documents without ranges aren't shuffled."""
-    per_doc = materialise(ranges.groupBy(F.col("doc").alias(id_col)).agg(F.collect_list(F.struct("a", "b")).alias("__ranges")), "__ranges")
+def with_ranges(df: DataFrame, ranges: DataFrame, id_col: str, columns: list[str], name: str) -> DataFrame:
+    """`columns` of df with the document's ranges as `name`, null where there are none; documents without ranges aren't shuffled."""
+    per_doc = materialise(ranges.groupBy(F.col("doc").alias(id_col)).agg(F.collect_list(F.struct("a", "b")).alias(name)), "document-ranges")
     words = bloom_words(per_doc.count())
     h = F.xxhash64(F.col(id_col).cast("bigint"))
-    marked = maybe_in(df.select(*columns), h, bloom_filter(per_doc.select(id_col), h, words), words, "__hit")
+    (flag,) = fresh([*df.columns, name], "bf_hit")
+    marked = maybe_in(df.select(*columns), h, bloom_filter(per_doc.select(id_col), h, words), words, flag)
     none = F.lit(None).cast("array<struct<a:bigint,b:bigint>>")
-    rest = marked.where("__hit").join(per_doc.hint("merge"), id_col, "left").select(*columns, "__ranges")
-    return marked.where("not __hit").select(*columns, none.alias("__ranges")).unionByName(rest)
+    rest = marked.where(F.col(flag)).join(per_doc.hint("merge"), id_col, "left").select(*columns, name)
+    return marked.where(~F.col(flag)).select(*columns, none.alias(name)).unionByName(rest)
 
 
 def passage_digests(df: DataFrame, length: int = 200, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -318,7 +321,7 @@ def passage_digests(df: DataFrame, length: int = 200, id_col: str = "doc_id", te
                 names=[id_col, "n_bytes", "n_removed", "n_spans", "kept_sha256"],
             )
 
-    both = with_ranges(df, repeated_ranges(df, length, id_col, text_col), id_col, [id_col, text_col])
+    both = with_ranges(df, repeated_ranges(df, length, id_col, text_col), id_col, [id_col, text_col], fresh([id_col, text_col], "ranges")[0])
     return both.mapInArrow(run, f"{id_col} long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
@@ -332,5 +335,6 @@ def drop_repeated_passages(df: DataFrame, length: int = 200, id_col: str = "doc_
         left = lambda t, r: t if t is None or r is None else kept_bytes(t.encode(), r, length)[0].decode("utf-8", "ignore")
         return pd.Series([left(t, r) for t, r in zip(text, ranges, strict=True)], dtype=object)
 
-    both = with_ranges(df, repeated_ranges(df, length, id_col, text_col), id_col, df.columns)
-    return both.withColumn(text_col, cut(F.col(text_col), F.col("__ranges"))).select(*df.columns)
+    (name,) = fresh(df.columns, "ranges")
+    both = with_ranges(df, repeated_ranges(df, length, id_col, text_col), id_col, df.columns, name)
+    return both.withColumn(text_col, cut(F.col(text_col), F.col(name))).select(*df.columns)

@@ -51,6 +51,17 @@ def test_piece_query(spark, docs, no_docs, paths, invented_docs):
     assert ids[1] == [2]
 
 
+def test_long_segments(paths):
+    """Texts without a space are one segment."""
+    import sentencepiece
+
+    lib, own = sentencepiece.SentencePieceProcessor(model_file=paths["piece_path"]), piece_bpe.codec(paths["piece_path"])
+    rng = random.Random(7)
+    for t in ("a" * 20_000, "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(30_000)), "中é😀" * 5000, " " * 5000, "0123456789" * 2000):
+        assert own.encode(t) == lib.encode(t)
+        assert own.decode(own.encode(t)) == lib.decode(lib.encode(t))
+
+
 # --- 2 ---------------------------------------------------------------------------------------------------------------
 
 
@@ -164,6 +175,14 @@ def test_limits_between_lengths(spark):
     assert token_counts.answers_at(hist.where("n_docs < 0"), asked).count() == 0
 
 
+def test_long_runs_of_white_space(spark, paths):
+    long = [(1, " " * 700_000), (2, "a" + "\n \t" * 200_000 + "b"), (3, "x" * 100_000), (4, "\u2003" * 300_000)]
+    df = spark.createDataFrame(long, "doc_id long, text string")
+    check_packing(packing.pack_documents(df, **byte_paths(paths)).collect(), long, paths)
+    got = token_counts.token_lengths(df, **byte_paths(paths)).collect()
+    assert sorted(r.n_tokens for r in got for _ in range(r.n_docs)) == sorted(len(byte_ids(paths, t)) for _, t in long)
+
+
 # --- 4 ---------------------------------------------------------------------------------------------------------------
 
 
@@ -286,6 +305,34 @@ def test_classifier_on_held_out_documents(spark):
     assert np.mean([s >= 0.7 for s in good]) > 0.95
 
 
+def plain_score(net, text):
+    """The network's score by loops over its definition."""
+    data, step = text.encode(), quality_cnn.CHUNK - quality_cnn.OVERLAP
+    starts = [0]
+    while starts[-1] + quality_cnn.CHUNK < len(data):
+        starts.append(starts[-1] + step)
+    total = weight = 0.0
+    for at in starts:
+        own = data[at : at + quality_cnn.CHUNK]
+        padded = list(own) + [quality_cnn.PAD] * (quality_cnn.CHUNK - len(own))
+        best = [-1e9] * quality_cnn.FILTERS
+        for i in range(0, quality_cnn.CHUNK - quality_cnn.WIDTH + 1, quality_cnn.STRIDE):
+            seen = [float(v) for b in padded[i : i + quality_cnn.WIDTH] for v in net.embed[b]]
+            best = [max(m, v) for m, v in zip(best, np.array(seen) @ net.filters.astype(float))]
+        z = [max(0.0, m + float(b)) for m, b in zip(best, net.bias)] + [np.log1p(len(own)) / 7]
+        hidden = [max(0.0, sum(x * float(w) for x, w in zip(z, net.hidden[:, k])) + float(net.hidden_bias[k])) for k in range(quality_cnn.HIDDEN)]
+        s = sum(h * float(o) for h, o in zip(hidden, net.out)) + float(net.out_bias[0])
+        total, weight = total + s * max(1, len(own)), weight + max(1, len(own))
+    return 1 / (1 + np.exp(-total / weight))
+
+
+def test_forward_pass_equals_loops():
+    rng = random.Random(9)
+    texts = ["".join(rng.choice("abc de#é") for _ in range(n)) for n in (0, 1, 40, 1000, 2500)]
+    net = quality_cnn.train(texts, [1, 0, 1, 0, 1], steps=5)
+    assert quality_cnn.score(net, texts).tolist() == pytest.approx([plain_score(net, t) for t in texts], abs=1e-4)
+
+
 def test_classifier_edge_cases(spark, docs, no_docs):
     net = quality_cnn.train([], [])
     assert quality_cnn.score(net, ["", "abc"]).tolist() == [0.5, 0.5]
@@ -333,6 +380,36 @@ def test_repeated_passages(spark, docs, no_docs, small, invented_docs):
         assert r.text == (None if text[r.doc_id] is None else want[r.doc_id][4].decode("utf-8", "ignore"))
 
 
+def test_long_text_across_blocks(spark):
+    """Repeats that cross the borders of the blocks in which a long text is read."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    chars = list(" ".join(word() for _ in range(90_000)))
+    passage = " ".join(word() for _ in range(50))[:260]
+    places = [suffix_dedup.BLOCK - 130, suffix_dedup.BLOCK + 1000, 2 * suffix_dedup.BLOCK - 200, 2 * suffix_dedup.BLOCK + 300]
+    for i in places:
+        chars[i : i + len(passage)] = passage
+    text = "".join(chars)
+    rows = suffix_dedup.passage_digests(spark.createDataFrame([(1, text), (2, "short")], "doc_id long, text string")).collect()
+    gone = {r.doc_id: (r.n_removed, r.n_spans) for r in rows}
+    assert len(text) > 2 * suffix_dedup.BLOCK and gone[2] == (0, 0)
+    spans = []
+    for i in places:
+        a = i - (0 if all(text[i - 1] != text[j - 1] for j in places if j != i) else 1)
+        spans.append(a)
+    assert gone[1][1] == 4 and 4 * 260 <= gone[1][0] <= 4 * 264
+
+
+def test_clashing_columns(spark, docs, invented_docs):
+    """Columns with the names of helper columns come back as they were."""
+    names = ["bf_word", "BF_BITS", "bf_mask", "bf_hit", "ranges", "__ranges", "__bf_hit", "component", "call", "anchor", "run", "_salt", "maybe", "sha"]
+    df = docs.select("doc_id", "text", *(F.lit(f"own {n}").alias(n) for n in names))
+    for out in (exact_dedup.drop_exact_copies(df), near_dedup.drop_near_copies(df), suffix_dedup.drop_repeated_passages(df), quality_cnn.keep_good(df, quality_cnn.train([], []), 0.0)):
+        rows = out.collect()
+        assert out.columns == df.columns and rows
+        assert all(r[n] == f"own {n}" for r in rows for n in names)
+
+
 def test_hot_anchor_path(spark, monkeypatch, small):
     """With every anchor hot, windows are counted by hash; the result is the same."""
     monkeypatch.setattr(suffix_dedup, "HOT_BYTES", 0)
