@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.keys import blank_to, joined
 
-#: US dollars per token: input, output, cached input.
-PRICES = (2.5e-7, 2e-6, 2.5e-8)
+#: US dollars per token: input, output, cached input. Decimals, so that sums don't depend on their order.
+PRICES = ("0.00000025", "0.000002", "0.000000025")
 LANGUAGES = ("en", "sc", "tc")
 
 
@@ -87,11 +87,12 @@ def context_rows(blocks: DataFrame, request: str, order: str, block: str, templa
 
 
 def usage_cost(df: DataFrame, input_tokens: str, output_tokens: str, cached_tokens: str) -> DataFrame:
-    """Add input_cost, output_cost, cached_cost and total_cost in dollars, to 8 places; null counts as 0."""
-    cost = [F.coalesce(F.col(c), F.lit(0)) * F.lit(p) for c, p in zip((input_tokens, output_tokens, cached_tokens), PRICES, strict=True)]
+    """Add input_cost, output_cost, cached_cost and total_cost in dollars, as exact decimals of 9 places; null counts as 0."""
+    price = lambda c, p: F.coalesce(F.col(c), F.lit(0)).cast("decimal(18,0)") * F.lit(p).cast("decimal(10,9)")
+    cost = [price(c, p) for c, p in zip((input_tokens, output_tokens, cached_tokens), PRICES, strict=True)]
     names = ("input_cost", "output_cost", "cached_cost")
-    out = {n: F.round(c, 8) for n, c in zip(names, cost, strict=True)}
-    return df.withColumns(out | {"total_cost": F.round(cost[0] + cost[1] + cost[2], 8)})
+    out = {n: c.cast("decimal(28,9)") for n, c in zip(names, cost, strict=True)}
+    return df.withColumns(out | {"total_cost": (cost[0] + cost[1] + cost[2]).cast("decimal(28,9)")})
 
 
 def group_sources(rows: DataFrame, source_id: str = "source_id") -> DataFrame:

@@ -136,19 +136,24 @@ def upsert_by_key(base: DataFrame, batch: DataFrame, keys: list[str], null_flag:
     return j.select(*keys, *(merged(c).alias(c) for c in values))
 
 
-def batch_plan(df: DataFrame, order: str, n: int, span: int = 4096) -> DataFrame:
-    """Add row_no (from 1, by an integer column) and batch_no = floor((row_no - 1) / n).
+def batch_plan(df: DataFrame, order: str, n: int, parts: int | None = None) -> DataFrame:
+    """Add row_no (from 1, by the order column) and batch_no = floor((row_no - 1) / n).
 
-    Rows are numbered inside spans of `span` key values, and each span starts after the count of those before it, so only one row
-    per span meets in a single task. Equal keys are numbered in an arbitrary order.
+    Rows are dealt by sampled ranges of the column and sorted inside them; each range starts after the count of those before it, so only one
+    row per range meets in a single task, however the keys are spread. Ranges are cut between different keys; the row number inside a range follows from
+    monotonically_increasing_id of the sorted partition. Equal keys are numbered in an arbitrary order; nulls come first.
     """
-    spans = df.withColumn("_span", F.floor(F.col(order) / span))
-    counts = spans.groupBy("_span").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select("_span", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    inside = F.row_number().over(Window.partitionBy("_span").orderBy(order)).cast("bigint")
-    out = spans.withColumn("_i", inside).join(starts, "_span").withColumn("row_no", F.col("_start") + F.col("_i"))
-    return out.withColumn("batch_no", F.floor((F.col("row_no") - 1) / n)).drop("_span", "_start", "_i")
+    parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    part, low, start = (f"_{c}_of_batch_plan" for c in ("part", "low", "start"))
+    placed = df.repartitionByRange(parts, order).sortWithinPartitions(order)
+    at = F.monotonically_increasing_id()
+    placed = placed.withColumns({part: F.shiftright(at, 33), low: at.bitwiseAND(F.lit((1 << 33) - 1))})
+    counts = placed.groupBy(part).agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(part, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias(start))
+    # One row per range: never more than `parts`.
+    out = placed.join(F.broadcast(starts), part).withColumn("row_no", F.col(start) + F.col(low) + 1)
+    return out.withColumn("batch_no", F.floor((F.col("row_no") - 1) / n)).drop(part, low, start)
 
 
 def union_levels(*levels: DataFrame) -> DataFrame:

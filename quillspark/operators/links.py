@@ -62,10 +62,14 @@ def missing_refs(pages: DataFrame, refs: str, nid: str = "nid", lang: str = "lan
 
 
 def link_sections_in_lists(refs: DataFrame, sections: DataFrame, existing: DataFrame | None = None) -> DataFrame:
-    """Per page: sections whose cap is among the page's caps and whose number is among its numbers, not pairwise."""
+    """Per page: sections whose cap is among the page's caps and whose number is among its numbers, not pairwise.
+
+    A page's caps and numbers are paired first and met by (cap, number), so a cap with many sections doesn't fan out.
+    """
     whole = refs.where("cap is not null and number is not null")
-    caps, numbers = whole.select("page", "cap").distinct(), whole.select("page", "number").distinct()
-    out = caps.join(sections.select("cap", "number").distinct(), "cap").join(numbers, ["page", "number"], "left_semi").select("page", "cap", "number")
+    lists = whole.groupBy("page").agg(F.collect_set("cap").alias("caps"), F.collect_set("number").alias("numbers"))
+    pairs = lists.select("page", "numbers", F.explode("caps").alias("cap")).select("page", "cap", F.explode("numbers").alias("number"))
+    out = pairs.join(sections.select("cap", "number").distinct(), ["cap", "number"], "left_semi").select("page", "cap", "number")
     return difference(out, existing, ["page", "cap", "number"]) if existing is not None else out
 
 
@@ -124,7 +128,7 @@ def cascade_match(rows: DataFrame, cases: DataFrame, judgments: DataFrame, paral
 
 
 def update_by_key(base: DataFrame, patch: DataFrame, key: str, order: str, columns: list[str]) -> DataFrame:
-    """Set columns on all rows with the key; of repeated keys the last by `order` counts. Adds `was_updated`."""
+    """Set columns on all rows with the key; of repeated keys the last by `order` counts. A null in the patch keeps the old value. Adds `was_updated`."""
     last = patch.groupBy(key).agg(F.max_by(F.struct(*columns), order).alias("_p"))
     j = base.join(last, key, "left")
     new = {c: F.coalesce(F.col(f"_p.{c}"), F.col(c)) for c in columns}

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,29 +33,47 @@ def doc_lengths(postings: DataFrame, doc: str) -> DataFrame:
     return postings.groupBy(doc).agg(F.sum("tf").alias("len"))
 
 
-def write_text_index(postings: DataFrame, path: str, buckets: int = 64) -> None:
-    """Postings in Parquet, laid out by term hash so that a query's terms read few folders."""
-    p = postings.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int"))
-    p.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(path)
+def text_index(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
+    """(term, doc, tf, len): postings with the document's length in each row."""
+    t = docs.select(doc, F.coalesce(terms(F.col(text)), F.array().cast("array<string>")).alias("t")).withColumn("len", F.size("t").cast("bigint"))
+    return t.select(doc, "len", F.explode("t").alias("term")).groupBy("term", doc, "len").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def search_text(queries: DataFrame, docs: DataFrame, top: int | None, mode: str = "all", query: str = "query_id", q_text: str = "q_text", doc: str = "doc_id", text: str = "text") -> DataFrame:
-    """(query, doc, score, rank) by BM25; with mode "all" every distinct query term must match.
+def write_text_index(docs: DataFrame, path: str, buckets: int = 64, doc: str = "doc_id", text: str = "text") -> None:
+    """Postings and totals in Parquet, postings laid out by term hash so that a query's terms read few folders.
 
-    Only postings of terms that some query holds are kept after counting, so a join never sees the other terms.
+    A term's rows go to several files, by the document's hash, so that a stop word doesn't make one task.
     """
-    asked = queries.select(query, F.explode(F.array_distinct(terms(F.col(q_text)))).alias("term"))
-    wanted = asked.select("term").distinct()
-    postings = term_postings(docs, doc, text)
-    lengths = doc_lengths(postings, doc)
-    totals = lengths.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("len").alias("avg_len"))
-    used = postings.join(wanted, "term", "left_semi")
-    weights = doc_freq(used).join(F.broadcast(totals))  # one row
+    lengths = docs.select(F.size(F.coalesce(terms(F.col(text)), F.array().cast("array<string>"))).cast("bigint").alias("len")).where("len > 0")
+    lengths.agg(F.count(F.lit(1)).alias("n_docs"), F.sum("len").alias("n_terms")).write.mode("overwrite").parquet(f"{path}/totals")
+    bucket = F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")
+    p = text_index(docs, doc, text).withColumn("bucket", bucket).withColumn("_part", F.pmod(F.xxhash64(doc), F.lit(8)))
+    p = p.repartition("bucket", "_part").drop("_part").sortWithinPartitions("bucket", "term")
+    p.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+
+
+def search_index(queries: DataFrame, path: str, top: int | None, mode: str = "all", buckets: int = 64, query: str = "query_id", q_text: str = "q_text", doc: str = "doc_id") -> DataFrame:
+    """(query, doc, score, rank) by BM25 from an index of `write_text_index`; only the folders and row groups of the asked terms are read."""
+    spark = queries.sparkSession
+    asked = asked_terms(queries, query, q_text)
+    wanted = asked.select("term").distinct().withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int"))
+    used = spark.read.parquet(f"{path}/postings").join(wanted, ["bucket", "term"], "left_semi").drop("bucket")
+    return score_postings(asked, used, spark.read.parquet(f"{path}/totals"), top, mode, query, doc)
+
+
+def asked_terms(queries: DataFrame, query: str, q_text: str) -> DataFrame:
+    return queries.select(query, F.explode(F.array_distinct(terms(F.col(q_text)))).alias("term"))
+
+
+def score_postings(asked: DataFrame, used: DataFrame, totals: DataFrame, top: int | None, mode: str, query: str, doc: str) -> DataFrame:
+    """BM25 of asked(query, term) over used(term, doc, tf, len); totals(n_docs, n_terms) is one row."""
+    weights = doc_freq(used).join(F.broadcast(totals))
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weights = weights.select("term", idf.alias("idf"), "avg_len")
+    weights = weights.select("term", idf.alias("idf"), (F.col("n_terms") / F.col("n_docs")).alias("avg_len"))
     tf = F.col("tf")
     part = F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
-    hits = asked.join(weights, "term").join(used, "term").join(lengths, doc)
+    # The queries' terms are few beside the postings; a term's postings never meet in one row or window.
+    hits = used.join(asked.join(weights, "term"), "term")
     scored = hits.groupBy(query, doc).agg(F.round(F.sum(part), 4).alias("score"), F.count(F.lit(1)).alias("matched"))
     if mode == "all":
         need = asked.groupBy(query).agg(F.count(F.lit(1)).alias("need"))
@@ -61,6 +82,20 @@ def search_text(queries: DataFrame, docs: DataFrame, top: int | None, mode: str
     return scored if top is None else rank_top(scored, top, query, "score", doc)
 
 
+def search_text(queries: DataFrame, docs: DataFrame, top: int | None, mode: str = "all", query: str = "query_id", q_text: str = "q_text", doc: str = "doc_id", text: str = "text") -> DataFrame:
+    """(query, doc, score, rank) by BM25; with mode "all" every distinct query term must match.
+
+    For one table of queries against texts without an index (`search_index` reads one). A document's length comes from its own row, and other terms than the asked
+    ones are dropped before anything is counted.
+    """
+    asked = asked_terms(queries, query, q_text)
+    t = docs.select(doc, F.coalesce(terms(F.col(text)), F.array().cast("array<string>")).alias("t")).withColumn("len", F.size("t").cast("bigint"))
+    totals = t.where("len > 0").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("len").alias("n_terms"))
+    used = t.select(doc, "len", F.explode("t").alias("term")).join(asked.select("term").distinct(), "term", "left_semi")
+    used = used.groupBy("term", doc, "len").agg(F.count(F.lit(1)).alias("tf"))
+    return score_postings(asked, used, totals, top, mode, query, doc)
+
+
 def doubles(v: Column) -> Column:
     return F.transform(v, lambda x: x.cast("double"))
 
@@ -92,24 +127,42 @@ def search_vector(queries: DataFrame, corpus: DataFrame, top: int, query: str =
     return rank_top(scored.select(f"h.{query}", doc, "h.score"), top, query, "score", doc)
 
 
-def search_vector_lsh(queries: DataFrame, corpus: DataFrame, top: int, query: str = "query_id", q_vec: str = "q_vec", doc: str = "doc_id", vec: str = "vec", tables: int = 48, bits: int = 4, seed: int = 11) -> DataFrame:
-    """Approximate neighbours: random-hyperplane buckets give candidates, exact cosine ranks them."""
+def lsh_bits(rows: int) -> int:
+    """Hyperplanes of a table: buckets of about 32 rows if vectors were spread evenly, so candidates of a query stay few as the corpus grows."""
+    return max(1, min(30, round(math.log2(max(rows, 64) / 32))))
+
+
+def lsh_candidates(queries: DataFrame, corpus: DataFrame, tables: int = 24, bits: int | None = None, flips: int = 1, seed: int = 11, query: str = "query_id", q_vec: str = "q_vec", doc: str = "doc_id", vec: str = "vec") -> DataFrame:
+    """Distinct (query, doc) that share a bucket of some table of random hyperplanes.
+
+    A corpus row is in one bucket of each table. A query also probes the buckets beside its own, those across its `flips` nearest hyperplanes.
+    """
     import json
 
     import numpy as np
 
     dims = corpus.select(F.size(vec)).first()
     dims = dims[0] if dims else 0
+    bits = bits or lsh_bits(corpus.count())
     planes = np.random.default_rng(seed).normal(size=(tables, bits, max(dims, 1))).round(6).tolist()
     constant = F.from_json(F.lit(json.dumps(planes)), "array<array<array<double>>>")
+    sides = lambda v: F.transform(constant, lambda rows: F.transform(rows, lambda p: dot(v, p)))
+    code = lambda d: F.aggregate(d, F.lit(0).cast("bigint"), lambda a, x: a * 2 + F.when(x > 0, F.lit(1)).otherwise(F.lit(0)))
+    key = lambda t, k: t.cast("bigint") * (1 << bits) + k
+
+    c = corpus.select(doc, sides(doubles(F.col(vec))).alias("s")).select(doc, F.explode(F.transform("s", lambda d, t: key(t, code(d)))).alias("k"))
+    near = lambda d: F.slice(F.array_sort(F.transform(d, lambda x, i: F.struct(F.abs(x).alias("far"), i.alias("i")))), 1, flips)
+    flip = lambda d: F.transform(near(d), lambda n: code(d).bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.lit(bits - 1) - n["i"])))
+    probes = F.flatten(F.transform("s", lambda d, t: F.transform(F.concat(F.array(code(d)), flip(d)), lambda k: key(t, k))))
+    q = queries.select(query, sides(doubles(F.col(q_vec))).alias("s")).select(query, F.explode(probes).alias("k"))
+    return q.join(c, "k").select(query, doc).distinct()
 
-    def buckets(v: Column) -> Column:
-        side = lambda acc, p: acc * 2 + F.when(dot(v, p) > 0, F.lit(1)).otherwise(F.lit(0))
-        return F.explode(F.transform(constant, lambda rows, t: t * (1 << bits) + F.aggregate(rows, F.lit(0), side)))
 
+def search_vector_lsh(queries: DataFrame, corpus: DataFrame, top: int, query: str = "query_id", q_vec: str = "q_vec", doc: str = "doc_id", vec: str = "vec", **index) -> DataFrame:
+    """Approximate neighbours: random-hyperplane buckets give candidates (`lsh_candidates`), exact cosine ranks them."""
     q = queries.select(query, doubles(F.col(q_vec)).alias("u"), norm(F.col(q_vec)).alias("nu"))
     c = corpus.select(doc, doubles(F.col(vec)).alias("v"), norm(F.col(vec)).alias("nv"))
-    pairs = q.select(query, buckets(F.col("u")).alias("k")).join(c.select(doc, buckets(F.col("v")).alias("k")), "k").select(query, doc).distinct()
+    pairs = lsh_candidates(queries, corpus, query=query, q_vec=q_vec, doc=doc, vec=vec, **index)
     scored = pairs.join(q, query).join(c, doc).select(query, doc, cosine(F.col("u"), F.col("v"), F.col("nu"), F.col("nv")).alias("score"))
     return rank_top(scored, top, query, "score", doc)
 
@@ -162,10 +215,10 @@ def normalise_queries(df: DataFrame, text: str, full_names: dict[str, str], stop
     """
     out = F.col(text)
     for phrase in stop:
-        out = F.regexp_replace(out, rf"(?i)\b{phrase}\b", " ")
+        out = F.regexp_replace(out, rf"(?i)\b{re.escape(phrase)}\b", " ")
     out = F.trim(F.regexp_replace(out, r"\s+", " "))
     for short, full in full_names.items():
-        has_short, has_full = F.rlike(out, F.lit(rf"\b{short}\b")), F.contains(F.lower(out), F.lit(full.lower()))
+        has_short, has_full = F.rlike(out, F.lit(rf"\b{re.escape(short)}\b")), F.contains(F.lower(out), F.lit(full.lower()))
         out = F.when(has_short & ~has_full, F.concat(out, F.lit(f" {full}"))).when(has_full & ~has_short, F.concat(out, F.lit(f" {short}"))).otherwise(out)
     return df.withColumn(text, out)
 

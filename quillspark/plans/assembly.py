@@ -85,14 +85,14 @@ def context_xml(spark, sf_dir):
 
 @query("""
 WITH u AS (SELECT conv_id, turn, CASE WHEN role = 'user' THEN length(text) END AS i, CASE WHEN role <> 'user' THEN length(text) END AS o, CASE WHEN turn > 0 THEN 100 END AS c FROM conversations),
-k AS (SELECT conv_id, coalesce(i, 0) * 2.5e-7 AS ic, coalesce(o, 0) * 2e-6 AS oc, coalesce(c, 0) * 2.5e-8 AS cc FROM u)
-SELECT conv_id, round(sum(round(ic, 8)), 6) AS input_cost, round(sum(round(oc, 8)), 6) AS output_cost, round(sum(round(cc, 8)), 6) AS cached_cost, round(sum(round(ic + oc + cc, 8)), 6) AS total_cost FROM k GROUP BY conv_id
+k AS (SELECT conv_id, CAST(coalesce(i, 0) AS DECIMAL(18,0)) * 0.00000025 AS ic, CAST(coalesce(o, 0) AS DECIMAL(18,0)) * 0.000002 AS oc, CAST(coalesce(c, 0) AS DECIMAL(18,0)) * 0.000000025 AS cc FROM u)
+SELECT conv_id, CAST(sum(ic) AS DOUBLE) AS input_cost, CAST(sum(oc) AS DOUBLE) AS output_cost, CAST(sum(cc) AS DOUBLE) AS cached_cost, CAST(sum(ic) + sum(oc) + sum(cc) AS DOUBLE) AS total_cost FROM k GROUP BY conv_id
 """)
 def usage_cost(spark, sf_dir):
     n, user = F.length("text"), F.col("role") == "user"
     u = table(spark, sf_dir, "conversations").select("conv_id", F.when(user, n).alias("i"), F.when(~user, n).alias("o"), F.when(F.col("turn") > 0, F.lit(100)).alias("c"))
     costs = context.usage_cost(u, "i", "o", "c")
-    return costs.groupBy("conv_id").agg(*(F.round(F.sum(c), 6).alias(c) for c in ("input_cost", "output_cost", "cached_cost", "total_cost")))
+    return costs.groupBy("conv_id").agg(*(F.sum(c).cast("double").alias(c) for c in ("input_cost", "output_cost", "cached_cost", "total_cost")))
 
 
 @query(r"""

@@ -99,65 +99,55 @@ def attach_parent(spark, sf_dir):
     return expand.attach_parent(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey"), o, ["l_orderkey"], "o_orderpriority")
 
 
-def hops(spark, sf_dir, depth, seeds):
-    """Orders as pages, parts as sections; a part refers to the part on the next line of an order."""
+def hops(spark, sf_dir, depth, kind=None):
+    """All orders as pages, parts as sections; a part refers to the part on the next line of an order, where that line is of the `kind`."""
     li = table(spark, sf_dir, "lineitem")
+    seeds = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("seed"))
     w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey")
-    edges = li.select(F.col("l_partkey").alias("src"), F.lead("l_partkey").over(w).alias("dst")).where("dst is not null").distinct()
+    edges = li.select(F.col("l_partkey").alias("src"), F.lead("l_partkey").over(w).alias("dst"), "l_returnflag", "l_linenumber").where("dst is not null")
+    edges = (edges.where(kind) if kind else edges).select("src", "dst").distinct()
     first = li.select(F.col("l_orderkey").alias("seed"), F.col("l_partkey").alias("node"))
-    out = expand.expand_hops(seeds, first, edges, depth)
-    return out.select("seed", "node", F.col("hop").cast("bigint").alias("hop"))
+    return expand.expand_hops(seeds, first, edges, depth).select("seed", "node", F.col("hop").cast("bigint").alias("hop"))
 
 
-def all_orders(spark, sf_dir):
-    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("seed"))
-
-
-def top_orders(spark, sf_dir):
-    """The seeds of the deep expansions: the hits of a top-20 report by price."""
-    o = table(spark, sf_dir, "orders").orderBy(F.desc("o_totalprice"), "o_orderkey").limit(20)
-    return o.select(F.col("o_orderkey").alias("seed"))
-
-
-EDGES = """
-e AS (SELECT DISTINCT src, dst FROM (SELECT l_partkey AS src, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS dst FROM lineitem) WHERE dst IS NOT NULL),
-seeds AS (SELECT o_orderkey AS seed FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 20),
-h1 AS (SELECT DISTINCT seed, l_partkey AS node, 1 AS hop FROM seeds JOIN lineitem ON l_orderkey = seed),
+#: One kind of reference, of which a part has few: from returned first lines.
+RETURNED = "l_returnflag = 'R' AND l_linenumber = 1"
+HOPS = """
+WITH l AS (SELECT l_partkey AS src, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS dst, l_returnflag, l_linenumber FROM lineitem),
+e AS (SELECT DISTINCT src, dst FROM l WHERE dst IS NOT NULL AND {0}),
+h1 AS (SELECT DISTINCT o_orderkey AS seed, l_partkey AS node, 1 AS hop FROM orders JOIN lineitem ON l_orderkey = o_orderkey),
 h2 AS (SELECT DISTINCT seed, dst AS node, 2 AS hop FROM h1 JOIN e ON node = src),
 h3 AS (SELECT DISTINCT seed, dst AS node, 3 AS hop FROM h2 JOIN e ON node = src)
+SELECT seed, node, CAST(min(hop) AS BIGINT) AS hop FROM ({1}) GROUP BY seed, node
 """
+TWO, THREE = "SELECT * FROM h1 UNION ALL SELECT * FROM h2", "SELECT * FROM h1 UNION ALL SELECT * FROM h2 UNION ALL SELECT * FROM h3"
 
 
 @query("SELECT DISTINCT o_orderkey AS seed, l_partkey AS node, CAST(1 AS BIGINT) AS hop FROM orders JOIN lineitem ON l_orderkey = o_orderkey")
 def hop_expand_d2(spark, sf_dir):
-    return hops(spark, sf_dir, 2, all_orders(spark, sf_dir))
+    return hops(spark, sf_dir, 2)
 
 
-@query(f"WITH {EDGES} SELECT seed, node, CAST(min(hop) AS BIGINT) AS hop FROM (SELECT * FROM h1 UNION ALL SELECT * FROM h2) GROUP BY seed, node")
+@query(HOPS.format(RETURNED, TWO))
 def hop_expand_d3(spark, sf_dir):
-    return hops(spark, sf_dir, 3, top_orders(spark, sf_dir))
+    return hops(spark, sf_dir, 3, RETURNED)
 
 
-@query(f"WITH {EDGES} SELECT seed, node, CAST(min(hop) AS BIGINT) AS hop FROM (SELECT * FROM h1 UNION ALL SELECT * FROM h2 UNION ALL SELECT * FROM h3) GROUP BY seed, node")
+@query(HOPS.format(RETURNED, THREE))
 def hop_expand_d4(spark, sf_dir):
-    return hops(spark, sf_dir, 4, top_orders(spark, sf_dir))
+    return hops(spark, sf_dir, 4, RETURNED)
 
 
-@query("""
-WITH e AS (SELECT DISTINCT src, dst FROM (SELECT l_partkey AS src, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS dst FROM lineitem) WHERE dst IS NOT NULL),
-h1 AS (SELECT DISTINCT o_orderkey AS seed, l_partkey AS node, 1 AS hop FROM orders JOIN lineitem ON l_orderkey = o_orderkey),
-h2 AS (SELECT DISTINCT seed, dst AS node, 2 AS hop FROM h1 JOIN e ON node = src)
-SELECT seed, node, CAST(min(hop) AS BIGINT) AS hop FROM (SELECT * FROM h1 UNION ALL SELECT * FROM h2) GROUP BY seed, node
-""")
+@query(HOPS.format("true", TWO))
 def hop_expand_all_d3(spark, sf_dir):
-    """Depth 3 from every order; hop_expand_d3 is the same for the hits of one report."""
-    return hops(spark, sf_dir, 3, all_orders(spark, sf_dir))
+    """Depth 3 along all references; hop_expand_d3 follows one kind."""
+    return hops(spark, sf_dir, 3)
 
 
 @query()
 def hop_expand_all_d4(spark, sf_dir):
-    """Depth 4 from every order. It has no SQL, as its rows are a few hundred for each order; tested against brute force."""
-    return hops(spark, sf_dir, 4, all_orders(spark, sf_dir))
+    """Depth 4 along all references. It has no SQL, as its rows are over a thousand for each order; tested against brute force."""
+    return hops(spark, sf_dir, 4)
 
 
 @query("""
@@ -255,3 +245,48 @@ def dedupe_by_url(spark, sf_dir):
     return expand.dedupe_by_url(s).select("request", "url", "path")
 
 
+@query("""
+SELECT DISTINCT l_orderkey AS nid, s_suppkey AS judgment_id FROM lineitem JOIN supplier ON s_nationkey = l_linenumber AND s_suppkey % 50 = l_suppkey % 50
+""")
+def link_cases(spark, sf_dir):
+    """Orders as pages with one case reference a line: court by line number, year and number by supplier."""
+    text = lambda c: c.cast("string")
+    case = F.struct(F.concat(F.lit("C"), text(F.col("l_linenumber"))).alias("court"), text(F.lit(2000)).alias("year"), text(F.col("l_suppkey") % 50).alias("no"))
+    pages = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("nid")).agg(F.collect_list(case).alias("cases_ref"))
+    judgments = table(spark, sf_dir, "supplier").select(F.concat(F.lit("C"), text(F.col("s_nationkey"))).alias("courtName"), F.lit(2000).alias("year"), (F.col("s_suppkey") % 50).alias("number"), F.col("s_suppkey").alias("id"))
+    return links.link_cases(pages, judgments)
+
+
+TERM_LINKS = """
+t AS (SELECT DISTINCT CAST(l_orderkey AS VARCHAR) AS cap_no, l_returnflag AS term, l_orderkey || '/s' || l_linenumber AS path FROM lineitem
+      WHERE l_returnflag IN (SELECT a.l_linestatus FROM lineitem a WHERE a.l_orderkey = lineitem.l_orderkey) OR l_returnflag = 'R')
+"""
+
+
+def term_caps(spark, sf_dir):
+    """Orders as caps: each line a section that uses its flag as a term; the cap defines the lines' states and 'R'."""
+    li = table(spark, sf_dir, "lineitem")
+    section = F.struct(F.concat(F.lit("s"), F.col("l_linenumber")).alias("name"), F.array("l_returnflag").alias("interp_terms"))
+    defined = F.transform(F.array_union(F.collect_set("l_linestatus"), F.array(F.lit("R"))), lambda x: F.struct(x.alias("term")))
+    return li.groupBy("l_orderkey").agg(F.collect_list(section).alias("sections"), defined.alias("interpretations")).select(F.col("l_orderkey").cast("string").alias("cap_no"), "sections", "interpretations")
+
+
+@query(f"WITH {TERM_LINKS} SELECT cap_no, term, path FROM t")
+def link_terms(spark, sf_dir):
+    return links.link_terms(term_caps(spark, sf_dir))
+
+
+@query("SELECT DISTINCT o_custkey AS customer, l_partkey AS part FROM lineitem JOIN orders ON o_orderkey = l_orderkey")
+def lift_links(spark, sf_dir):
+    """Order -> part edges raised to customer -> part."""
+    edges = table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_partkey").alias("part"))
+    parents = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("customer"))
+    return links.lift_links(edges, parents, "l_orderkey", "customer").select("customer", "part")
+
+
+@query("SELECT DISTINCT l_orderkey AS page, l_partkey AS cap FROM lineitem WHERE l_returnflag = 'N' AND l_partkey IN (SELECT p_partkey FROM part WHERE p_size > 10)")
+def link_caps(spark, sf_dir):
+    """Lines flagged 'N' as references without a section, to parts as caps."""
+    number = F.when(F.col("l_returnflag") == "N", F.lit("")).otherwise(F.col("l_linenumber").cast("string"))
+    refs = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("page"), F.col("l_partkey").alias("cap"), number.alias("number"))
+    return links.link_caps(refs, table(spark, sf_dir, "part").where("p_size > 10").select(F.col("p_partkey").alias("cap")))

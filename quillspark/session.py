@@ -27,5 +27,10 @@ def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local default where it is unset."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints/quillspark").rstrip("/")
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a local session has its own; on a cluster that is an error."""
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        path = "/tmp/checkpoints/quillspark"
+    return path.rstrip("/")

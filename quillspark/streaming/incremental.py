@@ -11,32 +11,49 @@ from ..operators.ingest import dedupe_first, skip_existing, upsert_by_key
 
 
 def _current(spark: SparkSession, table: str) -> DataFrame | None:
-    return spark.table(table) if spark.catalog.tableExists(table) else None
+    """The table as it is now: a session that has read it before may hold an old list of its files."""
+    if not spark.catalog.tableExists(table):
+        return None
+    spark.catalog.refreshTable(table)
+    return spark.table(table)
+
+
+def _recover(spark: SparkSession, table: str) -> None:
+    """After a crash between the renames of an upsert: put the new state, which is complete, in the table's place."""
+    if spark.catalog.tableExists(f"{table}_old"):
+        if not spark.catalog.tableExists(table):
+            done = spark.catalog.tableExists(f"{table}_next")
+            spark.sql(f"ALTER TABLE {table}_{'next' if done else 'old'} RENAME TO {table}")
+        spark.sql(f"DROP TABLE IF EXISTS {table}_old")
+    spark.sql(f"DROP TABLE IF EXISTS {table}_next")
 
 
 def incremental_ingest(stream: DataFrame, table: str, keys: list[str], order: list, checkpoint: str, mode: str = "append"):
     """Run what a file stream has now into a catalogue table and return the query.
 
-    Each micro-batch is made single by key (first by `order`); "append" then adds absent keys, "upsert" merges. A batch that is
-    replayed changes nothing. An upsert writes the new state beside the old one before it replaces it.
+    Each micro-batch is made single by key (first by `order`); "append" then adds absent keys, "upsert" merges. Rows with a null in a key can't be
+    told apart from a replay's, so they're left out. A batch that is replayed changes nothing, whatever was read in between. An upsert writes the new state beside the old
+    one and swaps them by rename; the old one goes last, so after a crash at any point the next run finds a whole state and goes on from it.
     """
-    spark = stream.sparkSession
 
     def load(batch: DataFrame, _: int) -> None:
-        new = dedupe_first(batch, keys, order)
+        spark = batch.sparkSession
+        _recover(spark, table)
+        new = dedupe_first(batch.dropna(subset=keys), keys, order)
         base = _current(spark, table)
         if base is None:
-            new.write.mode("overwrite").saveAsTable(table)
+            new.write.saveAsTable(table)
         elif mode == "append":
             skip_existing(new, base, keys).select(*base.columns).write.mode("append").saveAsTable(table)
         else:
-            spark.sql(f"DROP TABLE IF EXISTS {table}_next")
             upsert_by_key(base, new, keys).select(*base.columns).write.mode("overwrite").saveAsTable(f"{table}_next")
-            spark.table(f"{table}_next").write.mode("overwrite").saveAsTable(f"{table}")
-            spark.sql(f"DROP TABLE IF EXISTS {table}_next")
+            spark.sql(f"ALTER TABLE {table} RENAME TO {table}_old")
+            spark.sql(f"ALTER TABLE {table}_next RENAME TO {table}")
+            spark.sql(f"DROP TABLE {table}_old")
 
     query = stream.writeStream.foreachBatch(load).option("checkpointLocation", os.path.join(checkpoint, table)).trigger(availableNow=True).start()
     query.awaitTermination()
+    _current(stream.sparkSession, table)
     return query
 
 

@@ -131,6 +131,25 @@ def test_batches_cover_all_rows(spark):
     assert {r["batch_no"] for r in out} == set(range(67))
 
 
+def test_batches_of_sparse_and_hot_keys(spark):
+    """Keys far apart, and one key with a third of the rows."""
+    keys = [i * 10**12 + 7 for i in range(3000)] + [10**15] * 1500
+    d = spark.createDataFrame([(k,) for k in keys], "k long").repartition(7)
+    out = [(r.k, r.row_no, r.batch_no) for r in ingest.batch_plan(d, "k", 100).collect()]
+    assert sorted(r[1] for r in out) == list(range(1, 4501)) and all(b == (i - 1) // 100 for _, i, b in out)
+    assert [k for _, k in sorted((i, k) for k, i, _ in out)] == sorted(keys)
+    assert ingest.batch_plan(d.limit(0), "k", 100).count() == 0
+
+
+def test_text_index_gives_the_same_hits(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "a b b c"), (2, "b c d"), (3, "x"), (4, None), (5, "a a d ...")], "doc_id long, text string")
+    q = spark.createDataFrame([(1, "b c"), (2, "A"), (3, "none"), (4, None)], "query_id long, q_text string")
+    retrieval.write_text_index(docs, str(tmp_path / "index"), buckets=4)
+    for mode in ("any", "all"):
+        found = retrieval.search_index(q, str(tmp_path / "index"), 10, mode, buckets=4)
+        assert rows(found) == rows(retrieval.search_text(q, docs, 10, mode)) and found.count() >= 4
+
+
 def test_chunks(spark):
     d = spark.createDataFrame([(1, "a b c d"), (2, "a b c d e"), (3, " "), (4, None), (5, "x x x x x x")], "doc int, t string")
     c = chunks.chunk_tokens(d, "t", 4, 2)
@@ -161,7 +180,7 @@ def test_requests(spark):
 
 def test_costs(spark):
     d = spark.createDataFrame([(None, None, None), (1000, 100, 500)], "i int, o int, c int")
-    got = rows(context.usage_cost(d, "i", "o", "c").select("total_cost"))
+    got = rows(context.usage_cost(d, "i", "o", "c").select(F.col("total_cost").cast("double")))
     assert got == [(0.0,), (0.0004625,)]
 
 
@@ -212,6 +231,56 @@ def test_stream_equals_batch(spark, tmp_path):
     spark.sql("drop table stream_t")
 
 
+def test_replays_and_reads_between_loads(spark, tmp_path):
+    """Loads after a read of the table, replays, null keys, repeated keys."""
+    folder = tmp_path / "in"
+    put = lambda *r: spark.createDataFrame(list(r), "k long, v string").coalesce(1).write.mode("append").parquet(str(folder))
+    run = lambda n, mode: incremental.incremental_ingest(spark.readStream.schema("k long, v string").parquet(str(folder)), "replay_t", ["k"], ["v"], str(tmp_path / n), mode=mode)
+    put((1, "a"), (2, "b"), (None, "x"))
+    run("c1", "append")
+    assert rows(spark.table("replay_t")) == [(1, "a"), (2, "b")]
+    put((3, "c"), (3, "d"))
+    for n in ("c1", "c2", "c3"):
+        run(n, "append")
+        assert rows(spark.table("replay_t")) == [(1, "a"), (2, "b"), (3, "c")]
+    for n in ("c4", "c5"):
+        run(n, "upsert")
+        assert rows(spark.table("replay_t")) == [(1, "a"), (2, "b"), (3, "c")]
+    spark.sql("drop table replay_t")
+
+
+@pytest.mark.parametrize("point", ["written", "first rename", "second rename"])
+def test_crash_inside_an_upsert(spark, tmp_path, point):
+    """The states that a crash can leave, and the replay after it."""
+    name = "crash_t"
+    for t in (name, f"{name}_next", f"{name}_old"):
+        spark.sql(f"drop table if exists {t}")
+    spark.createDataFrame([(1, "a"), (2, "b")], "k long, v string").write.saveAsTable(name)
+    spark.createDataFrame([(1, "a"), (2, "z")], "k long, v string").write.saveAsTable(f"{name}_next")
+    if point != "written":
+        spark.sql(f"alter table {name} rename to {name}_old")
+    if point == "second rename":
+        spark.sql(f"alter table {name}_next rename to {name}")
+    folder = str(tmp_path / "in")
+    spark.createDataFrame([(2, "z")], "k long, v string").write.parquet(folder)
+    incremental.incremental_ingest(spark.readStream.schema("k long, v string").parquet(folder), name, ["k"], ["v"], str(tmp_path / "cp"), mode="upsert")
+    assert rows(spark.table(name)) == [(1, "a"), (2, "z")]
+    assert not spark.catalog.tableExists(f"{name}_next") and not spark.catalog.tableExists(f"{name}_old")
+    spark.sql(f"drop table {name}")
+
+
+def test_sessions_of_a_stream(spark, tmp_path):
+    """With a watermark, a stream gives the closed sessions of the batch form."""
+    e = [("u", "2024-01-01 00:00:00"), ("u", "2024-01-01 00:02:00"), ("u", "2024-01-01 01:00:00"), ("v", "2024-01-01 03:00:00")]
+    d = spark.createDataFrame(e, "user string, t string").select("user", F.to_timestamp("t").alias("t"))
+    d.coalesce(1).write.parquet(str(tmp_path / "e"))
+    stream = spark.readStream.schema(d.schema).parquet(str(tmp_path / "e"))
+    out = incremental.activity_sessions(stream, "user", "t", watermark="5 minutes")
+    out.writeStream.format("memory").queryName("closed_sessions").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
+    batch = incremental.activity_sessions(d, "user", "t").where("user = 'u'")
+    assert rows(spark.table("closed_sessions")) == rows(batch)
+
+
 def test_session_gap_joins(spark):
     e = spark.createDataFrame([("u", "2024-01-01 00:00:00"), ("u", "2024-01-01 00:03:00"), ("u", "2024-01-01 00:06:01")], "user string, t string").withColumn("t", F.to_timestamp("t"))
     out = incremental.activity_sessions(e, "user", "t")
