@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from ..functions.keys import terms
 
 K1, B, RRF = 1.2, 0.75, 60
+#: Rows of (query, term) that are sent to all executors, after they were counted; more are met in a shuffled join.
+SMALL = 500_000
 
 
 def rank_top(hits: DataFrame, k: int, query: str = "query_id", score: str = "score", doc: str = "doc_id") -> DataFrame:
@@ -72,8 +74,12 @@ def score_postings(asked: DataFrame, used: DataFrame, totals: DataFrame, top: in
     weights = weights.select("term", idf.alias("idf"), (F.col("n_terms") / F.col("n_docs")).alias("avg_len"))
     tf = F.col("tf")
     part = F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
-    # The queries' terms are few beside the postings; a term's postings never meet in one row or window.
-    hits = used.join(asked.join(weights, "term"), "term")
+    terms_of = asked.join(weights, "term")
+    if asked.count() <= SMALL:
+        # The whole table of asked terms goes to the postings, which are dealt by document: scores are summed without another shuffle.
+        hits = used.repartition(doc).join(F.broadcast(terms_of), "term")
+    else:
+        hits = used.join(terms_of, "term")
     scored = hits.groupBy(query, doc).agg(F.round(F.sum(part), 4).alias("score"), F.count(F.lit(1)).alias("matched"))
     if mode == "all":
         need = asked.groupBy(query).agg(F.count(F.lit(1)).alias("need"))

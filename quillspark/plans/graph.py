@@ -103,7 +103,7 @@ def hops(spark, sf_dir, depth, kind=None):
     """All orders as pages, parts as sections; a part refers to the part on the next line of an order, where that line is of the `kind`."""
     li = table(spark, sf_dir, "lineitem")
     seeds = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("seed"))
-    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey")
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_returnflag")
     edges = li.select(F.col("l_partkey").alias("src"), F.lead("l_partkey").over(w).alias("dst"), "l_returnflag", "l_linenumber").where("dst is not null")
     edges = (edges.where(kind) if kind else edges).select("src", "dst").distinct()
     first = li.select(F.col("l_orderkey").alias("seed"), F.col("l_partkey").alias("node"))
@@ -113,7 +113,7 @@ def hops(spark, sf_dir, depth, kind=None):
 #: One kind of reference, of which a part has few: from returned first lines.
 RETURNED = "l_returnflag = 'R' AND l_linenumber = 1"
 HOPS = """
-WITH l AS (SELECT l_partkey AS src, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS dst, l_returnflag, l_linenumber FROM lineitem),
+WITH l AS (SELECT l_partkey AS src, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_returnflag) AS dst, l_returnflag, l_linenumber FROM lineitem),
 e AS (SELECT DISTINCT src, dst FROM l WHERE dst IS NOT NULL AND {0}),
 h1 AS (SELECT DISTINCT o_orderkey AS seed, l_partkey AS node, 1 AS hop FROM orders JOIN lineitem ON l_orderkey = o_orderkey),
 h2 AS (SELECT DISTINCT seed, dst AS node, 2 AS hop FROM h1 JOIN e ON node = src),

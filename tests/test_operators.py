@@ -141,7 +141,9 @@ def test_batches_of_sparse_and_hot_keys(spark):
     assert ingest.batch_plan(d.limit(0), "k", 100).count() == 0
 
 
-def test_text_index_gives_the_same_hits(spark, tmp_path):
+@pytest.mark.parametrize("small", [retrieval.SMALL, 0])
+def test_text_index_gives_the_same_hits(spark, tmp_path, monkeypatch, small):
+    monkeypatch.setattr(retrieval, "SMALL", small)
     docs = spark.createDataFrame([(1, "a b b c"), (2, "b c d"), (3, "x"), (4, None), (5, "a a d ...")], "doc_id long, text string")
     q = spark.createDataFrame([(1, "b c"), (2, "A"), (3, "none"), (4, None)], "query_id long, q_text string")
     retrieval.write_text_index(docs, str(tmp_path / "index"), buckets=4)
