@@ -291,6 +291,67 @@ def test_each_statistic_alone_is_an_outlier(spark):
     assert rejected(spark, rows) == {1000 + i for i in range(15)}
 
 
+def vectors_of(rows):
+    """Statistic vectors of (text) rows by their definition; None where the base limits fail."""
+    out = []
+    for t in rows:
+        n, chars, symbols, dup, again, failed = brute.statistics(t)
+        lines = sum(1 for x in (t or "").split("\n") if x.strip(" \t\n\x0b\x0c\r"))
+        share = lambda a, b: (a / max(b, 1)) ** 0.5
+        out.append(None if failed else [np.log(max(chars / max(n, 1), 1.0)), share(symbols, n), share(dup, lines), share(again, n)])
+    return out
+
+
+def least_determinant(x):
+    """(centre, covariance) of the half with the least determinant that many random starts reach by concentration steps."""
+    rng, h, best = np.random.default_rng(1), int(np.ceil(quality_rules.CORE * len(x))), None
+    floor = np.diag(np.square(quality_rules.FLOOR))
+    for _ in range(200):
+        own = rng.choice(len(x), 6, replace=False)
+        for _ in range(30):
+            c, s = x[own].mean(axis=0), np.cov(x[own].T, bias=True) + floor
+            d = np.einsum("ij,jk,ik->i", x - c, np.linalg.inv(s), x - c)
+            own = np.argsort(d, kind="stable")[:h]
+        c, s = x[own].mean(axis=0), np.cov(x[own].T, bias=True)
+        det = np.linalg.slogdet(s + floor)[1]
+        if best is None or det < best[0]:
+            best = (det, c, s * quality_rules.CONSISTENT)
+    return best
+
+
+def test_verdicts_against_a_random_search(spark):
+    """Determinants and verdicts of two groups, one of them small and with more junk, against many random starts and a plain shrinkage."""
+    rng = random.Random(10)
+    texts, keys = [], []
+    for source, n, junk in (("a", 150, 20), ("b", 30, 12)):
+        clean = [joined(x) for x in clean_texts(rng, n)]
+        for i in range(junk):
+            clean[i] = clean[i].replace(" ", " | " if i % 2 else " ## ") if i % 3 else joined([y for y in (z.split(" ") for z in clean[i].split("\n")) for y in (y, ["same", "line"])])
+        texts += clean
+        keys += [("en", source)] * n
+    df = spark.createDataFrame([(i, t, *k) for i, (t, k) in enumerate(zip(texts, keys))], "doc_id long, text string, lang string, source string")
+    got = {r.doc_id: r for r in quality_rules.judge_texts(df).collect()}
+    vec = vectors_of(texts)
+    every = np.array([v for v in vec if v])
+    groups = {s: np.array([v for v, k in zip(vec, keys) if v and k[1] == s]) for s in "ab"}
+    whole = least_determinant(every)
+    rows = spark.createDataFrame([(s, *map(float, v)) for s, g in groups.items() for v in g], "grp string, x0 double, x1 double, x2 double, x3 double")
+    found = {r.grp: r for r in quality_rules.estimates(rows).collect()}
+    for s, g in groups.items():
+        best = least_determinant(g)
+        own = np.linalg.slogdet(quality_rules.matrix([v / quality_rules.CONSISTENT for v in found[s].cov]))[1]
+        assert own <= best[0] + 0.15 and found[s].n == len(g)
+        mix = lambda n, a, b: a * n / (n + quality_rules.PRIOR) + b * quality_rules.PRIOR / (n + quality_rules.PRIOR)
+        centre, cov = mix(len(g), best[1], whole[1]), mix(len(g), best[2], whole[2])
+        inverse = np.linalg.inv(cov + np.diag(np.square(quality_rules.FLOOR)))
+        for i, (v, k) in enumerate(zip(vec, keys)):
+            if k[1] == s and v:
+                d = (np.array(v) - centre) @ inverse @ (np.array(v) - centre)
+                assert got[i].distance == pytest.approx(d, rel=0.25, abs=0.6)
+                assert abs(d - quality_rules.CUTOFF) < 6 or got[i].kept == (d <= quality_rules.CUTOFF)
+    assert {i for i, r in got.items() if not r.kept} >= {i for i, t in enumerate(texts) if "##" in t or "|" in t}
+
+
 # --- 9 ---------------------------------------------------------------------------------------------------------------
 
 
