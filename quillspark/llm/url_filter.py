@@ -1,13 +1,15 @@
 """Operator 6: judge URLs by fixed rules, else by a tree of path templates with smoothed labelled purity.
 
-1. Lexical step: digits in a path segment become `0`, so numbered pages of one shape agree.
-2. Statistical step: under each (host, parent path), a level with many distinct segments for its pages is variable, and its segments become `*`.
-3. Templates (host, generalised path) count pages, labelled pages and those labelled bad.
-4. Branches: a template's siblings are the templates of its host with the same shape (all fixed segments as wildcards). A template whose
-   bad share doesn't differ from its branch's by more than `Z` standard errors is merged into the branch and takes its share.
-5. Purity is smoothed down the tree: all pages -> host -> branch -> template, each level adding `PRIOR` rows at its parent's share. A
+1. Distinct paths of a host are counted: pages, labelled pages, those labelled bad. Each path is a way down a tree of segments, ended by `$`.
+2. Level by level, from the host down, a segment stays a branch of its own if it has at least `FEW` pages and `RARE` of its parent's, and its bad share differs from that of its
+   siblings by more than `Z` standard errors of their common share, or if it's the only segment there. All other segments, such as ids and branches that the
+   labels don't tell apart, are merged into the wildcard `*`, and their subtrees with them. Where a path ends is always kept apart.
+3. Purity is smoothed down the tree: all pages -> host -> branch -> ... -> template, each level adding `PRIOR` rows at its parent's share. A
    template whose smoothed bad share reaches `LIMIT` is rejected.
 
+A level is one round over the distinct paths. Segments beyond the `DEPTH`th count as one. On the given tables no template reaches the limit: pages of all hosts and languages show documents
+with about the same share of bad labels.
+
 Everything is DataFrame functions; pages meet only aggregated tables.
 
 Defined cases: a null URL or one without `://` has empty host and path, and the rules never fit it; unlabelled templates take their
@@ -30,8 +32,9 @@ RULES = (
     ("block", "net", "/fr/"),
 )
 PRIOR, LIMIT, Z = 20.0, 0.5, 2.0
-#: A level is variable when it has over this many distinct segments, or over this share of its pages.
-MANY, SHARE, FEW = 50, 0.5, 4
+#: Least pages of a segment with a branch of its own, and least share of its parent's pages.
+FEW, RARE = 8, 0.02
+DEPTH = 12
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -53,41 +56,42 @@ def rule_for(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     return text, verdict
 
 
-def with_templates(pages: DataFrame) -> DataFrame:
-    """Add `template` and `branch` to rows with id, host, path."""
-    segs = F.transform(F.split(F.substring("path", 2, 1 << 30), "/"), lambda s: F.regexp_replace(s, "[0-9]+", "0"))
-    p = pages.withColumn("segs", segs)
-    prefix = F.transform(F.sequence(F.lit(0), F.size("segs") - 1), lambda i: F.struct(F.array_join(F.slice("segs", F.lit(1), i), "/").alias("parent"), F.element_at("segs", i + 1).alias("seg")))
-    levels = p.select("host", F.explode(prefix).alias("at")).select("host", F.size(F.split("at.parent", "/")).alias("depth"), "at.*")
-    counts = levels.groupBy("host", "parent").agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct("seg").alias("kinds"))
-    variable = counts.where((F.col("kinds") > MANY) | ((F.col("kinds") > FEW) & (F.col("kinds") > SHARE * F.col("n")))).select("host", "parent")
-    # Distinct paths, not pages, meet the variable levels.
-    shapes = p.groupBy("host", "segs").agg(F.count(F.lit(1)).alias("n"))
-    at = shapes.select("host", "segs", F.posexplode(F.transform(prefix, lambda x: x["parent"])).alias("pos", "parent"))
-    hit = at.join(variable, ["host", "parent"]).groupBy("host", "segs").agg(F.collect_set("pos").alias("wild"))
-    shapes = shapes.join(hit, ["host", "segs"], "left")
-    star = lambda s, i: F.when(F.array_contains("wild", i), F.lit("*")).otherwise(s)
-    parts = F.when(F.col("wild").isNull(), F.col("segs")).otherwise(F.transform("segs", star))
-    shapes = shapes.select(
-        "host", "segs", F.array_join(parts, "/").alias("template"), F.array_join(F.transform(parts, lambda s: F.when(F.contains(s, F.lit("0")) | (s == "*"), s).otherwise("*")), "/").alias("branch")
-    )
-    return join_groups(p, shapes, ["host", "segs"], "id", 1)
-
-
-def template_verdicts(pages: DataFrame) -> DataFrame:
-    """From rows (host, template, branch, bad): one row per host and template with its smoothed bad share."""
-    t = pages.groupBy("host", "branch", "template").agg(F.count(F.lit(1)).alias("pages"), F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("k"))
-    t = materialise(t, "templates")
-    b = t.groupBy("host", "branch").agg(F.sum("n").alias("bn"), F.sum("k").alias("bk"))
-    h = t.groupBy("host").agg(F.sum("n").alias("hn"), F.sum("k").alias("hk"))
-    rate = t.agg(F.coalesce(F.sum("k") / F.nullif(F.sum("n"), F.lit(0)), F.lit(0.0))).first()[0]  # one number
-    j = t.join(b, ["host", "branch"]).join(h, "host").withColumn("rate", F.lit(float(rate)))
-    smooth = lambda k, n, parent: (F.col(k) + PRIOR * F.col(parent)) / (F.col(n) + PRIOR)
-    j = j.withColumn("h_share", smooth("hk", "hn", "rate")).withColumn("b_share", smooth("bk", "bn", "h_share"))
-    error = F.sqrt(F.col("b_share") * (1 - F.col("b_share")) / F.greatest(F.col("n"), F.lit(1)))
-    merged = (F.col("n") == 0) | (F.abs(F.col("k") / F.greatest("n", F.lit(1)) - F.col("b_share")) <= Z * error)
-    share = F.when(merged, F.col("b_share")).otherwise(smooth("k", "n", "b_share"))
-    return j.select("host", "template", "pages", merged.alias("merged"), share.alias("bad_share"))
+def segments(path: Column) -> Column:
+    """The path's segments, those beyond the DEPTHth as one, and the end."""
+    segs = F.split(F.substring(path, 2, 1 << 30), "/")
+    tail = F.when(F.size(segs) > DEPTH, F.array(F.array_join(F.slice(segs, F.lit(DEPTH), F.size(segs)), "/"))).otherwise(F.array().cast("array<string>"))
+    return F.concat(F.when(F.size(segs) > DEPTH, F.slice(segs, 1, DEPTH - 1)).otherwise(segs), tail, F.array(F.lit("$")))
+
+
+def smooth(k, n, parent) -> Column:
+    return (k + PRIOR * parent) / (n + PRIOR)
+
+
+def template_tree(shapes: DataFrame) -> DataFrame:
+    """(host, path, template, bad_share) for each row of shapes(host, path, pages, n, k): n labelled pages, k bad ones."""
+    counts = lambda: [F.sum(c).alias(c) for c in ("pages", "n", "k")]
+    rate, deepest = shapes.agg(F.coalesce(F.sum("k") / F.nullif(F.sum("n"), F.lit(0)), F.lit(0.0)), F.coalesce(F.max(F.size(segments(F.col("path")))), F.lit(0))).first()
+    hosts = shapes.groupBy("host").agg(*counts()).select("host", smooth(F.col("k"), F.col("n"), F.lit(float(rate))).alias("share"))
+    live = shapes.withColumns({"segs": segments(F.col("path")), "done": F.lit("")}).join(hosts, "host")
+    live, out = materialise(live, "tree"), None
+    for d in range(deepest):
+        kids = materialise(live.groupBy("host", "done", F.col("segs")[d].alias("seg")).agg(*counts(), F.first("share").alias("share")), "branches")
+        level = kids.groupBy("host", "done").agg(F.sum("pages").alias("pages_"), F.sum("n").alias("n_"), F.sum("k").alias("k_"), F.count(F.lit(1)).alias("kinds"))
+        others = F.col("n_") - F.col("n")
+        common = F.col("k_") / F.greatest("n_", F.lit(1))
+        error = F.sqrt(common * (1 - common) * (1 / F.greatest("n", F.lit(1)) + 1 / F.greatest(others, F.lit(1))))
+        apart = F.abs(F.col("k") / F.greatest("n", F.lit(1)) - (F.col("k_") - F.col("k")) / F.greatest(others, F.lit(1)))
+        own = (F.col("pages") >= FEW) & (F.col("pages") >= F.col("pages_") * RARE) & (F.col("n") > 0) & (others > 0) & (apart > Z * error)
+        named = kids.join(level, ["host", "done"]).withColumn("name", F.when(own | (F.col("kinds") == 1) | (F.col("seg") == "$"), F.col("seg")).otherwise(F.lit("*")))
+        named = materialise(named.select("host", "done", "seg", "name", "n", "k", "share"), "named-branches")
+        nodes = named.groupBy("host", "done", "name").agg(smooth(F.sum("k"), F.sum("n"), F.first("share")).alias("share"))
+        ways = named.select("host", "done", "seg", "name").join(nodes, ["host", "done", "name"])
+        step = join_groups(live.withColumn("seg", F.col("segs")[d]).drop("share"), ways, ["host", "done", "seg"], "path", 1)
+        step = materialise(step.withColumn("done", F.concat_ws("/", "done", "name")).select(*live.columns), "tree")
+        ended = step.where(F.size("segs") == d + 1).select("host", "path", F.col("done").alias("template"), F.col("share").alias("bad_share"))
+        out = ended if out is None else out.unionByName(ended)
+        live = step.where(F.size("segs") > d + 1)
+    return out if out is not None else shapes.select("host", "path", F.lit("").alias("template"), F.lit(0.0).alias("bad_share"))
 
 
 def named_document(path: Column) -> Column:
@@ -113,8 +117,9 @@ def judge_urls(
     host, path = host_and_path(F.col("_url"))
     p = p.select("id", host.alias("host"), path.alias("path")).withColumn("doc", document(F.col("path")))
     marks = labels.where(F.col(label_col).isNotNull()).groupBy(F.col(label_id).alias("doc")).agg(F.max((F.col(label_col) == 0).cast("int")).alias("bad"))
-    p = materialise(with_templates(p).join(marks, "doc", "left").select("id", "host", "path", "template", "branch", "bad"), "urls")
-    judged = join_groups(p, template_verdicts(p), ["host", "template"], "id", 1)
+    p = materialise(p.join(marks, "doc", "left").select("id", "host", "path", "bad"), "urls")
+    shapes = p.groupBy("host", "path").agg(F.count(F.lit(1)).alias("pages"), F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("k"))
+    judged = join_groups(p, materialise(template_tree(materialise(shapes, "paths")), "templates"), ["host", "path"], "id", 1)
     text, verdict = rule_for(F.col("host"), F.col("path"), rules)
     own = F.when(F.col("bad_share") >= LIMIT, F.lit("block")).otherwise(F.lit("allow"))
     return judged.select(F.col("id").alias(id_col), "host", "path", text.alias("rule"), F.coalesce(verdict, own).alias("verdict"), "template", "bad_share")

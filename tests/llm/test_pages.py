@@ -3,6 +3,7 @@
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from quillspark.llm import html_extract, queries, url_filter
 from quillspark.llm.common import table
@@ -47,6 +48,82 @@ def test_bad_template_is_rejected(spark):
     assert all(got[i] == ("block" if i % 2 else "allow") for i in range(400))
 
 
+def plain_tree(rows):
+    """{(host, path): (template, bad share)} of rows (host, path, bad or None), by recursion over each host's paths."""
+    import collections
+
+    shapes = collections.defaultdict(lambda: [0, 0, 0])
+    for host, path, bad in rows:
+        c = shapes[host, path]
+        c[0], c[1], c[2] = c[0] + 1, c[1] + (bad is not None), c[2] + (bad or 0)
+    total = lambda cs: [sum(x) for x in zip(*cs, strict=True)]
+    smooth = lambda k, n, up: (k + url_filter.PRIOR * up) / (n + url_filter.PRIOR)
+    out = {}
+
+    def split(path):
+        s = path[1:].split("/")
+        return (s if len(s) <= url_filter.DEPTH else [*s[: url_filter.DEPTH - 1], "/".join(s[url_filter.DEPTH - 1 :])]) + ["$"]
+
+    def down(host, paths, d, name, share):
+        level = collections.defaultdict(list)
+        for p in paths:
+            level[split(p)[d]].append(p)
+        pages, n, k = total(shapes[host, p] for p in paths)
+        branches = collections.defaultdict(list)
+        for seg, own in level.items():
+            a, b, c = total(shapes[host, p] for p in own)
+            q = k / max(n, 1)
+            error = (q * (1 - q) * (1 / max(b, 1) + 1 / max(n - b, 1))) ** 0.5
+            apart = abs(c / max(b, 1) - (k - c) / max(n - b, 1))
+            alone = a >= url_filter.FEW and a >= pages * url_filter.RARE and b > 0 and n - b > 0 and apart > url_filter.Z * error
+            branches[seg if alone or len(level) == 1 or seg == "$" else "*"] += own
+        for seg, own in branches.items():
+            _, b, c = total(shapes[host, p] for p in own)
+            at = smooth(c, b, share)
+            if seg == "$":
+                out.update({(host, p): (f"{name}/$", at) for p in own})
+            else:
+                down(host, own, d + 1, f"{name}/{seg}", at)
+
+    _, n, k = total(shapes.values())
+    for host in {h for h, _ in shapes}:
+        own = [p for h, p in shapes if h == host]
+        _, b, c = total(shapes[host, p] for p in own)
+        down(host, own, 0, "", smooth(c, b, k / max(n, 1)))
+    return out
+
+
+def test_template_tree_against_recursion(spark):
+    """The driver's pages, and invented ones with ids, bad branches, rare segments, deep paths and a hot host."""
+    import random
+
+    rng = random.Random(4)
+    rows = []
+    for i in range(1500):
+        host = "hot.org" if i % 3 else f"h{i % 5}.org"
+        section = rng.choice(["news", "junk", "shop", "a" * 300, f"rare{i}"])
+        path = rng.choice([f"/{section}/{i}", f"/{section}/{i}/", f"/{section}/x/{i}.html", "/" + "/".join(f"d{j}" for j in range(rng.randint(1, 20))), "", "/"])
+        bad = rng.choice([None, int(rng.random() < (0.95 if "junk" in path else 0.1))])
+        rows.append((i, host, path, bad))
+    pages = spark.createDataFrame([(i, f"https://{h}{p}") for i, h, p, _ in rows], "page_id long, url string")
+    labels = spark.createDataFrame([(i, 1 - b) for i, _, _, b in rows if b is not None], "doc_id long, quality int")
+    want = plain_tree([(h, p, b) for _, h, p, b in rows])
+    got = url_filter.judge_urls(pages, labels, document=lambda p: F.col("id")).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        template, share = want[r.host, r.path]
+        assert r.template == template and r.bad_share == pytest.approx(share) and r.verdict == ("block" if share >= url_filter.LIMIT else "allow")
+    blocked = {r.page_id for r in got if r.verdict == "block"}
+    assert blocked and all("/junk/" in p for i, _, p, _ in rows if i in blocked) and any("*" in r.template and "junk" in r.template for r in got)
+    small = "/root/testdata/sf0.01"
+    labels = {r.doc_id: r.quality for r in table(spark, small, "labels").where("quality is not null").collect()}
+    got = queries.op6_url_filter(spark, small).collect()
+    number = lambda p: re.search(r"([0-9]+)[^0-9/]*/?$", p)
+    mark = lambda p: (lambda m: None if m is None or int(m[1]) not in labels else int(labels[int(m[1])] == 0))(number(p))
+    want = plain_tree([(r.host, r.path, mark(r.path)) for r in got])
+    assert all((r.template, pytest.approx(r.bad_share)) == want[r.host, r.path] for r in got)
+
+
 def test_url_query_rules_on_the_driver_tables(spark, small):
     urls = {r.page_id: r.url for r in table(spark, small, "pages").collect()}
     for r in queries.op6_url_filter(spark, small).collect():
