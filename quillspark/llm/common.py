@@ -40,11 +40,11 @@ def fresh(columns: list[str], *names: str) -> list[str]:
     return out
 
 
-def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Write `df` as Parquet in the shared folder and read it back: cuts lineage and survives lost executors."""
+def materialise(df: DataFrame, label: str, folders: str | None = None) -> DataFrame:
+    """Write `df` as Parquet in the shared folder, by a column's `folders` if one is named, and read it back: cuts lineage and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, partitionBy=folders)
     out = spark.read.schema(df.schema).parquet(path)
     out._shared_path = path
     return out

@@ -1,12 +1,12 @@
 """Operator 2: exact de-duplication by two passes over a Bloom filter; DataFrame functions only.
 
-First pass: each text's normal form (all white space deleted) is hashed to two cells of a counting Bloom filter. The cells'
-counts are summed in Spark (with partial sums), and the cells met more than once are packed into bit words. Second
+Texts are read once, for the id, length and digest of each text's normal form (all white space deleted). First pass over these rows: each 64-bit hash meets two cells of a counting Bloom
+filter. The cells' counts are summed in Spark (with partial sums), and the cells met more than once are packed into bit words. Second
 pass: a row whose two cells are both in that filter is possibly repeated; only such rows' ids, lengths and digests shuffle to
 their group. All others pass straight through as groups of one.
 
-The filter is broadcast with at most 2^21 words (common.MAX_BLOOM_WORDS) however large the input is. Beyond about 10^7 documents
-more rows count as possibly repeated and shuffle, and results stay exact, as groups are made by SHA-256 of the normal form.
+A filter serves at most `RANGE_ROWS` rows and is broadcast with at most 2^21 words (common.MAX_BLOOM_WORDS). More rows are cut into ranges of the hash, each with a filter of its own and
+read from a folder of its own, so that the share of rows that count as possibly repeated doesn't grow with the input. Results are exact in any case, as groups are made by SHA-256 of the normal form.
 A group's keeper comes from a partial aggregate, and its members find it in a join salted by id, so a group may hold
 any share of the rows.
 
@@ -20,9 +20,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import anti_by_bloom, bloom_words, join_groups, materialise
+from .common import MAX_BLOOM_WORDS, anti_by_bloom, bloom_words, join_groups, materialise
 
 SALTS = 16
+#: Rows of one range of the hash: 16 bits of the largest filter for each.
+RANGE_ROWS = MAX_BLOOM_WORDS * 64 // 16
 #: Deleted in turn: space, tab, line feed, vertical tab, form feed, carriage return.
 BLANKS = (" ", "\t", "\n", "\x0b", "\x0c", "\r")
 
@@ -51,22 +53,32 @@ def repeated_cells(hashes: DataFrame, words: int) -> DataFrame:
     return met.groupBy(F.shiftright("cell", 6).cast("int").alias("word")).agg(F.bit_or(bit).alias("bits"))
 
 
-def groups_of_equal_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_rows: int | None = None) -> DataFrame:
-    """One row per row of `df`: `id_col`, keep_id, group_size, kept, text_sha256."""
-    words = bloom_words(df.count() if n_rows is None else n_rows, 16)
-    rows = df.select(F.col(id_col).cast("bigint").alias("id"), normal_form(F.col(text_col)).alias("norm"), F.coalesce(F.length(text_col), F.lit(0)).alias("len"))
-    filt = repeated_cells(rows.select(F.xxhash64("norm").alias("h")), words)
-    filt = materialise(filt, "repeated-cells")
-
-    digests = rows.select("id", "len", F.xxhash64("norm").alias("h"), F.sha2("norm", 256).alias("sha"))
-    digests = materialise(digests, "digests")
+def maybe_repeated(digests: DataFrame, filt: DataFrame, words: int) -> DataFrame:
+    """(id, len, sha, maybe): whether both cells of the row's hash are in the filter, which has at most `words` rows."""
     a, b = (_cells(F.col("h"), words)[i] for i in (0, 1))
     probe = digests.withColumns({"c0": a, "c1": b})
     for c in ("c0", "c1"):
         f = filt.select(F.col("word").alias(f"w_{c}"), F.col("bits").alias(f"b_{c}"))
         probe = probe.join(F.broadcast(f), F.shiftright(c, 6).cast("int") == F.col(f"w_{c}"), "left")
         probe = probe.withColumn(f"in_{c}", F.coalesce(F.getbit(f"b_{c}", F.col(c).bitwiseAND(F.lit(63)).cast("int")) == 1, F.lit(False)))
-    probe = probe.withColumn("maybe", F.col("in_c0") & F.col("in_c1")).select("id", "len", "sha", "maybe")
+    return probe.withColumn("maybe", F.col("in_c0") & F.col("in_c1")).select("id", "len", "sha", "maybe")
+
+
+def groups_of_equal_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_rows: int | None = None) -> DataFrame:
+    """One row per row of `df`: `id_col`, keep_id, group_size, kept, text_sha256."""
+    n_rows = df.count() if n_rows is None else n_rows
+    ranges = max(1, -(-n_rows // RANGE_ROWS))
+    words = bloom_words(-(-n_rows // ranges), 16)
+    rows = df.select(F.col(id_col).cast("bigint").alias("id"), normal_form(F.col(text_col)).alias("norm"), F.coalesce(F.length(text_col), F.lit(0)).alias("len"))
+    digests = rows.select("id", "len", F.xxhash64("norm").alias("h"), F.sha2("norm", 256).alias("sha"))
+    if ranges > 1:
+        digests = digests.withColumn("range", F.pmod(F.xxhash64("h"), F.lit(ranges)).cast("int"))
+    digests = materialise(digests, "digests", "range" if ranges > 1 else None)
+    probe = None
+    for r in range(ranges):
+        own = digests.where(F.col("range") == r).drop("range") if ranges > 1 else digests
+        flagged = maybe_repeated(own, materialise(repeated_cells(own.select("h"), words), "repeated-cells"), words)
+        probe = flagged if probe is None else probe.unionByName(flagged)
 
     alone = probe.where("not maybe").select("id", F.col("id").alias("keep_id"), F.lit(1).cast("bigint").alias("group_size"), "sha")
     maybe = probe.where("maybe").select("id", "len", "sha")

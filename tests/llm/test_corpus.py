@@ -74,6 +74,12 @@ def test_exact_groups(spark, docs, no_docs, invented_docs):
     assert {r.doc_id for r in kept.collect()} == {i for i, g in got.items() if g[2]}
 
 
+def test_exact_groups_in_ranges_of_the_hash(spark, docs, invented_docs, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "RANGE_ROWS", 15)
+    got = {r.doc_id: (r.keep_id, r.group_size, r.kept, r.text_sha256) for r in exact_dedup.groups_of_equal_text(docs).collect()}
+    assert got == brute.equal_groups(invented_docs)
+
+
 def test_exact_groups_by_sql(spark, small):
     from ..oracle import compare, connect
 
