@@ -116,11 +116,24 @@ def anti_by_bloom(df: DataFrame, key: str, lost: DataFrame, n_lost: int) -> Data
     return flagged.where(~F.col(flag)).unionByName(tested).select(*df.columns)
 
 
-def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], by: str, salts: int = 16) -> DataFrame:
-    """Inner join of `rows` to one row per group, salted by `by`: a group may hold any share of the rows."""
-    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(salts)).cast("int"))
-    copies = groups.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return salted.join(copies.hint("merge"), [*keys, "_salt"]).drop("_salt")
+#: A group with over this share of the rows that join is salted, so at most 1 / HOT_SHARE groups are; parts of a salted group.
+HOT_SHARE, SALTS = 1e-3, 64
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], by: list[str], size: str, how: str = "inner") -> DataFrame:
+    """Join of `rows` to one row per group, whose column `size` counts the group's rows (it isn't returned). A group may hold any share of the rows.
+
+    The keys of hot groups, at most 1 / HOT_SHARE of them, are broadcast. Their rows are dealt by `by` to SALTS parts, each with a copy of the group's row; all other groups have one part.
+    """
+    salt, hot = fresh([*rows.columns, *groups.columns], "salt", "hot")
+    groups = materialise(groups, "groups")
+    least = (groups.agg(F.sum(size)).first()[0] or 0) * HOT_SHARE
+    is_hot = F.col(size) > F.lit(least)
+    few = F.broadcast(groups.where(is_hot).select(*keys, F.lit(True).alias(hot)))
+    part = F.when(F.col(hot), F.pmod(F.xxhash64(*by), F.lit(SALTS)).cast("int")).otherwise(F.lit(0))
+    salted = rows.join(few, keys, "left").withColumn(salt, part).drop(hot)
+    copies = groups.withColumn(salt, F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))))).drop(size)
+    return salted.join(copies.hint("merge"), [*keys, salt], how).drop(salt)
 
 
 # --- numpy helpers used inside tasks ---------------------------------------------------------------------------------

@@ -7,7 +7,7 @@ their group. All others pass straight through as groups of one.
 
 A filter serves at most `RANGE_ROWS` rows and is broadcast with at most 2^21 words (common.MAX_BLOOM_WORDS). More rows are cut into ranges of the hash, each with a filter of its own and
 read from a folder of its own, so that the share of rows that count as possibly repeated doesn't grow with the input. Results are exact in any case, as groups are made by SHA-256 of the normal form.
-A group's keeper comes from a partial aggregate, and its members find it in a join salted by id, so a group may hold
+A group's keeper comes from a partial aggregate, and its members find it in a join where large groups are salted by id, so a group may hold
 any share of the rows.
 
 Defined cases: null counts as empty, and all-space texts are equal to empty ones; of equal texts the one with the most code points, then the
@@ -22,7 +22,6 @@ from pyspark.sql import functions as F
 
 from .common import MAX_BLOOM_WORDS, anti_by_bloom, bloom_words, join_groups, materialise
 
-SALTS = 16
 #: Rows of one range of the hash: 16 bits of the largest filter for each.
 RANGE_ROWS = MAX_BLOOM_WORDS * 64 // 16
 #: Deleted in turn: space, tab, line feed, vertical tab, form feed, carriage return.
@@ -83,7 +82,8 @@ def groups_of_equal_text(df: DataFrame, id_col: str = "doc_id", text_col: str =
     alone = probe.where("not maybe").select("id", F.col("id").alias("keep_id"), F.lit(1).cast("bigint").alias("group_size"), "sha")
     maybe = probe.where("maybe").select("id", "len", "sha")
     best = maybe.groupBy("sha").agg(F.min_by("id", F.struct(-F.col("len"), "id")).alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    grouped = join_groups(maybe.select("id", "sha"), best, ["sha"], "id", SALTS).select("id", "keep_id", "group_size", "sha")
+    best = best.withColumn("rows", F.col("group_size"))
+    grouped = join_groups(maybe.select("id", "sha"), best, ["sha"], ["id"], "rows").select("id", "keep_id", "group_size", "sha")
     return alone.unionByName(grouped).select(
         F.col("id").alias(id_col), "keep_id", "group_size", (F.col("id") == F.col("keep_id")).alias("kept"), F.col("sha").alias("text_sha256")
     )

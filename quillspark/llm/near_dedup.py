@@ -147,15 +147,17 @@ def block_pairs(rows: DataFrame, group: str, size: str, most: int) -> DataFrame:
 
     A component with an eighth of a block or more has blocks of its own, which aren't paired with each other; the other components share blocks.
     """
-    parts = rows.groupBy(group, "component").agg(F.sum(size).alias("w"))
+    parts = rows.groupBy(group, "component").agg(F.sum(size).alias("w"), F.count(F.lit(1)).alias("members"))
     parts = parts.withColumn("kind", F.when(F.col("w") * 8 >= most, F.col("component")).otherwise(F.lit(-1)))
-    kinds = parts.groupBy(group, "kind").agg(F.ceil(F.sum("w") / most).cast("int").alias("blocks"))
+    parts = materialise(parts, "block-parts")
+    kinds = parts.groupBy(group, "kind").agg(F.ceil(F.sum("w") / most).cast("int").alias("blocks"), F.sum("members").alias("total"))
     key = lambda kind, i: F.xxhash64(kind, i.cast("int"))
     blocks = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda i: F.struct(F.col("kind").alias("kind"), key(F.col("kind"), i).alias("block")))
-    every = kinds.groupBy(group).agg(F.flatten(F.collect_list(blocks)).alias("all"))
-    at = join_groups(rows, parts.select(group, "component", "kind").join(kinds, [group, "kind"]), [group, "component"], "id", 1)
+    every = kinds.groupBy(group).agg(F.flatten(F.collect_list(blocks)).alias("all"), F.sum("total").alias("members"))
+    dealt = parts.select(group, "component", "kind", "members").join(kinds.drop("total"), [group, "kind"])
+    at = join_groups(rows, dealt, [group, "component"], ["id"], "members")
     at = at.withColumn("block", key(F.col("kind"), F.pmod(F.xxhash64("id"), F.col("blocks")))).drop("blocks")
-    at = join_groups(at, every, [group], "id", 1)
+    at = join_groups(at, every, [group], ["id"], "members")
     others = F.filter("all", lambda o: (o["kind"] != F.col("kind")) | (o["kind"] == -1))
     at = at.withColumn("other", F.explode(F.transform(others, lambda o: o["block"])))
     return at.withColumns({"x": F.least("block", "other"), "y": F.greatest("block", "other")}).drop("all", "kind", "other")
@@ -249,8 +251,9 @@ def near_duplicates(df: DataFrame, k: int = 5, percent: int = 80, id_col: str =
     most = most_differing_bits(percent / 100)
     sig = materialise(signatures(df, k, id_col, text_col), "signatures")
     some = sig.where("n > 0")
-    classes = some.groupBy("n", "lo", "hi").agg(F.min("id").alias("rep"))
-    members = materialise(join_groups(some.select("id", "n", "lo", "hi"), classes, ["n", "lo", "hi"], "id").select("id", "n", "rep"), "members")
+    classes = some.groupBy("n", "lo", "hi").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("members"))
+    members = join_groups(some.select("id", "n", "lo", "hi"), classes, ["n", "lo", "hi"], ["id"], "members")
+    members = materialise(members.select("id", "n", "rep"), "members")
     copies = members.where("id <> rep").select("id")
     reps = anti_by_bloom(some.select("id", "n", "bands", "sketch"), "id", copies, copies.count()).dropDuplicates(["id"])
     reps = materialise(reps, "classes")
@@ -258,7 +261,7 @@ def near_duplicates(df: DataFrame, k: int = 5, percent: int = 80, id_col: str =
 
     in_band = reps.select("id", F.explode("bands").alias("band"))
     buckets = in_band.groupBy("band").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("hub")).where("size > 1")
-    shared = materialise(in_band.join(buckets.hint("merge"), "band").select("band", "id", "hub"), "shared-bands")
+    shared = materialise(join_groups(in_band, buckets, ["band"], ["id"], "size").select("band", "id", "hub"), "shared-bands")
 
     stars = shared.where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
     links = materialise(confirmed(df, nearest_hub(stars, sketches, most), percent, k, id_col, text_col), "links")
@@ -266,8 +269,8 @@ def near_duplicates(df: DataFrame, k: int = 5, percent: int = 80, id_col: str =
 
     at = shared.select("band", "id", "hub").join(comp.select(F.col("node").alias("id"), "component"), "id", "left")
     banded = materialise(at.select("band", "id", F.coalesce("component", "id").alias("component")), "banded")
-    mixed = banded.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("band")
-    at = materialise(join_groups(banded, mixed, ["band"], "id", 1), "mixed-bands")
+    mixed = banded.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("size")).where("x < y")
+    at = materialise(join_groups(banded, mixed.select("band", "size"), ["band"], ["id"], "size"), "mixed-bands")
     texts = materialise(at.select("id", "component").distinct().join(sketches.select("id", "n", "sketch"), "id"), "mixed-texts")
     more = links_between_components(df, at, texts, percent, most, k, id_col, text_col)
     comp = components(links.unionByName(more)) if more.limit(1).count() else comp

@@ -68,14 +68,14 @@ def smooth(k, n, parent) -> Column:
 
 
 def template_tree(shapes: DataFrame) -> DataFrame:
-    """(host, path, template, bad_share) for each row of shapes(host, path, pages, n, k): n labelled pages, k bad ones."""
+    """(host, path, pages, template, bad_share) for each row of shapes(host, path, pages, n, k): n labelled pages, k bad ones."""
     counts = lambda: [F.sum(c).alias(c) for c in ("pages", "n", "k")]
     rate, deepest = shapes.agg(F.coalesce(F.sum("k") / F.nullif(F.sum("n"), F.lit(0)), F.lit(0.0)), F.coalesce(F.max(F.size(segments(F.col("path")))), F.lit(0))).first()
     hosts = shapes.groupBy("host").agg(*counts()).select("host", smooth(F.col("k"), F.col("n"), F.lit(float(rate))).alias("share"))
     live = shapes.withColumns({"segs": segments(F.col("path")), "done": F.lit("")}).join(hosts, "host")
     live, out = materialise(live, "tree"), None
     for d in range(deepest):
-        kids = materialise(live.groupBy("host", "done", F.col("segs")[d].alias("seg")).agg(*counts(), F.first("share").alias("share")), "branches")
+        kids = materialise(live.groupBy("host", "done", F.col("segs")[d].alias("seg")).agg(*counts(), F.first("share").alias("share"), F.count(F.lit(1)).alias("paths")), "branches")
         level = kids.groupBy("host", "done").agg(F.sum("pages").alias("pages_"), F.sum("n").alias("n_"), F.sum("k").alias("k_"), F.count(F.lit(1)).alias("kinds"))
         others = F.col("n_") - F.col("n")
         common = F.col("k_") / F.greatest("n_", F.lit(1))
@@ -83,15 +83,15 @@ def template_tree(shapes: DataFrame) -> DataFrame:
         apart = F.abs(F.col("k") / F.greatest("n", F.lit(1)) - (F.col("k_") - F.col("k")) / F.greatest(others, F.lit(1)))
         own = (F.col("pages") >= FEW) & (F.col("pages") >= F.col("pages_") * RARE) & (F.col("n") > 0) & (others > 0) & (apart > Z * error)
         named = kids.join(level, ["host", "done"]).withColumn("name", F.when(own | (F.col("kinds") == 1) | (F.col("seg") == "$"), F.col("seg")).otherwise(F.lit("*")))
-        named = materialise(named.select("host", "done", "seg", "name", "n", "k", "share"), "named-branches")
+        named = materialise(named.select("host", "done", "seg", "name", "n", "k", "share", "paths"), "named-branches")
         nodes = named.groupBy("host", "done", "name").agg(smooth(F.sum("k"), F.sum("n"), F.first("share")).alias("share"))
-        ways = named.select("host", "done", "seg", "name").join(nodes, ["host", "done", "name"])
-        step = join_groups(live.withColumn("seg", F.col("segs")[d]).drop("share"), ways, ["host", "done", "seg"], "path", 1)
+        ways = named.select("host", "done", "seg", "name", "paths").join(nodes, ["host", "done", "name"])
+        step = join_groups(live.withColumn("seg", F.col("segs")[d]).drop("share"), ways, ["host", "done", "seg"], ["path"], "paths")
         step = materialise(step.withColumn("done", F.concat_ws("/", "done", "name")).select(*live.columns), "tree")
-        ended = step.where(F.size("segs") == d + 1).select("host", "path", F.col("done").alias("template"), F.col("share").alias("bad_share"))
+        ended = step.where(F.size("segs") == d + 1).select("host", "path", "pages", F.col("done").alias("template"), F.col("share").alias("bad_share"))
         out = ended if out is None else out.unionByName(ended)
         live = step.where(F.size("segs") > d + 1)
-    return out if out is not None else shapes.select("host", "path", F.lit("").alias("template"), F.lit(0.0).alias("bad_share"))
+    return out if out is not None else shapes.select("host", "path", "pages", F.lit("").alias("template"), F.lit(0.0).alias("bad_share"))
 
 
 def named_document(path: Column) -> Column:
@@ -119,7 +119,7 @@ def judge_urls(
     marks = labels.where(F.col(label_col).isNotNull()).groupBy(F.col(label_id).alias("doc")).agg(F.max((F.col(label_col) == 0).cast("int")).alias("bad"))
     p = materialise(p.join(marks, "doc", "left").select("id", "host", "path", "bad"), "urls")
     shapes = p.groupBy("host", "path").agg(F.count(F.lit(1)).alias("pages"), F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("k"))
-    judged = join_groups(p, materialise(template_tree(materialise(shapes, "paths")), "templates"), ["host", "path"], "id", 1)
+    judged = join_groups(p, template_tree(materialise(shapes, "paths")), ["host", "path"], ["id"], "pages")
     text, verdict = rule_for(F.col("host"), F.col("path"), rules)
     own = F.when(F.col("bad_share") >= LIMIT, F.lit("block")).otherwise(F.lit("allow"))
     return judged.select(F.col("id").alias(id_col), "host", "path", text.alias("rule"), F.coalesce(verdict, own).alias("verdict"), "template", "bad_share")
