@@ -29,7 +29,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import anti_by_bloom, join_groups, materialise, mix64, pieces, release, semi_by_bloom, texts_of, window_hashes, word_hashes
+from .common import anti_by_bloom, join_by_size, join_groups, materialise, mix64, pieces, release, semi_by_bloom, texts_of, window_hashes, word_hashes
 from .components import components
 
 BANDS, ROWS, SKETCH_BITS = 32, 4, 512
@@ -258,7 +258,7 @@ def near_duplicates(df: DataFrame, k: int = 5, percent: int = 80, id_col: str =
 
     in_band = reps.select("id", F.explode("bands").alias("band"))
     buckets = in_band.groupBy("band").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("hub")).where("size > 1")
-    shared = materialise(in_band.join(buckets.hint("merge"), "band").select("band", "id", "hub"), "shared-bands")
+    shared = materialise(join_by_size(in_band, buckets, ["band"], "size").select("band", "id", "hub"), "shared-bands")
 
     stars = shared.where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
     links = materialise(confirmed(df, nearest_hub(stars, sketches, most), percent, k, id_col, text_col), "links")
@@ -266,8 +266,8 @@ def near_duplicates(df: DataFrame, k: int = 5, percent: int = 80, id_col: str =
 
     at = shared.select("band", "id", "hub").join(comp.select(F.col("node").alias("id"), "component"), "id", "left")
     banded = materialise(at.select("band", "id", F.coalesce("component", "id").alias("component")), "banded")
-    mixed = banded.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("band")
-    at = materialise(join_groups(banded, mixed, ["band"], "id", 1), "mixed-bands")
+    mixed = banded.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("size")).where("x < y")
+    at = materialise(join_by_size(banded, mixed, ["band"], "size").select("band", "id", "component"), "mixed-bands")
     texts = materialise(at.select("id", "component").distinct().join(sketches.select("id", "n", "sketch"), "id"), "mixed-texts")
     more = links_between_components(df, at, texts, percent, most, k, id_col, text_col)
     comp = components(links.unionByName(more)) if more.limit(1).count() else comp

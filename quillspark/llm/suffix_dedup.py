@@ -27,7 +27,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bloom_filter, bloom_words, fresh, join_groups, materialise, maybe_in, mix64, pieces, release, semi_by_bloom
+from .common import bloom_filter, bloom_words, fresh, join_by_size, materialise, maybe_in, mix64, pieces, release, semi_by_bloom
 from .difference_cover import repeated_windows
 
 GRAM = 24
@@ -231,20 +231,22 @@ def _by_blocks(strings: DataFrame, length: int) -> DataFrame:
     rows, found = materialise(_blocks(strings, length), "blocks"), None
     for level in range(len(WIDTHS)):
         flat = rows.select("doc", "s", "anchor", "c", "b.*")
-        cores = flat.groupBy("anchor", "block", "core").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("anchor", "block", "core")
-        shared = join_groups(flat, cores, ["anchor", "block", "core"], "doc", 1)
+        core = ["anchor", "block", "core"]
+        cores = flat.groupBy(*core).agg(F.count(F.lit(1)).alias("alike")).where("alike > 1")
+        shared = materialise(join_by_size(flat, cores, core, "alike"), "blocks")
         wholes = shared.groupBy("anchor", "block", "full").agg(F.count(F.lit(1)).alias("k"))
-        judged = materialise(join_groups(shared, wholes, ["anchor", "block", "full"], "doc", 1), "blocks")
+        judged = materialise(join_by_size(shared, wholes, ["anchor", "block", "full"], "k"), "blocks")
+        release(rows, shared)
         start = (F.col("s") + F.col("at")).cast("bigint")
         done = judged.where("k > 1 and c = 1").select("doc", start.alias("a"), (start + F.col("m")).alias("b"))
         found = done if found is None else found.unionByName(done)
         if level + 1 < len(WIDTHS):
             single = judged.where("k = 1")
             # One of each set of equal blocks goes on as a partner of the differing blocks that share its core.
-            still = single.select("anchor", "block", "core").distinct()
-            partner = judged.where("k > 1").dropDuplicates(["anchor", "block", "full"]).withColumn("c", F.lit(2).cast("bigint"))
-            partner = join_groups(partner, still, ["anchor", "block", "core"], "doc", 1)
-            rows = single.unionByName(partner).select("doc", "s", "anchor", "c", F.explode("finer").alias("b"))
+            still = single.groupBy(*core).agg(F.first("alike").alias("size"))
+            several = judged.where("k > 1").dropDuplicates(["anchor", "block", "full"]).withColumn("c", F.lit(2).cast("bigint"))
+            partner = join_by_size(materialise(several, "blocks"), still, core, "size").drop("size")
+            rows = materialise(single.unionByName(partner).select("doc", "s", "anchor", "c", F.explode("finer").alias("b")), "blocks")
     return found
 
 
@@ -252,22 +254,24 @@ def repeated_ranges(df: DataFrame, length: int = 200, id_col: str = "doc_id", te
     """(doc, a, b): the windows starting at bytes a..b-1 of the document occur elsewhere too. Ranges may touch."""
     occ = materialise(occurrences(df, length, id_col, text_col), "runs")
     multi = occ.groupBy("anchor").agg(F.count(F.lit(1)).alias("times"), F.min("run").alias("r0"), F.max("run").alias("r1")).where("times > 1")
-    met = materialise(join_groups(occ, multi.select("anchor", (F.col("r0") == F.col("r1")).alias("equal")), ["anchor"], "doc", 1), "shared-anchors")
+    multi = multi.select("anchor", "times", (F.col("r0") == F.col("r1")).alias("equal"))
+    met = materialise(join_by_size(occ, multi, ["anchor"], "times").drop("times"), "shared-anchors")
     release(occ)
 
     mixed = met.where("not equal")
     distinct = mixed.groupBy("anchor", "run").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("doc", "s", "n")).alias("one"))
     distinct = materialise(distinct.select("anchor", "run", "c", "one.*"), "distinct-runs")
     # Each occurrence keeps its row here and learns whether its run is repeated as a whole.
-    known = met.join(distinct.where("c > 1").select("anchor", "run", F.lit(True).alias("again")).hint("merge"), ["anchor", "run"], "left")
+    several = distinct.where("c > 1").select("anchor", "run", "c", F.lit(True).alias("again"))
+    known = join_by_size(met, several, ["anchor", "run"], "c", "left")
     start = F.col("s").cast("bigint")
     easy = known.where("equal or again").select("doc", start.alias("a"), (start + F.col("n")).alias("b"))
 
     size = F.sum(F.col("n") + F.lit(length - 1))
-    sized = distinct.groupBy("anchor").agg(size.alias("bytes"))
+    sized = materialise(distinct.groupBy("anchor").agg(size.alias("bytes"), F.count(F.lit(1)).alias("kinds")), "anchors")
     total = sized.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
     buckets = max(1, -(-total // BUCKET_BYTES))
-    tagged = join_groups(distinct, sized.select("anchor", (F.col("bytes") > HOT_BYTES).alias("hot")), ["anchor"], "doc", 1)
+    tagged = join_by_size(distinct, sized.select("anchor", "kinds", (F.col("bytes") > HOT_BYTES).alias("hot")), ["anchor"], "kinds")
     item = F.struct("s", "n", "anchor", "c", "hot", F.pmod(F.xxhash64("anchor"), F.lit(buckets)).cast("int").alias("bucket"))
     items = materialise(tagged.groupBy(F.col("doc").alias(id_col)).agg(F.collect_list(item).alias("items")), "to-sort")
     texts = semi_by_bloom(df.select(id_col, text_col), id_col, items.select(id_col), items.count())

@@ -506,3 +506,17 @@ def test_components(spark):
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == root
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_join_by_size(spark):
+    """Hot groups, broadcast, and the others give what a plain join gives; rows without a group and the size of the hot part are as defined."""
+    from quillspark.llm.common import HOT_SHARE, join_by_size
+
+    rows = spark.range(6000).select("id", F.when(F.col("id") < 2500, 0).otherwise(F.col("id") % 1500).cast("long").alias("g"))
+    groups = rows.where("g < 1400").groupBy("g").agg(F.count(F.lit(1)).alias("size"))
+    assert 0 < groups.where(F.col("size") > groups.agg(F.sum("size")).first()[0] * HOT_SHARE).count() < 1 / HOT_SHARE
+    for how in ("inner", "left"):
+        key = lambda r: (r[0], r[1], r[2] or 0)
+        want = sorted(map(tuple, rows.join(groups, "g", how).collect()), key=key)
+        assert sorted(map(tuple, join_by_size(rows, groups, ["g"], "size", how).collect()), key=key) == want
+    assert join_by_size(rows.limit(0), groups.limit(0), ["g"], "size").count() == 0
