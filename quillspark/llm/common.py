@@ -155,11 +155,25 @@ def mix64(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> _S32)
 
 
+def give_back() -> None:
+    """Return freed memory to the system: Python workers live through many tasks, and what one task's arrays held would stay with them."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only in glibc
+    if trim is not None:
+        trim(0)
+
+
 def pieces(batches, rows: int = 512):
-    """Arrow batches in slices of at most `rows`, so that a task's Python copies of texts stay small."""
+    """Arrow batches in slices of at most `rows`, so that a task's Python copies of texts stay small; freed memory is given back at both ends of a task."""
+    give_back()
     for b in batches:
         for i in range(0, b.num_rows, rows):
             yield b.slice(i, rows)
+    give_back()
 
 
 def texts_of(batch) -> list[str]:

@@ -29,7 +29,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import anti_by_bloom, join_by_size, join_groups, materialise, mix64, pieces, release, semi_by_bloom, texts_of, window_hashes, word_hashes
+from .common import anti_by_bloom, give_back, join_by_size, join_groups, materialise, mix64, pieces, release, semi_by_bloom, texts_of, window_hashes, word_hashes
 from .components import components
 
 BANDS, ROWS, SKETCH_BITS = 32, 4, 512
@@ -223,6 +223,8 @@ def forests(rows: DataFrame, group: str, weight: str, limit: int, percent: int,
             own = None if key[s, 1] == key[s, 2] else block[s:e]
             found = forest(comp[s:e], own, size[s:e], sketch[s:e], percent, most, sets[s:e] if full else None)
             pairs.update((int(name[s + i]), int(name[s + j])) for i, j in found)
+        del pdf, key, comp, size, block, name, sketch, sets
+        give_back()
         return pd.DataFrame(sorted(pairs), columns=["a", "b"]).astype("int64")
 
     dealt = rows.withColumnRenamed(group, "g").withColumn("call", F.pmod(F.xxhash64("g", "x", "y"), F.lit(calls)))

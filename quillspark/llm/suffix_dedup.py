@@ -27,7 +27,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bloom_filter, bloom_words, fresh, join_by_size, materialise, maybe_in, mix64, pieces, release, semi_by_bloom
+from .common import bloom_filter, bloom_words, fresh, give_back, join_by_size, materialise, maybe_in, mix64, pieces, release, semi_by_bloom
 from .difference_cover import repeated_windows
 
 GRAM = 24
@@ -180,12 +180,15 @@ def _by_suffix_order(strings: DataFrame, length: int) -> DataFrame:
         again = repeated_windows(text, base[which] + inside, length) & (pdf["c"].to_numpy() == 1)[which]
         # Neighbouring windows of a run become one range.
         hit = np.flatnonzero(again)
-        fresh = np.ones(len(hit), bool)
-        fresh[1:] = (hit[1:] != hit[:-1] + 1) | (which[hit[1:]] != which[hit[:-1]])
-        first = hit[fresh]
-        last = hit[np.append(np.flatnonzero(fresh)[1:] - 1, len(hit) - 1)] if len(hit) else hit
+        begins = np.ones(len(hit), bool)
+        begins[1:] = (hit[1:] != hit[:-1] + 1) | (which[hit[1:]] != which[hit[:-1]])
+        first = hit[begins]
+        last = hit[np.append(np.flatnonzero(begins)[1:] - 1, len(hit) - 1)] if len(hit) else hit
         row, s = which[first], pdf["s"].to_numpy().astype(np.int64)
-        return pd.DataFrame({"doc": pdf["doc"].to_numpy()[row], "a": s[row] + inside[first], "b": s[row] + inside[last] + 1})
+        out = pd.DataFrame({"doc": pdf["doc"].to_numpy()[row], "a": s[row] + inside[first], "b": s[row] + inside[last] + 1})
+        del text, base, which, inside, again, hit, row, first, last
+        give_back()
+        return out
 
     return strings.groupBy("bucket").applyInPandas(run, "doc long, a long, b long")
 
