@@ -1,4 +1,4 @@
-"""A training-corpus pipeline of five operators; each stage reads what the one before it kept."""
+"""A training-corpus pipeline of five operators; each stage reads what the one before it kept. An empty table gives no rows in any stage."""
 
 from __future__ import annotations
 
@@ -11,29 +11,29 @@ from quillspark.llm.queries import _byte_bpe, held_out
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents that the byte-level network scores 0.7 or more. It learns from the labelled rows of the documents table that aren't held out."""
+    """Keeps documents that the byte-level network scores 0.7 or more. It learns from the labelled rows of the documents table that aren't held out. Null and empty texts are scored as empty ones."""
     labels = table(spark, sf_dir, "labels").where(~held_out(F.col("doc_id")))
     return quality_cnn.keep_good(docs, quality_cnn.fit(table(spark, sf_dir, "documents"), labels))
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of equal texts."""
+    """Keeps one document of each group of equal texts: the longest, then the one with the smallest doc_id. Null counts as empty."""
     return exact_dedup.drop_exact_copies(docs)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group linked by similarities of 0.8 or more on five-word shingles."""
+    """Keeps one document of each group linked by similarities of 0.8 or more on five-word shingles, the one with the smallest doc_id. Texts without words, null ones included, are linked with nothing and stay."""
     return near_dedup.drop_near_copies(docs, k=5, percent=80)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts out every byte covered by a 200-byte string that occurs elsewhere too; n_chars follows the text."""
+    """Cuts out every byte covered by a 200-byte string that occurs elsewhere too; n_chars follows the text. Null stays null, and a text that is wholly repeated becomes empty; its row stays."""
     out = suffix_dedup.drop_repeated_passages(docs, length=200)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs what is left into sequences of at most 2048 tokens."""
+    """Packs what is left into sequences of at most 2048 tokens. Null and empty texts are their end id alone."""
     return packing.pack_documents(docs, **_byte_bpe())
 
 
