@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, html_extract, near_dedup, packing, piece_bpe, quality_cnn, quality_rules, suffix_dedup, token_counts, url_filter
+from . import exact_dedup, html_extract, near_dedup, packing, piece_bpe, quality_cnn, quality_rules, suffix_dedup, token_counts, toxicity, url_filter
 from .common import materialise, table
 
 
@@ -77,6 +77,15 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.passage_digests(table(spark, sf_dir, "documents"), length=200)
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxicity.fit(docs, labels.where(~held_out(F.col("doc_id"))))
+    scored = toxicity.score_documents(docs, model)
+    return scored.select(
+        "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "n_sentences", "worst_start", "worst_score"
+    )
+
+
 def queries() -> dict:
     own = [f for name, f in globals().items() if name.startswith("op") and callable(f)]
     return {f.__name__: f for f in own}
