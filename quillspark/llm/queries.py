@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, html_extract, near_dedup, packing, piece_bpe, quality_cnn, quality_rules, suffix_dedup, token_counts, toxicity, url_filter
+from . import conversation_repair, exact_dedup, html_extract, near_dedup, packing, piece_bpe, quality_cnn, quality_rules, suffix_dedup, token_counts, toxicity, url_filter
 from .common import materialise, table
 
 
@@ -86,6 +86,11 @@ def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = conversation_repair.damaged(table(spark, sf_dir, "conversations"))
+    return conversation_repair.repair_reports(rows, alive=F.col("alive"))
+
+
 def queries() -> dict:
     own = [f for name, f in globals().items() if name.startswith("op") and callable(f)]
     return {f.__name__: f for f in own}
