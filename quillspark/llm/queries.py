@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import conversation_repair, exact_dedup, html_extract, near_dedup, packing, piece_bpe, quality_cnn, quality_rules, suffix_dedup, token_counts, toxicity, url_filter
+from . import collocations, conversation_repair, exact_dedup, html_extract, near_dedup, packing, piece_bpe, quality_cnn, quality_rules, suffix_dedup, token_counts, toxicity, url_filter
 from .common import materialise, table
 
 
@@ -91,10 +91,14 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_repair.repair_reports(rows, alive=F.col("alive"))
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine_collocations(table(spark, sf_dir, "documents"), least=30, top=2000)
+
+
 def queries() -> dict:
     own = [f for name, f in globals().items() if name.startswith("op") and callable(f)]
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_dedup": exact_dedup.ORACLE}
+    return {"op2_exact_dedup": exact_dedup.ORACLE, "op13_collocations": collocations.ORACLE}
