@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.keys import joined, stripped, tail_of, without_first
+from ..session import materialise
 
 
 def map_page(df: DataFrame, lang: str, names: dict[str, str]) -> DataFrame:
@@ -139,15 +140,17 @@ def upsert_by_key(base: DataFrame, batch: DataFrame, keys: list[str], null_flag:
 def batch_plan(df: DataFrame, order: str, n: int, parts: int | None = None) -> DataFrame:
     """Add row_no (from 1, by the order column) and batch_no = floor((row_no - 1) / n).
 
-    Rows are dealt by sampled ranges of the column and sorted inside them; each range starts after the count of those before it, so only one
-    row per range meets in a single task, however the keys are spread. Ranges are cut between different keys; the row number inside a range follows from
-    monotonically_increasing_id of the sorted partition. Equal keys are numbered in an arbitrary order; nulls come first.
+    Rows are dealt by sampled ranges of the column, sorted inside them and written once with all their columns, each with its range and its place there
+    (both from monotonically_increasing_id). Counts and rows are read from what was written, so they can't belong to different ranges, whichever columns are kept. Each range starts
+    after the count of those before it: one row per range meets in a single task, however the keys are spread. A salt lets equal keys be dealt to several
+    ranges, so a hot key is no single task either. Equal keys are numbered in an arbitrary order; nulls come first.
     """
     parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    part, low, start = (f"_{c}_of_batch_plan" for c in ("part", "low", "start"))
-    placed = df.repartitionByRange(parts, order).sortWithinPartitions(order)
+    part, low, start, salt = (f"_{c}_of_batch_plan" for c in ("part", "low", "start", "salt"))
+    salted = df.withColumn(salt, F.xxhash64(F.monotonically_increasing_id()))
+    placed = salted.repartitionByRange(parts, order, salt).sortWithinPartitions(order).drop(salt)
     at = F.monotonically_increasing_id()
-    placed = placed.withColumns({part: F.shiftright(at, 33), low: at.bitwiseAND(F.lit((1 << 33) - 1))})
+    placed = materialise(placed.withColumns({part: F.shiftright(at, 33), low: at.bitwiseAND(F.lit((1 << 33) - 1))}), "batches")
     counts = placed.groupBy(part).agg(F.count(F.lit(1)).alias("_n"))
     before = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select(part, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias(start))

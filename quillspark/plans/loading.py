@@ -174,6 +174,15 @@ def batch_ids(spark, sf_dir):
     return ingest.batch_plan(table(spark, sf_dir, "events").select("event_id"), "event_id", 100).select("event_id", "row_no", "batch_no")
 
 
+@query("""
+WITH r AS (SELECT *, row_number() OVER (ORDER BY o_orderkey) AS row_no FROM orders)
+SELECT o_orderkey, o_custkey, o_totalprice, o_orderpriority, CAST(row_no AS BIGINT) AS row_no, CAST((row_no - 1) // 1000 AS BIGINT) AS batch_no FROM r
+""")
+def batch_rows(spark, sf_dir):
+    """Whole rows in batches of 1000, as they're inserted."""
+    return ingest.batch_plan(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderpriority"), "o_orderkey", 1000)
+
+
 @query("""
 WITH bad AS (SELECT DISTINCT l_orderkey FROM (SELECT l_orderkey FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1))
 SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE l_orderkey NOT IN (SELECT l_orderkey FROM bad)

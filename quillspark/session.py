@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -34,3 +36,10 @@ def shared_folder(spark: SparkSession) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = "/tmp/checkpoints/quillspark"
     return path.rstrip("/")
+
+
+def materialise(df: DataFrame, label: str) -> DataFrame:
+    """Write `df` once as Parquet in the shared folder and read it back: a fixed set of rows for all that is derived from it, and no lineage behind it."""
+    path = f"{shared_folder(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

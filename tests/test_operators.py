@@ -3,6 +3,7 @@
 import json
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quillspark.operators import audit, chunks, context, expand, ingest, links, retrieval
@@ -131,6 +132,20 @@ def test_batches_cover_all_rows(spark):
     assert {r["batch_no"] for r in out} == set(range(67))
 
 
+@pytest.mark.parametrize("key", ["id", "id % 7", "if(id % 3 = 0, 5, xxhash64(id))"])
+def test_batches_of_millions_with_payload(spark, key):
+    """Whole rows, more of them than the sample that ranges are cut by; unique, few and hot keys."""
+    n = 2_000_000
+    d = spark.range(0, n, 1, 16).selectExpr(f"{key} as k", "id as payload", "concat('row ', id) as text")
+    out = ingest.batch_plan(d, "k", 1000, parts=8).withColumn("before", F.lag("k").over(Window.partitionBy("batch_no").orderBy("row_no")))
+    got = out.agg(F.count("*").alias("n"), F.countDistinct("row_no"), F.min("row_no"), F.max("row_no"), F.countDistinct("payload"), F.count_if(F.col("before") > F.col("k")), F.count_if(F.expr("text != concat('row ', payload)"))).first()
+    assert tuple(got) == (n, n, 1, n, n, 0, 0)
+    sizes = out.groupBy("batch_no").agg(F.count("*").alias("n"), F.min("k").alias("a"), F.max("k").alias("b"))
+    assert sizes.where("n != 1000").count() == 0 and sizes.count() == n // 1000
+    w = Window.orderBy("batch_no")
+    assert sizes.withColumn("next", F.lead("a").over(w)).where("next < b").count() == 0
+
+
 def test_batches_of_sparse_and_hot_keys(spark):
     """Keys far apart, and one key with a third of the rows."""
     keys = [i * 10**12 + 7 for i in range(3000)] + [10**15] * 1500
