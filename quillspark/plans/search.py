@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..functions.keys import terms
-from ..operators import retrieval
+from ..operators import retrieval, vector_index
 from ..session import shared_folder, table
 from .registry import query
 
@@ -85,6 +85,22 @@ def search_cosine_lsh(spark, sf_dir):
     return retrieval.search_vector_lsh(query_vectors(spark, sf_dir), vectors(spark, sf_dir), 10)
 
 
+def vector_index_of(spark, sf_dir):
+    return vector_index.write_vector_index(vectors(spark, sf_dir), f"{shared_folder(spark)}/vector-index-{uuid.uuid4().hex}")
+
+
+@query()
+def search_cosine_lists(spark, sf_dir):
+    """Nearest vectors from the lists that hold nine tenths of the neighbours and more; not all of them, so it has no SQL. Tests measure its recall."""
+    return vector_index.search_vector_index(query_vectors(spark, sf_dir), vector_index_of(spark, sf_dir), 10)
+
+
+@query(f"WITH {VECTOR.format('a.vec_id % 100 = 0')} SELECT query_id, doc_id, score, rank FROM vec WHERE rank <= 10")
+def search_cosine_lists_exact(spark, sf_dir):
+    """As search_cosine_topk, from an index whose lists are left out only where their bounds say so."""
+    return vector_index.search_vector_index(query_vectors(spark, sf_dir), vector_index_of(spark, sf_dir), 10, exact=True)
+
+
 @query(f"""
 WITH {BM25}, {VECTOR.format('a.vec_id IN (SELECT item_id FROM benchmark)')},
 legs AS (SELECT query_id, doc_id, rank FROM any_ WHERE rank <= 50 UNION ALL SELECT query_id, doc_id, rank FROM vec WHERE rank <= 50),
