@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..functions.keys import terms
-from ..operators import retrieval, vector_index
+from ..operators import retrieval, text_index, vector_index
 from ..session import shared_folder, table
 from .registry import query
 
@@ -75,6 +75,36 @@ def search_bm25_index(spark, sf_dir):
     return retrieval.search_index(bench(spark, sf_dir), path, 10, "any")
 
 
+def text_index_of(spark, docs):
+    return text_index.create_text_index(docs, f"{shared_folder(spark)}/segments-{uuid.uuid4().hex}")
+
+
+@query(f"WITH {BM25} SELECT query_id, doc_id, score, rank FROM any_ WHERE rank <= 10")
+def search_bm25_blocks_any(spark, sf_dir):
+    """As search_bm25_any, from stored blocks; those that can't hold one of a query's ten hits aren't scored."""
+    return text_index.search_text_index(bench(spark, sf_dir), text_index_of(spark, table(spark, sf_dir, "documents")), 10, "any")
+
+
+@query(f"WITH {BM25} SELECT query_id, doc_id, score, rank FROM all_ WHERE rank <= 10")
+def search_bm25_blocks_all(spark, sf_dir):
+    return text_index.search_text_index(bench(spark, sf_dir), text_index_of(spark, table(spark, sf_dir, "documents")), 10, "all")
+
+
+@query(f"""
+WITH {BM25.replace("FROM documents)", "FROM (SELECT doc_id, text FROM documents WHERE doc_id % 5 <> 0 OR doc_id % 2 = 0))")}
+SELECT query_id, doc_id, score, rank FROM any_ WHERE rank <= 10
+""")
+def search_bm25_upserted(spark, sf_dir):
+    """An index that began with other texts, lacked a third of the documents and held some too many: two upserts and a deletion later it answers as one of today's documents."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    k = F.col("doc_id")
+    index = text_index_of(spark, docs.where(k % 3 != 0).withColumn("text", F.when(k % 4 == 1, F.concat(F.lit("old words "), F.reverse("text"))).otherwise(F.col("text"))))
+    text_index.upsert_documents(index, docs.where(k % 4 == 1))
+    text_index.upsert_documents(index, docs.where((k % 3 == 0) & (k % 4 != 1)))
+    text_index.delete_documents(index, docs.where((k % 5 == 0) & (k % 2 != 0)))
+    return text_index.search_text_index(bench(spark, sf_dir), index, 10, "any")
+
+
 @query(f"WITH {VECTOR.format('a.vec_id % 100 = 0')} SELECT query_id, doc_id, score, rank FROM vec WHERE rank <= 10")
 def search_cosine_topk(spark, sf_dir):
     return retrieval.search_vector(query_vectors(spark, sf_dir), vectors(spark, sf_dir), 10)
