@@ -1,6 +1,6 @@
 """Operator 13: phrase collocations by dynamic itemset counting: cyclic scans of shards in which all phrase lengths are counted side by side.
 
-The texts are dealt to `shards` written shards, which are scanned in turn, round after round. Words are counted from the start. A longer phrase becomes active once both
+The texts are cut into words once, in slices of numbers with their own word lists, and dealt to `shards` written shards, which are scanned in turn, round after round. Words are counted from the start. A longer phrase becomes active once both
 its subphrases (without the last word, without the first) have reached the threshold, and is then counted for one full cycle, so on each shard exactly once; when nothing
 is active any more, all counts are whole. After each scan the counts so far are summed in a written table, and phrases that have reached the threshold are added to a filter.
 
@@ -28,30 +28,37 @@ from .common import MAX_BLOOM_WORDS, MULT_A, bloom_words, give_back, materialise
 LONGEST = 4
 TOKEN = re.compile(rb"[.,;:!?\n-\r]|[^ \t.,;:!?\n-\r]+")
 BREAKS = b".,;:!?\n\x0b\x0c\r"
-#: Text bytes that a task counts at once.
-SLICE = 3_000_000
+#: Words and ends of pieces in a slice, which a task counts at once.
+SLICE = 800_000
 _LOW = np.uint64(63)
 
 
-class Words(dict):
-    """Word -> number from 1; 0 is what ends a piece. `hashes` has their 64-bit hashes, `names` the words."""
+class Numbers(dict):
+    """Word -> number from 1 in order of first sight; 0 is what ends a piece."""
 
-    def __init__(self, lang: str):
-        self.seed = lang.encode() + b"\0"
-        self.names: list[bytes] = [b""]
-        self.hashes: list[int] = [0]
+    def __init__(self):
+        self.clear()
+
+    def clear(self) -> None:
+        super().clear()
+        self.names: list[bytes] = []
         for b in BREAKS:
             self[bytes([b])] = 0
 
     def __missing__(self, word: bytes) -> int:
-        import xxhash
-
-        n = self[word] = len(self.names)
         self.names.append(word)
-        self.hashes.append(xxhash.xxh64_intdigest(self.seed + word))
+        n = self[word] = len(self.names)
         return n
 
 
+def hashes_of(lang: str, names: list[bytes]) -> np.ndarray:
+    """64-bit hashes of words, 0 first for what ends a piece."""
+    import xxhash
+
+    seed = lang.encode() + b"\0"
+    return np.fromiter((xxhash.xxh64_intdigest(seed + w) if w else 0 for w in (b"", *names)), np.uint64, len(names) + 1)
+
+
 def grown(h: np.ndarray, next_word: np.ndarray) -> np.ndarray:
     """Hashes of phrases with one more word."""
     return mix64(h * MULT_A + next_word)
@@ -83,15 +90,13 @@ def equal_phrases(h: np.ndarray, ids: np.ndarray, at: np.ndarray, n: int) -> tup
     return at[first], count
 
 
-def active_phrases(ids: np.ndarray, words: Words, now: np.ndarray, before: np.ndarray | None, with_words: bool) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def active_phrases(ids: np.ndarray, hashes: np.ndarray, now: np.ndarray, before: np.ndarray | None, with_words: bool) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(length, a place of each active phrase, its count) in a run of word numbers."""
-    hashes = np.array(words.hashes, np.uint64)
     if with_words:
-        count = np.bincount(ids, minlength=1)
-        seen = np.flatnonzero(count)
-        seen = seen[seen > 0]
-        place = np.zeros(len(count), np.int64)
+        count = np.bincount(ids, minlength=len(hashes))
+        place = np.zeros(len(hashes), np.int64)
         place[ids[::-1]] = np.arange(len(ids))[::-1]
+        seen = np.flatnonzero(count[1:]) + 1
         yield 1, place[seen], count[seen]
     real = np.arange(len(hashes)) > 0
     new, old = (holds(now, hashes) & real)[ids], (holds(before, hashes) & real)[ids]
@@ -112,49 +117,72 @@ def active_phrases(ids: np.ndarray, words: Words, now: np.ndarray, before: np.nd
         h = full
 
 
+CODED = "shard int, lang string, names array<binary>, ids binary"
+
+
+def _coded(rows: DataFrame, shards: int, size: int) -> DataFrame:
+    """Texts of a language in slices: their distinct words, and all words as numbers into them (32 bits, 0 ends a piece). A slice has `size` of them, or one whole text more. Slices go to the shards in turn."""
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+        from pyspark import TaskContext
+
+        turn = TaskContext.get().partitionId()
+        known: dict[str, tuple[Numbers, list[np.ndarray]]] = {}
+        held: dict[str, int] = {}
+
+        def slice_of(lang: str):
+            nonlocal turn
+            numbers, parts = known[lang]
+            ids = np.concatenate(parts)
+            turn += 1
+            kinds = (pa.int32(), pa.string(), pa.list_(pa.binary()), pa.binary())
+            row = pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip((turn % shards, lang, numbers.names, ids.tobytes()), kinds, strict=True)], names=["shard", "lang", "names", "ids"])
+            numbers.clear(), parts.clear()
+            held[lang] = 0
+            return row
+
+        give_back()
+        for b in batches:
+            column = b.column(1)
+            for i, lang in enumerate(b.column(0).to_pylist()):
+                numbers, parts = known.setdefault(lang, (Numbers(), []))
+                tokens = TOKEN.findall(column[i].as_py().encode().lower())
+                ids = np.fromiter(map(numbers.__getitem__, tokens), np.int32, len(tokens))
+                parts += [ids, np.zeros(1, np.int32)]
+                held[lang] = held.get(lang, 0) + len(ids) + 1
+                if held[lang] >= size:
+                    yield slice_of(lang)
+        for lang in known:
+            if held[lang]:
+                yield slice_of(lang)
+        give_back()
+
+    return rows.select("lang", "text").mapInArrow(run, CODED)
+
+
 def _scan(shard: DataFrame, now, before, with_words: bool) -> DataFrame:
-    """(lang, phrase, n, c): partial counts of the active phrases of a shard (lang, text)."""
+    """(lang, phrase, n, c): partial counts of the active phrases of a shard of coded slices."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         bits, old = now.value, None if before is None else before.value
-        known: dict[str, Words] = {}
-
-        def counted(texts: dict[str, list[bytes]]):
-            for lang, own in texts.items():
-                if lang not in known or len(known[lang].names) > 300_000:
-                    known[lang] = Words(lang)
-                words = known[lang]
-                tokens = TOKEN.findall(b"\n".join(own).lower())
-                ids = np.fromiter(map(words.__getitem__, tokens), np.int64, len(tokens))
-                del tokens
-                names = words.names
-                for n, at, count in active_phrases(ids, words, bits, old, with_words) if len(ids) else ():
-                    if n == 1:
-                        phrases = [names[i] for i in ids[at].tolist()]
-                    else:
-                        phrases = list(map(b" ".join, zip(*([names[i] for i in ids[at + j].tolist()] for j in range(n)), strict=True)))
+        give_back()
+        for b in batches:
+            for i in range(b.num_rows):
+                lang, names = b.column(0)[i].as_py(), b.column(1)[i].as_py()
+                ids = np.frombuffer(b.column(2)[i].as_buffer(), np.int32)
+                for n, at, count in active_phrases(ids, hashes_of(lang, names), bits, old, with_words):
+                    words = [[names[k] for k in (ids[at + j] - 1).tolist()] for j in range(n)]
+                    phrases = words[0] if n == 1 else list(map(b" ".join, zip(*words, strict=True)))
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([lang] * len(phrases), pa.string()), pa.array(phrases, pa.binary()).cast(pa.string()), pa.array(np.full(len(phrases), n, np.int32)), pa.array(count.astype(np.int64))],
                         names=["lang", "phrase", "n", "c"],
                     )
-
-        give_back()
-        texts, size = {}, 0
-        for b in batches:
-            langs, column = b.column(0).to_pylist(), b.column(1)
-            for i, lang in enumerate(langs):
-                t = column[i].as_py().encode()
-                texts.setdefault(lang, []).append(t)
-                size += len(t)
-                if size >= SLICE:
-                    yield from counted(texts)
-                    texts, size = {}, 0
-        yield from counted(texts)
         give_back()
 
-    return shard.select("lang", "text").mapInArrow(run, "lang string, phrase string, n int, c long")
+    return shard.select("lang", "names", "ids").mapInArrow(run, "lang string, phrase string, n int, c long")
 
 
 def _filter_words(reached: DataFrame, n_words: int) -> DataFrame:
@@ -163,33 +191,32 @@ def _filter_words(reached: DataFrame, n_words: int) -> DataFrame:
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        known: dict[str, Words] = {}
         for b in batches:
+            langs, phrases = b.column(0).to_pylist(), [p.encode().split(b" ") for p in b.column(1).to_pylist()]
             hashes = np.zeros(b.num_rows, np.uint64)
-            for i, (lang, phrase) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)):
-                if lang not in known or len(known[lang].names) > 300_000:
-                    known[lang] = Words(lang)
-                words = known[lang]
-                own = np.array([words.hashes[words[w]] for w in phrase.encode().split(b" ")], np.uint64)
-                h = own[:1]
-                for j in range(1, len(own)):
-                    h = grown(h, own[j : j + 1])
-                hashes[i] = h[0]
+            for lang in set(langs):
+                own = [i for i, x in enumerate(langs) if x == lang]
+                for n in {len(phrases[i]) for i in own}:
+                    same = [i for i in own if len(phrases[i]) == n]
+                    word = [hashes_of(lang, [phrases[i][j] for i in same])[1:] for j in range(n)]
+                    h = word[0]
+                    for w in word[1:]:
+                        h = grown(h, w)
+                    hashes[same] = h
             at, mask = places(hashes, n_words)
             yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(mask.view(np.int64))], names=["word", "m"])
 
     return reached.select("lang", "phrase").mapInArrow(run, "word long, m long").groupBy("word").agg(F.bit_or("m").alias("bits"))
 
 
-def phrase_counts(docs: DataFrame, least: int = 30, shards: int = 4, max_words: int = MAX_BLOOM_WORDS, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+def phrase_counts(docs: DataFrame, least: int = 30, shards: int = 2, max_words: int = MAX_BLOOM_WORDS, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """(lang, phrase, n, count): exact counts of all phrases of 1 to 4 words that occur `least` times; rare words are summed in rows with n = 0. Rarer phrases of four words may be in it too."""
     spark = docs.sparkSession
     rows = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    dealt = materialise(rows.withColumn("shard", F.pmod(F.monotonically_increasing_id(), F.lit(shards)).cast("int")), "collocation-shards", folders="shard")
-    # Phrases of up to three words that occur `least` times are fewer than three for each `least` words, and a word has two characters with its space.
-    chars = dealt.agg(F.sum(F.length("text"))).first()[0] or 0
-    n_words = bloom_words(3 * chars // (2 * least) + 1)
-    n_words = min(n_words, max_words)
+    dealt = materialise(_coded(rows, shards, SLICE), "collocation-shards", folders="shard")
+    # Of each length, phrases that occur `least` times are at most one for each `least` words.
+    n_tokens = (dealt.agg(F.sum(F.length("ids"))).first()[0] or 0) // 4
+    n_words = min(bloom_words(3 * n_tokens // least + 1), max_words)
     filters = [np.zeros(n_words, np.uint64)]
     state: DataFrame | None = None
     step = 0
@@ -249,7 +276,7 @@ def score_phrases(counts: DataFrame, least: int = 30, covered: int = 80) -> Data
     return out.select("lang", "phrase", "a", "b.l", "b.r", F.col("words").alias("n"), "b.score")
 
 
-def mine_collocations(docs: DataFrame, least: int = 30, top: int = 2000, covered: int = 80, shards: int = 4, text_col: str = "text", lang_col: str = "lang", max_words: int = MAX_BLOOM_WORDS) -> DataFrame:
+def mine_collocations(docs: DataFrame, least: int = 30, top: int = 2000, covered: int = 80, shards: int = 2, text_col: str = "text", lang_col: str = "lang", max_words: int = MAX_BLOOM_WORDS) -> DataFrame:
     """Each language's first `top` phrases: lang, rank, phrase, a, l, r, n, score."""
     scored = score_phrases(phrase_counts(docs, least, shards, max_words, text_col, lang_col), least, covered)
     w = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")

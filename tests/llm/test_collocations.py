@@ -81,6 +81,14 @@ def test_counts_are_exact_under_false_hits(spark):
         assert counts == {k: v for k, v in f.items() if v >= 6}
 
 
+def test_slices_keep_pieces_whole(spark, monkeypatch):
+    docs = texts(3, 80)
+    df = spark.createDataFrame(docs, "lang string, text string").repartition(4)
+    whole = found(collocations.mine_collocations(df, least=6, shards=3))
+    monkeypatch.setattr(collocations, "SLICE", 25)
+    assert found(collocations.mine_collocations(df, least=6, shards=3)) == whole == plain(docs, 6, 2000)
+
+
 def test_equal_hashes_are_told_apart():
     ids = np.array([1, 2, 3, 1, 2, 4, 2, 3])
     at = np.array([0, 1, 3, 4, 6])
