@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 
@@ -33,3 +35,22 @@ def run_counts(new: DataFrame, base: DataFrame, keys: list[str], valid) -> DataF
         F.count_if(F.col("_ok") & F.col("_has")).alias("skipped"),
         F.count_if(F.col("_ok") & ~F.col("_has")).alias("added"),
     )
+
+
+def observed_load(new: DataFrame, base: DataFrame, keys: list[str], valid, write: Callable[[DataFrame], None]) -> dict[str, int]:
+    """Write the rows of a load that pass the check and have absent keys, and return the totals of `run_counts`, counted while they are written: the load is read once.
+
+    `write` runs exactly one action on the rows it gets. The counts are of that action, so they tell of what was written, not of a second look at the sources.
+    """
+    known = base.select(*keys, F.lit(True).alias("_known")).distinct()
+    j = new.join(known, keys, "left").withColumns({"_ok": F.coalesce(valid, F.lit(False)), "_has": F.coalesce("_known", F.lit(False))})
+    seen = Observation()
+    j = j.observe(
+        seen,
+        F.count(F.lit(1)).alias("total"),
+        F.count_if(~F.col("_ok")).alias("failed"),
+        F.count_if(F.col("_ok") & F.col("_has")).alias("skipped"),
+        F.count_if(F.col("_ok") & ~F.col("_has")).alias("added"),
+    )
+    write(j.where(F.col("_ok") & ~F.col("_has")).select(*new.columns))
+    return seen.get

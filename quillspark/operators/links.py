@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.bits import mask, members, numbered
 from ..functions.keys import joined, tail_of
+from ..session import materialise
 
 REF_FIELDS = ("cap_no", "source_path", "type", "t_cap", "t_sec", "t_sub")
 
@@ -64,12 +66,16 @@ def missing_refs(pages: DataFrame, refs: str, nid: str = "nid", lang: str = "lan
 def link_sections_in_lists(refs: DataFrame, sections: DataFrame, existing: DataFrame | None = None) -> DataFrame:
     """Per page: sections whose cap is among the page's caps and whose number is among its numbers, not pairwise.
 
-    A page's caps and numbers are paired first and met by (cap, number), so a cap with many sections doesn't fan out.
+    Numbers are bit sets: a page has some words of 64 of them, a cap has others, and a page meets each of its caps word by word in an AND. So there is a row for each cap and word of a page at most, not
+    for each cap and number, and a cap with many sections doesn't fan out.
     """
     whole = refs.where("cap is not null and number is not null")
-    lists = whole.groupBy("page").agg(F.collect_set("cap").alias("caps"), F.collect_set("number").alias("numbers"))
-    pairs = lists.select("page", "numbers", F.explode("caps").alias("cap")).select("page", "cap", F.explode("numbers").alias("number"))
-    out = pairs.join(sections.select("cap", "number").distinct(), ["cap", "number"], "left_semi").select("page", "cap", "number")
+    known = materialise(numbered(sections, "number"), "section-numbers")
+    of_page = whole.select("page", "number").distinct().join(known, "number").groupBy("page", "word").agg(F.bit_or(mask(F.col("bit"))).alias("asked"))
+    own = sections.select("cap", "number").distinct().join(known, "number")
+    of_cap = own.groupBy("cap", "word").agg(F.bit_or(mask(F.col("bit"))).alias("has"), F.collect_list(F.struct("bit", "number")).alias("named"))  # 64 names at most
+    met = whole.select("page", "cap").distinct().join(of_page, "page").join(of_cap, ["cap", "word"]).where(F.col("asked").bitwiseAND(F.col("has")) != 0)
+    out = met.select("page", "cap", F.explode(members(F.col("asked"), F.col("named"))).alias("n")).select("page", "cap", "n.number")
     return difference(out, existing, ["page", "cap", "number"]) if existing is not None else out
 
 

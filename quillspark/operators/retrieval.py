@@ -229,6 +229,69 @@ def normalise_queries(df: DataFrame, text: str, full_names: dict[str, str], stop
     return df.withColumn(text, out)
 
 
+def phrase_matches(df: DataFrame, key: str, words: str, phrases: DataFrame, phrase: str, longest: int) -> DataFrame:
+    """(key, at, n, *phrases): the leftmost longest matches of a table of phrases in an array column of words; matches don't overlap.
+
+    Each query gives a row for each stretch of up to `longest` words, met with the phrases by equality, so a dictionary of any size is a join. A phrase is written with single spaces between its words.
+    """
+    at, n = F.explode(F.sequence(F.lit(0), F.size(words) - 1)), F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.size(words) - F.col("at"))))
+    spans = df.where(F.size(words) > 0).select(key, words, at.alias("at")).select(key, words, "at", n.alias("n"))
+    spans = spans.select(key, "at", "n", F.array_join(F.slice(words, F.col("at") + 1, F.col("n")), " ").alias(phrase))
+    hits = spans.join(phrases, phrase)
+    # Of one start the longest, then from left to right what begins after the last match has ended.
+    best = hits.groupBy(key, "at").agg(F.max_by(F.struct("n", *phrases.columns), "n").alias("m"))
+    lined = best.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("at", "m"))).alias("ms"))
+    kind = lined.schema["ms"].dataType.simpleString()
+    start = F.struct(F.lit(0).alias("end"), F.array().cast(kind).alias("kept"))
+    step = lambda acc, x: F.when(x["at"] < acc["end"], acc).otherwise(F.struct((x["at"] + x["m"]["n"]).alias("end"), F.concat(acc["kept"], F.array(x)).alias("kept")))
+    kept = lined.select(key, F.explode(F.aggregate("ms", start, step)["kept"]).alias("x"))
+    return kept.select(key, "x.at", "x.m.n", *[F.col(f"x.m.{c}").alias(c) for c in phrases.columns])
+
+
+def normalise_by_tables(df: DataFrame, key: str, text: str, names: DataFrame, stop: DataFrame, longest: int = 8) -> DataFrame:
+    """As `normalise_queries`, with dictionaries as tables: names(short, full) and stop(phrase), of thousands of entries or more.
+
+    Matching is by whole words (runs of letters, digits and `_`) of up to `longest` words: stop phrases and full names in any case, abbreviations as written. Stop phrases go first, leftmost and longest; then each name
+    that occurs in one form only gets the other one appended, in order of the abbreviation. `key` tells the queries apart.
+    """
+    pieces = lambda c: F.regexp_extract_all(c, F.lit(r"(?U)(\w+|\W+)"), F.lit(1))
+    is_word = lambda x: F.rlike(x, F.lit(r"(?U)^\w"))
+    words = lambda c: F.filter(pieces(c), is_word)
+    single = lambda c: F.array_join(words(c), " ")
+    lower = lambda c: F.transform(words(c), lambda w: F.lower(w))
+    gone = stop.select(F.lower(single(F.col("phrase"))).alias("phrase")).where("phrase != ''").distinct()
+    cut = phrase_matches(df.select(key, lower(F.col(text)).alias("w")), key, "w", gone, "phrase", longest)
+    cut = cut.groupBy(key).agg(F.flatten(F.collect_list(F.sequence(F.col("at"), F.col("at") + F.col("n") - 1))).alias("_gone"))
+    # Words are numbered among all pieces: those that a phrase covers become one space, with what stands between them.
+    numbered = F.aggregate(
+        pieces(F.col(text)),
+        F.struct(F.lit(-1).alias("i"), F.array().cast("array<string>").alias("out")),
+        lambda acc, x: F.struct(
+            (acc["i"] + F.when(is_word(x), 1).otherwise(0)).alias("i"),
+            F.concat(acc["out"], F.array(F.when(is_word(x) & F.array_contains("_gone", acc["i"] + 1), F.lit(" ")).otherwise(x))).alias("out"),
+        ),
+    )["out"]
+    left = df.join(cut, key, "left").withColumn("_gone", F.coalesce("_gone", F.array().cast("array<int>")))
+    left = left.withColumn(text, F.when(F.col(text).isNotNull(), F.trim(F.regexp_replace(F.array_join(numbered, ""), r"\s+", " ")))).drop("_gone")
+    by_short = names.select(single(F.col("short")).alias("phrase"), "short", "full")
+    by_full = names.select(F.lower(single(F.col("full"))).alias("phrase"), "short", "full")
+    hit = lambda rows, own, form: phrase_overlaps(rows, key, "w", own, longest).select(key, "short", "full", F.lit(form).alias("form"))
+    found = hit(left.select(key, words(F.col(text)).alias("w")), by_short, "short").unionByName(hit(left.select(key, lower(F.col(text)).alias("w")), by_full, "full"))
+    one = found.groupBy(key, "short", "full").agg(F.collect_set("form").alias("forms")).where(F.size("forms") == 1)
+    added = F.when(F.col("forms")[0] == "short", F.col("full")).otherwise(F.col("short"))
+    more = one.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("short", "full", added.alias("added")))).alias("_more"))
+    out = left.join(more, key, "left").withColumn(text, F.when(F.col(text).isNotNull(), F.concat_ws(" ", F.col(text), F.transform("_more", lambda x: x["added"]))))
+    return out.select(*df.columns)
+
+
+def phrase_overlaps(df: DataFrame, key: str, words: str, phrases: DataFrame, longest: int) -> DataFrame:
+    """(key, *phrases): all phrases that occur, overlapping or not, once for each query."""
+    at, n = F.explode(F.sequence(F.lit(0), F.size(words) - 1)), F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.size(words) - F.col("at"))))
+    spans = df.where(F.size(words) > 0).select(key, words, at.alias("at")).select(key, words, "at", n.alias("n"))
+    spans = spans.select(key, F.array_join(F.slice(words, F.col("at") + 1, F.col("n")), " ").alias("phrase")).distinct()
+    return spans.join(phrases, "phrase").select(key, *phrases.columns)
+
+
 def first_n_queries(df: DataFrame, queries: str, n: int = 3) -> DataFrame:
     """Exploded generated queries of each request with query_no, the first n."""
     return df.select("*", F.posexplode(queries).alias("query_no", "query")).where(F.col("query_no") < n).drop(queries)

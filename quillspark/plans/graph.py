@@ -99,7 +99,7 @@ def attach_parent(spark, sf_dir):
     return expand.attach_parent(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey"), o, ["l_orderkey"], "o_orderpriority")
 
 
-def hops(spark, sf_dir, depth, kind=None):
+def hops(spark, sf_dir, depth, kind=None, expanded=expand.expand_hops):
     """All orders as pages, parts as sections; a part refers to the part on the next line of an order, where that line is of the `kind`."""
     li = table(spark, sf_dir, "lineitem")
     seeds = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("seed"))
@@ -107,7 +107,7 @@ def hops(spark, sf_dir, depth, kind=None):
     edges = li.select(F.col("l_partkey").alias("src"), F.lead("l_partkey").over(w).alias("dst"), "l_returnflag", "l_linenumber").where("dst is not null")
     edges = (edges.where(kind) if kind else edges).select("src", "dst").distinct()
     first = li.select(F.col("l_orderkey").alias("seed"), F.col("l_partkey").alias("node"))
-    return expand.expand_hops(seeds, first, edges, depth).select("seed", "node", F.col("hop").cast("bigint").alias("hop"))
+    return expanded(seeds, first, edges, depth).select("seed", "node", F.col("hop").cast("bigint").alias("hop"))
 
 
 #: One kind of reference, of which a part has few: from returned first lines.
@@ -141,13 +141,13 @@ def hop_expand_d4(spark, sf_dir):
 @query(HOPS.format("true", TWO))
 def hop_expand_all_d3(spark, sf_dir):
     """Depth 3 along all references; hop_expand_d3 follows one kind."""
-    return hops(spark, sf_dir, 3)
+    return hops(spark, sf_dir, 3, expanded=expand.expand_hops_by_node)
 
 
 @query()
 def hop_expand_all_d4(spark, sf_dir):
     """Depth 4 along all references. It has no SQL, as its rows are over a thousand for each order; tested against brute force."""
-    return hops(spark, sf_dir, 4)
+    return hops(spark, sf_dir, 4, expanded=expand.expand_hops_by_node)
 
 
 @query("""

@@ -227,6 +227,22 @@ def run_counts(spark, sf_dir):
     return audit.run_counts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), ["doc_id"], F.col("n_chars") > 200)
 
 
+COUNTS = """
+SELECT count(*) AS total, count(*) FILTER (WHERE NOT (n_chars > 200)) AS failed,
+       count(*) FILTER (WHERE n_chars > 200 AND doc_id IN (SELECT doc_id FROM labels)) AS skipped,
+       count(*) FILTER (WHERE n_chars > 200 AND doc_id NOT IN (SELECT doc_id FROM labels)) AS added FROM documents
+"""
+
+
+@query(COUNTS)
+def observed_load(spark, sf_dir):
+    """Totals of a load, observed while its rows are written."""
+    docs, path = table(spark, sf_dir, "documents"), f"{shared_folder(spark)}/load-{uuid.uuid4().hex}"
+    counts = audit.observed_load(docs.select("doc_id", "n_chars", "text"), table(spark, sf_dir, "labels"), ["doc_id"], F.col("n_chars") > 200, lambda rows: rows.write.parquet(path))
+    written = spark.read.parquet(path).agg(F.count(F.lit(1)).alias("added"))
+    return written.select(*[F.lit(counts[k]).cast("bigint").alias(k) for k in ("total", "failed", "skipped")], "added")
+
+
 @query("SELECT l_partkey, l_suppkey, count(*) AS n FROM lineitem GROUP BY ALL HAVING count(*) > 1")
 def audit_unique(spark, sf_dir):
     return audit.audit_unique(table(spark, sf_dir, "lineitem"), ["l_partkey", "l_suppkey"])

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..functions.keys import terms
-from ..operators import retrieval, text_index, vector_index
+from ..operators import hybrid, retrieval, text_index, vector_index
 from ..session import shared_folder, table
 from .registry import query
 
@@ -131,19 +131,30 @@ def search_cosine_lists_exact(spark, sf_dir):
     return vector_index.search_vector_index(query_vectors(spark, sf_dir), vector_index_of(spark, sf_dir), 10, exact=True)
 
 
-@query(f"""
+HYBRID = f"""
 WITH {BM25}, {VECTOR.format('a.vec_id IN (SELECT item_id FROM benchmark)')},
 legs AS (SELECT query_id, doc_id, rank FROM any_ WHERE rank <= 50 UNION ALL SELECT query_id, doc_id, rank FROM vec WHERE rank <= 50),
 f AS (SELECT query_id, doc_id, round(sum(1.0::DOUBLE / (60 + rank)), 8) AS score FROM legs GROUP BY ALL),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM f)
 SELECT query_id, doc_id, score, rank FROM r WHERE rank <= 10
-""")
+"""
+
+
+@query(HYBRID)
 def search_hybrid_rrf(spark, sf_dir):
     v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q_vec"))
     q = bench(spark, sf_dir).join(v, "query_id", "left")
     return retrieval.search_hybrid(q, table(spark, sf_dir, "documents"), vectors(spark, sf_dir), 10)
 
 
+@query(HYBRID)
+def search_hybrid_indexes(spark, sf_dir):
+    """As search_hybrid_rrf, from a stored text index and a stored vector index."""
+    v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q_vec"))
+    q = bench(spark, sf_dir).join(v, "query_id", "left")
+    return hybrid.search_hybrid_index(q, text_index_of(spark, table(spark, sf_dir, "documents")), vector_index_of(spark, sf_dir), 10)
+
+
 @query(f"WITH {BM25} SELECT query_id, doc_id, score, rank FROM any_ WHERE rank > 10 AND rank <= 15")
 def paginate(spark, sf_dir):
     return retrieval.paginate(retrieval.search_text(bench(spark, sf_dir), table(spark, sf_dir, "documents"), 15, "any"), 10, 5)

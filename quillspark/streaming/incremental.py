@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -57,6 +58,59 @@ def incremental_ingest(stream: DataFrame, table: str, keys: list[str], order: li
     return query
 
 
+@dataclass
+class LoadCounts:
+    """Rows of an event-time load: all that were read, those too late for the watermark, repeats of a key within it, and those added."""
+
+    read: int = 0
+    late: int = 0
+    repeated: int = 0
+    added: int = 0
+
+
+def event_time_ingest(stream: DataFrame, table: str, keys: list[str], event_time: str, delay: str, checkpoint: str) -> LoadCounts:
+    """Run what a stream has now into a catalogue table, each key once, by event time: no look at the table for repeats.
+
+    Keys are remembered as state until the watermark (`delay` behind the latest event) has passed them, so state stays as small as the delay is short. A repeat within it is dropped; a row that comes later than the
+    watermark is dropped and counted as late. State and watermark live in the checkpoint, so the next run goes on where this one ended. A batch that is run again after a crash finds its rows by the number it
+    was written under and replaces them.
+    """
+    added: dict[int, int] = {}
+
+    def load(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        # One folder for each batch number: writing it again after a crash replaces it.
+        rows = batch.withColumn("batch_no", F.lit(number).cast("long"))
+        if spark.catalog.tableExists(table):
+            with_mode(spark, lambda: rows.select(*_current(spark, table).columns).write.mode("overwrite").insertInto(table))
+        else:
+            rows.write.partitionBy("batch_no").saveAsTable(table)
+        added[number] = _current(spark, table).where(F.col("batch_no") == number).count()
+
+    once = stream.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(keys)
+    query = once.writeStream.foreachBatch(load).option("checkpointLocation", os.path.join(checkpoint, table)).trigger(availableNow=True).start()
+    query.awaitTermination()
+    _current(stream.sparkSession, table)
+    out = LoadCounts(added=sum(added.values()))
+    for p in query.recentProgress:
+        out.read += p.numInputRows
+        for op in p.stateOperators:
+            out.late += op.numRowsDroppedByWatermark
+            out.repeated += op.customMetrics.get("numDroppedDuplicateRows", 0)
+    return out
+
+
+def with_mode(spark: SparkSession, write) -> None:
+    """Run a write that replaces only the partitions it has rows for."""
+    name = "spark.sql.sources.partitionOverwriteMode"
+    old = spark.conf.get(name)
+    spark.conf.set(name, "dynamic")
+    try:
+        write()
+    finally:
+        spark.conf.set(name, old)
+
+
 def activity_sessions(events: DataFrame, user: str, ts: str, gap: str = "3 minutes", watermark: str | None = None) -> DataFrame:
     """(user, session_start, session_end, n_events): a session ends when `gap` passes without an event.
 
