@@ -512,3 +512,47 @@ def damaged(df: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str
 
 
 assert SPACE == r"\x20\x09-\x0D" and set(BLANKS) == set(" \t\n\x0b\x0c\r")
+
+
+def oracle() -> str:
+    """The report of `damaged` conversations in DuckDB's SQL: a recursion over each conversation's rows, which carries the best (cost, audit, repaired) of the four states."""
+    least = lambda *ways: f"list_min(list_filter([{', '.join(ways)}], lambda w: w IS NOT NULL))"
+    way = lambda e, cost, letter, line=None: (
+        f"CASE WHEN {e} IS NOT NULL THEN {{'c': {e}.c + {cost}, 'a': {e}.a || '{letter}', 't': {f'list_append({e}.t, {line})' if line else f'{e}.t'}}} END"
+    )
+    when = lambda test, x: f"CASE WHEN {test} THEN {x} END"
+    inserted_user = least("e2", *(way(e, 2, "I", "'user:'") for e in ("e0", "e1", "e3")))
+    inserted_assistant = least("e3", way("f2", 2, "I", "'assistant:'"))
+    keep = lambda e, initial: when(f"NOT gone AND first = '{initial}'", way(e, "cut", "K", "role || ':' || text"))
+    rerole = lambda e, role: when("NOT gone", way(e, "2 + cut", "R", f"'{role}:' || text"))
+    after = {
+        "e0": way("e0", 3, "D"),
+        "e1": least(way("e1", 3, "D"), keep("e0", "s")),
+        "e2": least(way("f2", 3, "D"), *(x for e in ("e0", "e1", "f3") for x in (keep(e, "u"), rerole(e, "user")))),
+        "e3": least(way("f3", 3, "D"), keep("f2", "a"), rerole("f2", "assistant")),
+    }
+    crc = "xor(list_reduce([CAST(4294967295 AS BIGINT)] || flatten(list_transform(range(1, length(k) + 1), lambda i: list_transform(range(8), lambda b: CAST((ascii(k[i]) >> b) & 1 AS BIGINT)))), lambda c, b: xor(c >> 1, 3988292384 * (xor(c, b) & 1))), 4294967295)"
+    white = r"\x20\x09-\x0D"
+    kind = "STRUCT(c BIGINT, a VARCHAR, t VARCHAR[])"
+    return rf"""
+WITH RECURSIVE o AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS k FROM conversations),
+g AS (SELECT *, {crc} % 20 AS g FROM o),
+x AS (SELECT conv_id, turn, CASE WHEN g = 4 THEN 'user' ELSE role END AS role, CASE g WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+             unnest(CASE WHEN g = 3 THEN [0, 1] ELSE [0] END) AS copy FROM g WHERE g <> 0),
+n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) AS seen,
+             regexp_replace(text, '[{white}]+$', '') AS bare FROM x),
+r AS MATERIALIZED (SELECT *, role[1] AS first, CASE WHEN bare = '' THEN 'b' WHEN seen > 1 THEN 'd' WHEN right(bare, 1) NOT IN ('.', '!', '?') THEN 't' ELSE '' END AS fault FROM n),
+p AS MATERIALIZED (SELECT *, fault IN ('b', 'd') AS gone, CAST(fault = 't' AS INT) AS cut, lag(first) OVER (PARTITION BY conv_id ORDER BY i) AS prev FROM r),
+d AS (
+  SELECT conv_id, 0 AS i, CAST({{'c': 0, 'a': '', 't': []}} AS {kind}) AS e0, CAST(NULL AS {kind}) AS e1, CAST(NULL AS {kind}) AS e2, CAST(NULL AS {kind}) AS e3 FROM (SELECT DISTINCT conv_id FROM conversations)
+  UNION ALL
+  SELECT conv_id, i, {", ".join(f"CAST({v} AS {kind}) AS {k}" for k, v in after.items())}
+  FROM (SELECT *, {inserted_assistant} AS f3 FROM (SELECT d.conv_id, p.i, role, text, first, gone, cut, e0, e1, e2, e3, {inserted_user} AS f2 FROM d JOIN p ON p.conv_id IS NOT DISTINCT FROM d.conv_id AND p.i = d.i + 1))),
+m AS (SELECT conv_id, e0, {inserted_assistant} AS f3 FROM (SELECT *, {inserted_user} AS f2 FROM d QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY i DESC) = 1)),
+b AS (SELECT conv_id, {least("e0", "f3")} AS w FROM m),
+c AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'b') AS blank, count(*) FILTER (fault = 'd') AS duplicate, count(*) FILTER (fault = 't') AS truncated,
+             count(*) FILTER (prev IS NOT NULL AND prev || first NOT IN ('su', 'ua', 'au')) AS illegal FROM p GROUP BY conv_id)
+SELECT b.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+       w.c AS cost, w.a AS audit, sha256(array_to_string(w.t, chr(10))) AS repaired_sha256
+FROM b LEFT JOIN c ON c.conv_id IS NOT DISTINCT FROM b.conv_id
+"""

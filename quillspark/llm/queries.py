@@ -101,4 +101,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_dedup": exact_dedup.ORACLE, "op13_collocations": collocations.ORACLE}
+    return {"op2_exact_dedup": exact_dedup.ORACLE, "op12_conversation_repair": conversation_repair.oracle(), "op13_collocations": collocations.ORACLE}

@@ -6,6 +6,7 @@ import random
 import re
 import zlib
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -13,6 +14,8 @@ from quillspark.llm import conversation_repair as repair
 from quillspark.llm import queries
 from quillspark.llm.common import table
 
+from ..oracle import connect
+
 LEGAL = re.compile(r"(s?(ua)+)?")
 WHITE = " \t\n\x0b\x0c\r"
 
@@ -167,6 +170,20 @@ def test_query_equals_plain_search(spark, folder):
     assert got(queries.op12_conversation_repair(spark, folder)) == damage(rows)
 
 
+def test_sql_equals_plain_search():
+    """On the given rows, and on invented ones with nulls, ties and odd roles."""
+    con = connect("/root/testdata/sf0.01")
+    rows = con.execute("SELECT conv_id, turn, role, text FROM conversations").fetchall()
+    sql = repair.oracle()
+    assert {r[0]: r[1:] for r in con.execute(sql).fetchall()} == damage(rows)
+    rng = random.Random(11)
+    rows = [(None if c == 3 else c, t, None if rng.random() < 0.05 else r, None if rng.random() < 0.05 else x) for c, t, r, x in invented(rng, 60, 9)]
+    own = duckdb.connect()
+    own.execute("CREATE TABLE conversations (conv_id BIGINT, turn BIGINT, role VARCHAR, text VARCHAR)")
+    own.executemany("INSERT INTO conversations VALUES (?, ?, ?, ?)", rows)
+    assert {r[0]: r[1:] for r in own.execute(sql).fetchall()} == damage(rows)
+
+
 def test_damage_of_nulls(spark):
     rows = [(None, None, None, None), (None, 3, "user", None), (4, None, None, "x."), (4, 7, "user", "y.")]
     rows += [(c, t, "user", "Hm. Yes!") for c in range(30) for t in range(4)]
