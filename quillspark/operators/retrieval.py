@@ -134,23 +134,57 @@ def search_vector(queries: DataFrame, corpus: DataFrame, top: int, query: str =
 
 
 def lsh_bits(rows: int) -> int:
-    """Hyperplanes of a table: buckets of about 32 rows if vectors were spread evenly, so candidates of a query stay few as the corpus grows."""
+    """Most hyperplanes of a table: buckets of about 32 rows if vectors were spread evenly."""
     return max(1, min(30, round(math.log2(max(rows, 64) / 32))))
 
 
+def _planes(tables: int, bits: int, dims: int, seed: int):
+    import numpy as np
+
+    return np.random.default_rng(seed).normal(size=(tables, bits, max(dims, 1))).round(6)
+
+
+def measured_bits(corpus: DataFrame, tables: int = 24, flips: int = 1, seed: int = 11, target: float = 0.91, top: int = 10, sample: int = 60, doc: str = "doc_id", vec: str = "vec") -> int:
+    """As many hyperplanes as keep `target` of the nearest `top` rows of `sample` rows of the corpus, at most `lsh_bits`.
+
+    The sampled rows (those with the least hash of their id) are searched exactly once; whether two rows would meet is then worked out from their sides of the hyperplanes, for fewer and fewer of these.
+    """
+    import numpy as np
+
+    rows = corpus.count()
+    asked = corpus.where(F.col(vec).isNotNull()).select(F.col(doc).alias("_asked"), F.col(vec).alias("_vec")).orderBy(F.xxhash64("_asked"), "_asked").limit(sample)
+    near = search_vector(asked, corpus, top + 1, "_asked", "_vec", doc, vec).where(F.col("_asked") != F.col(doc))
+    # sample x top pairs of vectors at most
+    pairs = near.join(corpus.select(doc, vec), doc).join(asked, "_asked").select("_vec", F.col(vec).alias("v")).collect()
+    most = lsh_bits(rows)
+    if not pairs:
+        return most
+    a, b = (np.array([r[c] for r in pairs], float) for c in ("_vec", "v"))
+    for bits in range(most, 1, -1):
+        planes = _planes(tables, bits, a.shape[1], seed)
+        sa, sb = (np.einsum("tbd,pd->ptb", planes, x) for x in (a, b))
+        apart = (sa > 0) != (sb > 0)
+        crossed = np.argsort(np.abs(sa), axis=2, kind="stable")[:, :, :flips]
+        # A row is found in its own bucket, or across one of the query's nearest hyperplanes.
+        n = apart.sum(axis=2)
+        one = (n == 1) & np.take_along_axis(apart, crossed, 2).any(axis=2)
+        if ((n == 0) | one).any(axis=1).mean() >= target:
+            return bits
+    return 1
+
+
 def lsh_candidates(queries: DataFrame, corpus: DataFrame, tables: int = 24, bits: int | None = None, flips: int = 1, seed: int = 11, query: str = "query_id", q_vec: str = "q_vec", doc: str = "doc_id", vec: str = "vec") -> DataFrame:
     """Distinct (query, doc) that share a bucket of some table of random hyperplanes.
 
-    A corpus row is in one bucket of each table. A query also probes the buckets beside its own, those across its `flips` nearest hyperplanes.
+    A corpus row is in one bucket of each table. A query also probes the buckets beside its own, those across its `flips` nearest hyperplanes. Unless `bits` is given, it is measured on the corpus, so
+    that recall is held as the corpus grows.
     """
     import json
 
-    import numpy as np
-
     dims = corpus.select(F.size(vec)).first()
     dims = dims[0] if dims else 0
-    bits = bits or lsh_bits(corpus.count())
-    planes = np.random.default_rng(seed).normal(size=(tables, bits, max(dims, 1))).round(6).tolist()
+    bits = bits or measured_bits(corpus, tables, flips, seed, doc=doc, vec=vec)
+    planes = _planes(tables, bits, dims, seed).tolist()
     constant = F.from_json(F.lit(json.dumps(planes)), "array<array<array<double>>>")
     sides = lambda v: F.transform(constant, lambda rows: F.transform(rows, lambda p: dot(v, p)))
     code = lambda d: F.aggregate(d, F.lit(0).cast("bigint"), lambda a, x: a * 2 + F.when(x > 0, F.lit(1)).otherwise(F.lit(0)))
