@@ -32,7 +32,7 @@ MANIFEST = "seq long, kind string, folder string, n_docs long, n_terms long"
 class TextIndex:
     path: str
     doc_type: str
-    buckets: int = 64
+    buckets: int = 16
 
 
 def _bucket(buckets: int) -> Column:
@@ -119,7 +119,7 @@ def _named(docs: DataFrame, doc: str, text: str) -> DataFrame:
     return docs.select(F.col(doc).alias("doc"), F.col(text).alias("text"))
 
 
-def create_text_index(docs: DataFrame, path: str, buckets: int = 64, doc: str = "doc_id", text: str = "text") -> TextIndex:
+def create_text_index(docs: DataFrame, path: str, buckets: int = 16, doc: str = "doc_id", text: str = "text") -> TextIndex:
     """A new index of docs(doc, text), whose ids are unique. A null text has no terms."""
     index = TextIndex(path, docs.schema[doc].dataType.simpleString(), buckets)
     _add_segment(docs.sparkSession, index, 0, "whole", _named(docs, doc, text), None, None, [])

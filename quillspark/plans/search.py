@@ -152,7 +152,7 @@ def search_hybrid_indexes(spark, sf_dir):
     """As search_hybrid_rrf, from a stored text index and a stored vector index."""
     v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q_vec"))
     q = bench(spark, sf_dir).join(v, "query_id", "left")
-    return hybrid.search_hybrid_index(q, text_index_of(spark, table(spark, sf_dir, "documents")), vector_index_of(spark, sf_dir), 10)
+    return hybrid.search_hybrid_index(q, text_index_of(spark, table(spark, sf_dir, "documents")), vector_index_of(spark, sf_dir), 10, first=25)
 
 
 @query(f"WITH {BM25} SELECT query_id, doc_id, score, rank FROM any_ WHERE rank > 10 AND rank <= 15")
