@@ -60,6 +60,19 @@ def release(*tables: DataFrame) -> None:
             at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def keyed_rows(df: DataFrame, id_col: str, columns: list[str]) -> tuple[DataFrame, str]:
+    """`columns` of `df`, and the name of a whole-number column among them that tells all rows apart and is never null.
+
+    That is `id_col` where no id is null or repeated, which an aggregate of the ids alone finds out. Else the rows are numbered and written
+    with their numbers, so that a row keeps its number whenever it's read.
+    """
+    ids = df.groupBy(F.col(id_col).cast("bigint").alias("id")).agg(F.count(F.lit(1)).alias("n"))
+    if ids.where("n > 1 or id is null").isEmpty():
+        return df.select(*columns), id_col
+    (key,) = fresh(columns, "row_key")
+    return materialise(df.select(*columns).withColumn(key, F.monotonically_increasing_id()), "numbered-rows"), key
+
+
 def bloom_words(n_rows: int, bits_per_row: int = 16) -> int:
     """Number of 64-bit words for `n_rows` keys: a power of two, never more than MAX_BLOOM_WORDS."""
     words = 64

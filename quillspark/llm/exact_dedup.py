@@ -11,8 +11,8 @@ A group's keeper comes from a partial aggregate, and its members find it in a jo
 any share of the rows.
 
 Defined cases: null counts as empty, and all-space texts are equal to empty ones; of equal texts the one with the most code points, then the
-smallest id stays; rows repeated with one id are all in the group and all marked kept if their id is the keeper's. An empty table
-gives no rows. Other columns aren't read by `groups_of_equal_text` and are returned untouched by `drop_exact_copies`.
+smallest id stays, null ids last; rows repeated with one id are all in the group and all marked kept if their id is the keeper's (null is equal to null here), while
+`drop_exact_copies` keeps one row of a group in any case, also where one id stands on several texts. An empty table gives no rows. Other columns aren't read by `groups_of_equal_text` and are returned untouched by `drop_exact_copies`.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import MAX_BLOOM_WORDS, anti_by_bloom, bloom_words, join_groups, materialise
+from .common import MAX_BLOOM_WORDS, anti_by_bloom, bloom_words, join_groups, keyed_rows, materialise
 
 SALTS = 16
 #: Rows of one range of the hash: 16 bits of the largest filter for each.
@@ -54,45 +54,49 @@ def repeated_cells(hashes: DataFrame, words: int) -> DataFrame:
 
 
 def maybe_repeated(digests: DataFrame, filt: DataFrame, words: int) -> DataFrame:
-    """(id, len, sha, maybe): whether both cells of the row's hash are in the filter, which has at most `words` rows."""
+    """`digests` without h, and maybe: whether both cells of the row's hash are in the filter, which has at most `words` rows."""
     a, b = (_cells(F.col("h"), words)[i] for i in (0, 1))
     probe = digests.withColumns({"c0": a, "c1": b})
     for c in ("c0", "c1"):
         f = filt.select(F.col("word").alias(f"w_{c}"), F.col("bits").alias(f"b_{c}"))
         probe = probe.join(F.broadcast(f), F.shiftright(c, 6).cast("int") == F.col(f"w_{c}"), "left")
         probe = probe.withColumn(f"in_{c}", F.coalesce(F.getbit(f"b_{c}", F.col(c).bitwiseAND(F.lit(63)).cast("int")) == 1, F.lit(False)))
-    return probe.withColumn("maybe", F.col("in_c0") & F.col("in_c1")).select("id", "len", "sha", "maybe")
+    return probe.withColumn("maybe", F.col("in_c0") & F.col("in_c1")).select(*(c for c in digests.columns if c != "h"), "maybe")
 
 
-def groups_of_equal_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_rows: int | None = None) -> DataFrame:
-    """One row per row of `df`: `id_col`, keep_id, group_size, kept, text_sha256."""
+def groups_of_equal_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_rows: int | None = None, tie_col: str | None = None) -> DataFrame:
+    """One row per row of `df`: `id_col`, keep_id, group_size, kept, text_sha256. Of equally long texts the one with the least `tie_col` stays, then the one with the least id."""
+    ties = [tie_col] if tie_col is not None and tie_col != id_col else []
     n_rows = df.count() if n_rows is None else n_rows
     ranges = max(1, -(-n_rows // RANGE_ROWS))
     words = bloom_words(-(-n_rows // ranges), 16)
-    rows = df.select(F.col(id_col).cast("bigint").alias("id"), normal_form(F.col(text_col)).alias("norm"), F.coalesce(F.length(text_col), F.lit(0)).alias("len"))
-    digests = rows.select("id", "len", F.xxhash64("norm").alias("h"), F.sha2("norm", 256).alias("sha"))
+    rows = df.select(F.col(id_col).cast("bigint").alias("id"), normal_form(F.col(text_col)).alias("norm"), F.coalesce(F.length(text_col), F.lit(0)).alias("len"), *(F.col(c).alias("tie") for c in ties))
+    own = ["id", "len", *("tie" for _ in ties)]
+    digests = rows.select(*own, F.xxhash64("norm").alias("h"), F.sha2("norm", 256).alias("sha"))
     if ranges > 1:
         digests = digests.withColumn("range", F.pmod(F.xxhash64("h"), F.lit(ranges)).cast("int"))
     digests = materialise(digests, "digests", "range" if ranges > 1 else None)
     probe = None
     for r in range(ranges):
-        own = digests.where(F.col("range") == r).drop("range") if ranges > 1 else digests
-        flagged = maybe_repeated(own, materialise(repeated_cells(own.select("h"), words), "repeated-cells"), words)
+        part = digests.where(F.col("range") == r).drop("range") if ranges > 1 else digests
+        flagged = maybe_repeated(part, materialise(repeated_cells(part.select("h"), words), "repeated-cells"), words)
         probe = flagged if probe is None else probe.unionByName(flagged)
 
     alone = probe.where("not maybe").select("id", F.col("id").alias("keep_id"), F.lit(1).cast("bigint").alias("group_size"), "sha")
-    maybe = probe.where("maybe").select("id", "len", "sha")
-    best = maybe.groupBy("sha").agg(F.min_by("id", F.struct(-F.col("len"), "id")).alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    maybe = probe.where("maybe").select(*own, "sha")
+    order = F.struct(-F.col("len"), *(f(c) for c in (*own[2:], "id") for f in (F.isnull, F.col)))
+    best = maybe.groupBy("sha").agg(F.min_by("id", order).alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
     grouped = join_groups(maybe.select("id", "sha"), best, ["sha"], "id", SALTS).select("id", "keep_id", "group_size", "sha")
     return alone.unionByName(grouped).select(
-        F.col("id").alias(id_col), "keep_id", "group_size", (F.col("id") == F.col("keep_id")).alias("kept"), F.col("sha").alias("text_sha256")
+        F.col("id").alias(id_col), "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("sha").alias("text_sha256")
     )
 
 
 def drop_exact_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`df` without the rows whose text equals a kept row's. Columns stay as they are; only rows that may go are shuffled."""
-    groups = materialise(groups_of_equal_text(df, id_col, text_col).where("not kept").select(id_col), "exact-copies")
-    return anti_by_bloom(df, id_col, groups, groups.count())
+    rows, key = keyed_rows(df, id_col, df.columns)
+    lost = materialise(groups_of_equal_text(rows, key, text_col, tie_col=id_col).where("not kept").select(key), "exact-copies")
+    return anti_by_bloom(rows, key, lost, lost.count()).select(*df.columns)
 
 
 ORACLE = r"""
@@ -106,5 +110,5 @@ WITH n AS (
          count(*) OVER (PARTITION BY text_sha256) AS group_size
   FROM h
 )
-SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM k
+SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AS kept, text_sha256 FROM k
 """

@@ -16,8 +16,9 @@ At similarity 0.8 a pair shares no band with probability 5e-8. The sketch filter
 on buckets or partners. Work still grows with the square of a family that neither a hub nor a confirmed link holds together.
 
 Defined cases: null, empty and all-space texts have no shingles and are linked with nothing; a text with fewer than k words
-is one shingle, its whole sequence; A-Z are lower-cased and no other letters; repeated rows fall in one class. An empty table gives no
-rows. Only the id and text columns are read.
+is one shingle, its whole sequence; A-Z are lower-cased and no other letters; repeated rows fall in one class. Rows with one id
+and several texts are linked each for itself; component_id is the smallest id of the rows reached (null only if all of them are null), a row is kept if its id is that one (null is equal to null),
+and `drop_near_copies` keeps one row of a component in any case. An empty table gives no rows. Only the id and text columns are read.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import anti_by_bloom, give_back, join_by_size, join_groups, materialise, mix64, pieces, release, semi_by_bloom, texts_of, window_hashes, word_hashes
+from .common import anti_by_bloom, give_back, join_by_size, join_groups, keyed_rows, materialise, mix64, pieces, release, semi_by_bloom, texts_of, window_hashes, word_hashes
 from .components import components
 
 BANDS, ROWS, SKETCH_BITS = 32, 4, 512
@@ -139,7 +140,7 @@ def confirmed(df: DataFrame, pairs: DataFrame, percent: int, k: int, id_col: str
     wanted = pairs.select(F.explode(F.array("a", "b")).alias(id_col)).distinct()
     wanted = materialise(wanted, "to-check")
     texts = semi_by_bloom(df.select(id_col, text_col), id_col, wanted, wanted.count())
-    return similar(pairs, materialise(shingle_sets(texts, k, id_col, text_col).dropDuplicates(["id"]), "sets"), percent)
+    return similar(pairs, materialise(shingle_sets(texts, k, id_col, text_col), "sets"), percent)
 
 
 def block_pairs(rows: DataFrame, group: str, size: str, most: int) -> DataFrame:
@@ -239,22 +240,22 @@ def links_between_components(df: DataFrame, at: DataFrame, texts: DataFrame, per
     family = components(alike).select(F.col("node").alias("component"), F.col("component").alias("family"))
     todo = materialise(texts.join(family, "component"), "families")
     wanted = semi_by_bloom(df.select(id_col, text_col), id_col, todo.select(F.col("id").alias(id_col)), todo.count())
-    sets = shingle_sets(wanted, k, id_col, text_col).dropDuplicates(["id"])
+    sets = shingle_sets(wanted, k, id_col, text_col)
     rows = materialise(block_pairs(todo, "family", "n", SHINGLES).join(sets, "id"), "set-blocks")
     links = materialise(forests(rows, "family", "n", 2 * SHINGLES, percent, most, True), "links")
     release(rows, alike, family, todo)
     return links
 
 
-def near_duplicates(df: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of `df`: `id_col`, n_shingles, component_id (the smallest id reachable), kept."""
+def linked(df: DataFrame, k: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """(id, n, component): the size of each row's set and the smallest id reachable. Ids tell rows apart."""
     most = most_differing_bits(percent / 100)
     sig = materialise(signatures(df, k, id_col, text_col), "signatures")
     some = sig.where("n > 0")
     classes = some.groupBy("n", "lo", "hi").agg(F.min("id").alias("rep"))
     members = materialise(join_groups(some.select("id", "n", "lo", "hi"), classes, ["n", "lo", "hi"], "id").select("id", "n", "rep"), "members")
     copies = members.where("id <> rep").select("id")
-    reps = anti_by_bloom(some.select("id", "n", "bands", "sketch"), "id", copies, copies.count()).dropDuplicates(["id"])
+    reps = anti_by_bloom(some.select("id", "n", "bands", "sketch"), "id", copies, copies.count())
     reps = materialise(reps, "classes")
     sketches = reps.select("id", "n", "sketch", F.col("id").alias("component"))
 
@@ -277,13 +278,30 @@ def near_duplicates(df: DataFrame, k: int = 5, percent: int = 80, id_col: str =
 
     out = members.join(comp.select(F.col("node").alias("rep"), "component"), "rep", "left")
     out = out.select("id", "n", F.coalesce("component", "rep").alias("component"))
-    out = out.unionByName(sig.where("n = 0").select("id", "n", F.col("id").alias("component")))
-    return out.select(
-        F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), (F.col("id") == F.col("component")).alias("kept")
-    )
+    return out.unionByName(sig.where("n = 0").select("id", "n", F.col("id").alias("component")))
+
+
+def linked_rows(rows: DataFrame, key: str, k: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """(id, n, own, least, first) for each of `rows`: its key, its set's size, its own id, and of its component the smallest id and the key of the first row with it."""
+    out = linked(rows, k, percent, key, text_col)
+    if key == id_col:
+        return out.select("id", "n", F.col("id").alias("own"), F.col("component").alias("least"), F.col("component").alias("first"))
+    named = materialise(out.join(rows.select(F.col(key).alias("id"), F.col(id_col).cast("bigint").alias("own")), "id"), "named-components")
+    first = F.min_by("id", F.struct(F.isnull("own"), "own", "id")).alias("first")
+    least = named.groupBy("component").agg(F.min("own").alias("least"), first, F.count(F.lit(1)).alias("size"))
+    return join_by_size(named, least, ["component"], "size").select("id", "n", "own", "least", "first")
+
+
+def near_duplicates(df: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row of `df`: `id_col`, n_shingles, component_id (the smallest id reachable), kept."""
+    rows, key = keyed_rows(df, id_col, [id_col, text_col])
+    out = linked_rows(rows, key, k, percent, id_col, text_col)
+    return out.select(F.col("own").alias(id_col), F.col("n").alias("n_shingles"), F.col("least").alias("component_id"), F.col("own").eqNullSafe(F.col("least")).alias("kept"))
 
 
 def drop_near_copies(df: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`df` with one row of each group of near-duplicates; columns stay as they are."""
-    lost = materialise(near_duplicates(df, k, percent, id_col, text_col).where("not kept").select(id_col), "near-copies")
-    return anti_by_bloom(df, id_col, lost, lost.count())
+    rows, key = keyed_rows(df, id_col, df.columns)
+    lost = linked_rows(rows, key, k, percent, id_col, text_col).where("id <> first").select(F.col("id").alias(key))
+    lost = materialise(lost, "near-copies")
+    return anti_by_bloom(rows, key, lost, lost.count()).select(*df.columns)

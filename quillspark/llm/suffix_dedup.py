@@ -15,7 +15,7 @@
 Positions and counts are judged on the input. Matches never cross documents. Hashes of anchor and run are 64 bits each and must both agree.
 
 Defined cases: null and empty texts have no bytes and lose none; texts shorter than `length` lose none; a passage that repeats inside one text counts;
-repeated rows remove each other wholly (from `length` bytes on). Very long texts are read in overlapping blocks. An empty table gives no rows. Only the id and text columns are read.
+repeated rows remove each other wholly (from `length` bytes on); rows with one id, or none, and several texts are judged each for itself. Very long texts are read in overlapping blocks. An empty table gives no rows. Only the id and text columns are read.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bloom_filter, bloom_words, fresh, give_back, join_by_size, materialise, maybe_in, mix64, pieces, release, semi_by_bloom
+from .common import bloom_filter, bloom_words, fresh, give_back, join_by_size, keyed_rows, materialise, maybe_in, mix64, pieces, release, semi_by_bloom
 from .difference_cover import repeated_windows
 
 GRAM = 24
@@ -254,7 +254,7 @@ def _by_blocks(strings: DataFrame, length: int) -> DataFrame:
 
 
 def repeated_ranges(df: DataFrame, length: int = 200, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc, a, b): the windows starting at bytes a..b-1 of the document occur elsewhere too. Ranges may touch."""
+    """(doc, a, b): the windows starting at bytes a..b-1 of the document occur elsewhere too. Ranges may touch. Ids tell rows apart."""
     occ = materialise(occurrences(df, length, id_col, text_col), "runs")
     multi = occ.groupBy("anchor").agg(F.count(F.lit(1)).alias("times"), F.min("run").alias("r0"), F.max("run").alias("r1")).where("times > 1")
     multi = multi.select("anchor", "times", (F.col("r0") == F.col("r1")).alias("equal"))
@@ -328,7 +328,9 @@ def passage_digests(df: DataFrame, length: int = 200, id_col: str = "doc_id", te
                 names=[id_col, "n_bytes", "n_removed", "n_spans", "kept_sha256"],
             )
 
-    both = with_ranges(df, repeated_ranges(df, length, id_col, text_col), id_col, [id_col, text_col], fresh([id_col, text_col], "ranges")[0])
+    rows, key = keyed_rows(df, id_col, [id_col, text_col])
+    (name,) = fresh(rows.columns, "ranges")
+    both = with_ranges(rows, repeated_ranges(rows, length, key, text_col), key, rows.columns, name).select(id_col, text_col, name)
     return both.mapInArrow(run, f"{id_col} long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
@@ -342,6 +344,7 @@ def drop_repeated_passages(df: DataFrame, length: int = 200, id_col: str = "doc_
         left = lambda t, r: t if t is None or r is None else kept_bytes(t.encode(), r, length)[0].decode("utf-8", "ignore")
         return pd.Series([left(t, r) for t, r in zip(text, ranges, strict=True)], dtype=object)
 
-    (name,) = fresh(df.columns, "ranges")
-    both = with_ranges(df, repeated_ranges(df, length, id_col, text_col), id_col, df.columns, name)
+    rows, key = keyed_rows(df, id_col, df.columns)
+    (name,) = fresh(rows.columns, "ranges")
+    both = with_ranges(rows, repeated_ranges(rows, length, key, text_col), key, rows.columns, name)
     return both.withColumn(text_col, cut(F.col(text_col), F.col(name))).select(*df.columns)

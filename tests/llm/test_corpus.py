@@ -494,6 +494,33 @@ def test_repeated_rows(spark, invented_docs):
     assert sorted((r.doc_id, r.component_id) for r in near_dedup.near_duplicates(df).collect()) == [(1, 1), (1, 1), (2, 2)]
 
 
+def test_one_id_with_several_texts_and_null_ids(spark):
+    """Rows are told apart by themselves: no link and no text is lost, and no range meets the wrong text."""
+    w = [f"word{i}" for i in range(150)]
+    t, u, near = " ".join(w), " ".join(f"other{i}" for i in range(60)), " ".join([*w[:149], "end"])
+    rows = [(1, t), (1, u), (2, near), (None, t), (None, u + " "), (None, "alone"), (3, "alone"), (3, "x"), (4, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    key = lambda r: tuple((x is None, x) for x in r)
+
+    equal = sorted(((r.doc_id, r.keep_id, r.group_size, r.kept) for r in exact_dedup.groups_of_equal_text(df).collect()), key=key)
+    want = [(1, 1, 2, True), (1, None, 2, False), (2, 2, 1, True), (None, 1, 2, False), (None, None, 2, True), (None, 3, 2, False), (3, 3, 2, True), (3, 3, 1, True), (4, 4, 1, True)]
+    assert equal == sorted(want, key=key)
+    kept = [tuple(r) for r in exact_dedup.drop_exact_copies(df).collect()]
+    assert sorted(kept, key=key) == sorted([(1, t), (2, near), (None, u + " "), (3, "alone"), (3, "x"), (4, None)], key=key)
+
+    groups = sorted(((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in near_dedup.near_duplicates(df, 4).collect()), key=key)
+    want = [(1, 147, 1, True), (1, 57, 1, True), (2, 147, 1, False), (None, 147, 1, False), (None, 57, 1, False), (None, 1, 3, False), (3, 1, 3, True), (3, 1, 3, True), (4, 0, 4, True)]
+    assert groups == sorted(want, key=key)
+    kept = [tuple(r) for r in near_dedup.drop_near_copies(df, 4).collect()]
+    assert sorted(kept, key=key) == sorted([(1, t), (1, u), (3, "alone"), (3, "x"), (4, None)], key=key)
+
+    want = brute.repeated_bytes([(i, (x or "").encode()) for i, (_, x) in enumerate(rows)])
+    got = [(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.passage_digests(df).collect()]
+    assert sorted(got, key=key) == sorted([(rows[i][0], *v[:4]) for i, v in want.items()], key=key)
+    cut = [tuple(r) for r in suffix_dedup.drop_repeated_passages(df).collect()]
+    assert sorted(cut, key=key) == sorted([(i, x if x is None else want[n][4].decode()) for n, (i, x) in enumerate(rows)], key=key)
+
+
 def test_components(spark):
     from quillspark.llm.components import components
 
