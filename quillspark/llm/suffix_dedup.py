@@ -264,11 +264,11 @@ def repeated_ranges(df: DataFrame, length: int = 200, id_col: str = "doc_id", te
     mixed = met.where("not equal")
     distinct = mixed.groupBy("anchor", "run").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("doc", "s", "n")).alias("one"))
     distinct = materialise(distinct.select("anchor", "run", "c", "one.*"), "distinct-runs")
-    # Each occurrence keeps its row here and learns whether its run is repeated as a whole.
-    several = distinct.where("c > 1").select("anchor", "run", "c", F.lit(True).alias("again"))
-    known = join_by_size(met, several, ["anchor", "run"], "c", "left")
+    # Runs of an anchor that has no other run repeat without a look at their groups; of the others, those stay here whose run is repeated as a whole.
+    several = distinct.where("c > 1").select("anchor", "run", "c")
     start = F.col("s").cast("bigint")
-    easy = known.where("equal or again").select("doc", start.alias("a"), (start + F.col("n")).alias("b"))
+    ranges = lambda rows: rows.select("doc", start.alias("a"), (start + F.col("n")).alias("b"))
+    easy = ranges(met.where("equal")).unionByName(ranges(join_by_size(mixed, several, ["anchor", "run"], "c", "left_semi")))
 
     size = F.sum(F.col("n") + F.lit(length - 1))
     sized = materialise(distinct.groupBy("anchor").agg(size.alias("bytes"), F.count(F.lit(1)).alias("kinds")), "anchors")

@@ -547,3 +547,38 @@ def test_join_by_size(spark):
         want = sorted(map(tuple, rows.join(groups, "g", how).collect()), key=key)
         assert sorted(map(tuple, join_by_size(rows, groups, ["g"], "size", how).collect()), key=key) == want
     assert join_by_size(rows.limit(0), groups.limit(0), ["g"], "size").count() == 0
+
+
+def test_semi_join_by_size(spark):
+    """Rows of hot and of other groups, each once and without the group's columns, however large a group is."""
+    from quillspark.llm.common import join_by_size
+
+    data = [(0, i) for i in range(3000)] + [(1 + i % 1500, i) for i in range(3000)]
+    rows = spark.createDataFrame(data, "g long, i long")
+    groups = spark.createDataFrame([(0, 3000), *((g, 2) for g in range(1, 1000)), (9999, 1)], "g long, size long")
+    got = join_by_size(rows, groups, ["g"], "size", "left_semi")
+    assert got.columns == ["g", "i"]
+    assert sorted(map(tuple, got.collect())) == sorted(r for r in data if r[0] < 1000)
+
+
+def test_runs_without_a_second_kind_are_not_joined(spark, monkeypatch):
+    """Only runs whose anchor has several kinds of runs are looked up, and each comes back once at most."""
+    seen = []
+    join = suffix_dedup.join_by_size
+
+    def watched(rows, groups, keys, size, how="inner"):
+        out = join(rows, groups, keys, size, how)
+        if keys == ["anchor", "run"]:
+            seen.append((rows.count(), out.count(), rows.where("equal").count()))
+        return out
+
+    monkeypatch.setattr(suffix_dedup, "join_by_size", watched)
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    passage = " ".join(word() for _ in range(150))
+    rows = [(i, f"{word()} {passage} {word()}" if i % 3 else f"{passage} {word()}") for i in range(60)]
+    got = {r.doc_id: r.n_removed for r in suffix_dedup.passage_digests(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = brute.repeated_bytes([(i, t.encode()) for i, t in rows])
+    assert got == {i: w[1] for i, w in want.items()}
+    (looked_up, found, equal), = seen
+    assert equal == 0 and 0 < found <= looked_up
