@@ -93,35 +93,32 @@ def runs(data: bytes, length: int):
     return tuple(np.concatenate(c) for c in zip(*out, strict=True))
 
 
-def blocks_of_run(data: np.ndarray, n: int, length: int, widths: tuple[int, ...] = WIDTHS) -> list[dict]:
-    """A run's windows as nested blocks: of widths[0] windows, each cut into blocks of widths[1], and so on.
+def blocks_of_runs(data: list[bytes], n: np.ndarray, anchors: np.ndarray, length: int, widths: tuple[int, ...] = WIDTHS):
+    """The windows of many runs as nested blocks: of widths[0] windows, each cut into blocks of widths[1], and so on.
 
+    For each width (run, block, at, m, full, core, window): the block's run, its number, first window, windows, two hashes, and its first window among those of all runs.
     Blocks are aligned by the offset to the run's anchor, so equal windows of two runs lie in equal blocks. `full` is the hash of a
     block's bytes, `core` that of the bytes which any window of such a block has; for single windows both are the window.
     """
-    h = _BYTE[data]
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * _POW[: len(h)], dtype=np.uint64)])
-    hashed = lambda x, y: mix64((sums[y] - sums[x]) * _POW[2048 - x] + (y - x).astype(np.uint64) * _BASE2).view(np.int64).tolist()
-    anchor = int(np.argmin(_grams(h)))
-    out: list[dict] = []
-    parents = None
+    h = _BYTE[np.frombuffer(b"".join(data), np.uint8)]
+    size = n + length - 1
+    base = np.cumsum(size) - size
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * _POW[np.arange(len(h)) - np.repeat(base, size)], dtype=np.uint64)])
+    hashed = lambda r, x, y: mix64((sums[base[r] + y] - sums[base[r] + x]) * _POW[2048 - x] + (y - x).astype(np.uint64) * _BASE2).view(np.int64)
+    # The leftmost place of the anchor in its run.
+    there = np.flatnonzero(_grams(h) == np.repeat(anchors, size)[: len(h) - GRAM + 1])
+    anchor = there[np.searchsorted(there, base)] - base
+    run = np.repeat(np.arange(len(n)), n)
+    inside = np.arange(len(run)) - np.repeat(np.cumsum(n) - n, n)
     for w in widths:
-        block = (anchor - np.arange(n)) // w
-        first = np.concatenate([[0], np.flatnonzero(block[1:] != block[:-1]) + 1])
-        m = np.diff(np.append(first, n))
-        core = anchor - block[first] * w
-        rows = [
-            {"block": b, "at": a, "m": k, "full": f, "core": c, "finer": []}
-            for b, a, k, f, c in zip(block[first].tolist(), first.tolist(), m.tolist(), hashed(first, first + m - 1 + length), hashed(core, core - w + 1 + length), strict=True)
-        ]
-        if parents is None:
-            out = rows
-        else:
-            place = np.searchsorted(parents[1], first, side="right") - 1
-            for r, i in zip(rows, place.tolist(), strict=True):
-                parents[0][i]["finer"].append(r)
-        parents = (rows, first)
-    return out
+        block = (anchor[run] - inside) // w
+        begins = np.ones(len(run), bool)
+        begins[1:] = (run[1:] != run[:-1]) | (block[1:] != block[:-1])
+        first = np.flatnonzero(begins)
+        m = np.diff(np.append(first, len(run)))
+        r, at, number = run[first], inside[first], block[first]
+        core = anchor[r] - number * w
+        yield r, number, at, m, hashed(r, at, at + m - 1 + length), hashed(r, core, core - w + 1 + length), first
 
 
 def _bytes(batch) -> list[bytes]:
@@ -193,40 +190,36 @@ def _by_suffix_order(strings: DataFrame, length: int) -> DataFrame:
     return strings.groupBy("bucket").applyInPandas(run, "doc long, a long, b long")
 
 
-def _block_type(levels: int):
-    """Arrow type and Spark type of a block with `levels` finer levels."""
-    import pyarrow as pa
-
-    kind, ddl = None, ""
-    for _ in range(levels + 1):
-        fields = [("block", pa.int32()), ("at", pa.int32()), ("m", pa.int32()), ("full", pa.int64()), ("core", pa.int64())]
-        names = "block:int,at:int,m:int,full:bigint,core:bigint"
-        if kind is not None:
-            fields.append(("finer", pa.list_(kind)))
-            names += f",finer:array<{ddl}>"
-        kind, ddl = pa.struct(fields), f"struct<{names}>"
-    return kind, ddl
+def _block_type(levels: int) -> str:
+    """Spark type of a block with `levels` finer levels."""
+    ddl = ""
+    for k in range(levels + 1):
+        ddl = "struct<block:int,at:int,m:int,full:bigint,core:bigint" + (f",finer:array<{ddl}>>" if k else ">")
+    return ddl
 
 
 def _blocks(strings: DataFrame, length: int) -> DataFrame:
     """(doc, s, anchor, c, b): the widest blocks of each run, with the finer ones inside."""
-    kind, ddl = _block_type(len(WIDTHS) - 1)
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for b in pieces(batches):
-            rows = [
-                (doc, s, anchor, c, block)
-                for doc, s, n, anchor, c, d in zip(*(x.to_pylist() for x in b.columns), strict=True)
-                for block in blocks_of_run(np.frombuffer(d, np.uint8), n, length)
-            ]
-            for i in range(0, len(rows), 10_000):
-                cols = zip(*rows[i : i + 10_000], strict=True)
-                kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), kind]
-                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(cols, kinds, strict=True)], names=["doc", "s", "anchor", "c", "b"])
-
-    return strings.select("doc", "s", "n", "anchor", "c", "data").mapInArrow(run, f"doc long, s int, anchor long, c long, b {ddl}")
+            if not b.num_rows:
+                continue
+            n, anchors = b.column(2).to_numpy().astype(np.int64), b.column(3).to_numpy().view(np.uint64)
+            levels = list(blocks_of_runs(b.column(5).to_pylist(), n, anchors, length))
+            inner, starts = None, None
+            for r, number, at, m, full, core, first in reversed(levels):
+                fields = {"block": pa.array(number.astype(np.int32)), "at": pa.array(at.astype(np.int32)), "m": pa.array(m.astype(np.int32)), "full": pa.array(full), "core": pa.array(core)}
+                if inner is not None:
+                    # Finer blocks never cross the border of a wider one.
+                    fields["finer"] = pa.ListArray.from_arrays(pa.array(np.append(np.searchsorted(starts, first), len(starts)).astype(np.int32)), inner)
+                inner, starts = pa.StructArray.from_arrays(list(fields.values()), names=list(fields)), first
+            at = pa.array(levels[0][0])
+            yield pa.RecordBatch.from_arrays([*(b.column(k).take(at) for k in (0, 1, 3, 4)), inner], names=["doc", "s", "anchor", "c", "b"])
+
+    return strings.select("doc", "s", "n", "anchor", "c", "data").mapInArrow(run, f"doc long, s int, anchor long, c long, b {_block_type(len(WIDTHS) - 1)}")
 
 
 def _by_blocks(strings: DataFrame, length: int) -> DataFrame:

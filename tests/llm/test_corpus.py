@@ -582,3 +582,24 @@ def test_runs_without_a_second_kind_are_not_joined(spark, monkeypatch):
     assert got == {i: w[1] for i, w in want.items()}
     (looked_up, found, equal), = seen
     assert equal == 0 and 0 < found <= looked_up
+
+
+def test_blocks_of_many_runs():
+    """Blocks of all runs at once: aligned by the anchor, whole, and equal where their bytes are equal."""
+    rng = random.Random(6)
+    texts = ["".join(rng.choice("abc ") for _ in range(900)).encode() for _ in range(3)]
+    texts += [b"x" * 700, texts[0][100:700] + texts[1][:300]]
+    found = [(t, int(s), int(n), a) for t in texts for s, n, a, _ in zip(*suffix_dedup.runs(t, 200), strict=True)]
+    data = [t[s : s + n + 199] for t, s, n, _ in found]
+    sizes, anchors = np.array([f[2] for f in found]), np.array([f[3] for f in found], np.uint64)
+    for w, (run, number, at, m, full, core, first) in zip((24, 4, 1), suffix_dedup.blocks_of_runs(data, sizes, anchors, 200), strict=True):
+        assert np.bincount(run, m, len(found)).tolist() == sizes.tolist()
+        assert first.tolist() == (np.cumsum(m) - m).tolist() and m.max() <= w
+        whole, shared = {}, {}
+        for r, b, a, k, f, c in zip(*(x.tolist() for x in (run, number, at, m, full, core)), strict=True):
+            bytes_ = data[r][a : a + k + 199]
+            assert whole.setdefault(f, bytes_) == bytes_
+            if k == w:
+                inner = data[r][a + w - 1 : a + 200]
+                assert shared.setdefault(c, inner) == inner
+        assert len(set(whole.values())) == len(whole)
