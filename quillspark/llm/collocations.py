@@ -6,7 +6,8 @@ is active any more, all counts are whole. After each scan the counts so far are
 
 The filter is what tasks know of activity: a bitmap of fixed size (at most `max_words` words of 64 bits, 16 MB), to which bits are only added. At scan t a phrase is counted if both subphrases are in the
 filter, unless both were already in it at scan t - shards. So even a subphrase that the filter only seems to hold starts a phrase at one scan and ends it a cycle
-later: counts are exact for whatever is counted, and false hits only cost counting. With more phrases at the threshold than the filter can tell apart it prunes less and less; results stay the same.
+later: counts are exact for whatever is counted, and false hits only cost counting. The filters of the scans between tell when a phrase's cycle began, which depends on nothing but the phrase:
+its counts carry the scan that ends its cycle, and a phrase that is rare then is dropped before the sums are written. With more phrases at the threshold than the filter can tell apart it prunes less and less; results stay the same.
 
 Scores and comparisons are in whole numbers (decimals of 38 digits where products may pass 64 bits). Phrases of a language are ranked by limited windows, so each task hands on `top` rows at most.
 
@@ -81,40 +82,52 @@ def holds(bits: np.ndarray | None, h: np.ndarray) -> np.ndarray:
 
 def equal_phrases(h: np.ndarray, ids: np.ndarray, at: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """(a place of each distinct phrase of n words, its count) among the places `at`; hashes group them and words confirm it."""
-    _, first, which, count = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
-    there = at[first][which]
-    if all((ids[at + j] == ids[there + j]).all() for j in range(n)):
-        return at[first], count
+    at = at[order := np.argsort(h)]
+    h = h[order]
+    begins = np.ones(len(h), bool)
+    begins[1:] = h[1:] != h[:-1]
+    if all((begins[1:] | (ids[at[1:] + j] == ids[at[:-1] + j])).all() for j in range(n)):
+        first = np.flatnonzero(begins)
+        return at[first], np.diff(np.append(first, len(h)))
     rows = np.stack([ids[at + j] for j in range(n)], axis=1)
     _, first, count = np.unique(rows, axis=0, return_index=True, return_counts=True)
     return at[first], count
 
 
-def active_phrases(ids: np.ndarray, hashes: np.ndarray, now: np.ndarray, before: np.ndarray | None, with_words: bool) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(length, a place of each active phrase, its count) in a run of word numbers."""
+def active_phrases(ids: np.ndarray, hashes: np.ndarray, filters: list[np.ndarray], shards: int, with_words: bool) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(length, scans of its cycle before this one, a place of each active phrase, its count) in a run of word numbers.
+
+    `filters`: those of this scan and of up to `shards` scans before, the newest first.
+    """
     if with_words:
         count = np.bincount(ids, minlength=len(hashes))
         place = np.zeros(len(hashes), np.int64)
         place[ids[::-1]] = np.arange(len(ids))[::-1]
         seen = np.flatnonzero(count[1:]) + 1
-        yield 1, place[seen], count[seen]
+        yield 1, 0, place[seen], count[seen]
     real = np.arange(len(hashes)) > 0
-    new, old = (holds(now, hashes) & real)[ids], (holds(before, hashes) & real)[ids]
+    held = [(holds(f, hashes) & real)[ids] for f in filters]
     h = hashes[ids]
     for n in range(2, LONGEST + 1):
-        at = np.flatnonzero(new[:-1] & new[1:])
+        at = np.flatnonzero(held[0][:-1] & held[0][1:])
         longer = grown(h[at], hashes[ids[at + n - 1]])
-        was = old[at] & old[at + 1]
-        live = ~was
-        if live.any():
-            yield n, *equal_phrases(longer[live], ids, at[live], n)
+        active = [x[at] & x[at + 1] for x in held]
+        scans = np.zeros(len(at), np.int64)
+        for x in active[1:]:
+            scans += x
+        for k in range(shards):
+            live = scans == k
+            if live.any():
+                yield n, k, *equal_phrases(longer[live], ids, at[live], n)
         if n == LONGEST or not len(at):
             return
-        size = len(new) - 1
-        new, old, full = np.zeros(size, bool), np.zeros(size, bool), np.zeros(size, np.uint64)
-        # What a filter only seems to hold counts as held where its own subphrases are: now and a cycle ago alike.
-        new[at], old[at], full[at] = holds(now, longer), holds(before, longer) & was, longer
-        h = full
+        size = len(held[0]) - 1
+        # What a filter only seems to hold counts as held where its own subphrases are: at every scan alike.
+        held = [np.zeros(size, bool) for _ in filters]
+        for x, f, own in zip(held, filters, active, strict=True):
+            x[at] = holds(f, longer) & own
+        h = np.zeros(size, np.uint64)
+        h[at] = longer
 
 
 CODED = "shard int, lang string, names array<binary>, ids binary"
@@ -161,28 +174,29 @@ def _coded(rows: DataFrame, shards: int, size: int) -> DataFrame:
     return rows.select("lang", "text").mapInArrow(run, CODED)
 
 
-def _scan(shard: DataFrame, now, before, with_words: bool) -> DataFrame:
-    """(lang, phrase, n, c): partial counts of the active phrases of a shard of coded slices."""
+def _scan(shard: DataFrame, filters: list, step: int, shards: int) -> DataFrame:
+    """(lang, phrase, n, c, until): partial counts of the active phrases of a shard of coded slices, and the scan that ends a phrase's cycle. `filters` are broadcast, the newest first."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        bits, old = now.value, None if before is None else before.value
+        bits = [f.value for f in filters]
         give_back()
         for b in batches:
             for i in range(b.num_rows):
                 lang, names = b.column(0)[i].as_py(), b.column(1)[i].as_py()
                 ids = np.frombuffer(b.column(2)[i].as_buffer(), np.int32)
-                for n, at, count in active_phrases(ids, hashes_of(lang, names), bits, old, with_words):
+                for n, scans, at, count in active_phrases(ids, hashes_of(lang, names), bits, shards, step < shards):
+                    until = shards - 1 if n == 1 else step + shards - 1 - scans
                     words = [[names[k] for k in (ids[at + j] - 1).tolist()] for j in range(n)]
                     phrases = words[0] if n == 1 else list(map(b" ".join, zip(*words, strict=True)))
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([lang] * len(phrases), pa.string()), pa.array(phrases, pa.binary()).cast(pa.string()), pa.array(np.full(len(phrases), n, np.int32)), pa.array(count.astype(np.int64))],
-                        names=["lang", "phrase", "n", "c"],
+                        [pa.array([lang] * len(phrases), pa.string()), pa.array(phrases, pa.binary()).cast(pa.string()), pa.array(np.full(len(phrases), n, np.int32)), pa.array(count.astype(np.int64)), pa.array(np.full(len(phrases), until, np.int32))],
+                        names=["lang", "phrase", "n", "c", "until"],
                     )
         give_back()
 
-    return shard.select("lang", "names", "ids").mapInArrow(run, "lang string, phrase string, n int, c long")
+    return shard.select("lang", "names", "ids").mapInArrow(run, "lang string, phrase string, n int, c long, until int")
 
 
 def _filter_words(reached: DataFrame, n_words: int) -> DataFrame:
@@ -210,41 +224,40 @@ def _filter_words(reached: DataFrame, n_words: int) -> DataFrame:
 
 
 def phrase_counts(docs: DataFrame, least: int = 30, shards: int = 2, max_words: int = MAX_BLOOM_WORDS, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """(lang, phrase, n, count): exact counts of all phrases of 1 to 4 words that occur `least` times; rare words are summed in rows with n = 0. Rarer phrases of four words may be in it too."""
+    """(lang, phrase, n, count): exact counts of all phrases of 1 to 4 words that occur `least` times; rare words are summed in rows with n = 0. Rarer words of the last scans may be in it too."""
     spark = docs.sparkSession
     rows = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     dealt = materialise(_coded(rows, shards, SLICE), "collocation-shards", folders="shard")
     # Of each length, phrases that occur `least` times are at most one for each `least` words.
     n_tokens = (dealt.agg(F.sum(F.length("ids"))).first()[0] or 0) // 4
     n_words = min(bloom_words(3 * n_tokens // least + 1), max_words)
-    filters = [np.zeros(n_words, np.uint64)]
+    filters, sent = [np.zeros(n_words, np.uint64)], []
     state: DataFrame | None = None
     step = 0
-    while True:
-        now, before = filters[-1], filters[-1 - shards] if step >= shards else None
-        if step >= shards and np.array_equal(now, before):
-            break
-        sent = spark.sparkContext.broadcast(now)
-        sent_before = None if before is None else spark.sparkContext.broadcast(before)
-        found = _scan(dealt.where(F.col("shard") == step % shards), sent, sent_before, step < shards)
-        found = found.select("lang", "phrase", "n", "c", F.lit(0).cast("long").alias("before"))
+    while step < shards or not np.array_equal(filters[-1], filters[-1 - shards]):
+        sent = [spark.sparkContext.broadcast(filters[-1]), *sent]
+        found = _scan(dealt.where(F.col("shard") == step % shards), sent, step, shards)
+        found = found.select("lang", "phrase", "n", "c", F.lit(0).cast("long").alias("before"), "until")
         if state is not None:
-            # Before this scan, phrases of up to step / shards words had their full cycle: the rare ones of them go, words into one row for each language.
-            rare = (F.col("n") <= step // shards) & (F.col("count") < least)
-            whole = state.where(~rare | (F.col("n") < 2)).withColumns({"phrase": F.when(rare, F.lit("")).otherwise(F.col("phrase")), "n": F.when(rare, 0).otherwise(F.col("n"))})
-            found = found.unionByName(whole.select("lang", "phrase", "n", F.col("count").alias("c"), F.when(F.col("n") > 0, F.col("count")).otherwise(least).alias("before")))
-        new = materialise(found.groupBy("lang", "phrase", "n").agg(F.sum("c").alias("count"), F.sum("before").alias("before")), "collocation-counts")
+            # Rare words whose cycle is over go into one row for each language.
+            rare = (F.col("n") < 2) & (F.col("count") < least) & (F.col("until") < step)
+            kept = state.withColumns({"phrase": F.when(rare, F.lit("")).otherwise(F.col("phrase")), "n": F.when(rare, 0).otherwise(F.col("n"))})
+            found = found.unionByName(kept.select("lang", "phrase", "n", F.col("count").alias("c"), F.when(F.col("n") > 0, F.col("count")).otherwise(least).alias("before"), "until"))
+        new = found.groupBy("lang", "phrase", "n").agg(F.sum("c").alias("count"), F.sum("before").alias("before"), F.max("until").alias("until"))
+        new = materialise(new.where((F.col("n") < 2) | (F.col("count") >= least) | (F.col("until") > step)), "collocation-counts")
         # At most n_words rows of two numbers.
         bits = _filter_words(new.where((F.col("count") >= least) & (F.col("before") < least) & F.col("n").between(1, LONGEST - 1)), n_words).toPandas()
-        grown_filter = now.copy()
+        grown_filter = filters[-1].copy()
         grown_filter[bits["word"].to_numpy(np.int64)] |= bits["bits"].to_numpy(np.int64).view(np.uint64)
         filters = [*filters, grown_filter][-1 - shards :]
-        for x in (sent, sent_before):
-            if x is not None:
-                x.destroy()
+        for x in sent[shards:]:
+            x.destroy()
+        sent = sent[:shards]
         if state is not None:
             release(state)
         state, step = new, step + 1
+    for x in sent:
+        x.destroy()
     release(dealt)
     return state.select("lang", "phrase", "n", "count")
 

@@ -112,3 +112,24 @@ def test_query_equals_sql(spark, folder):
 def test_query_equals_plain_counts(spark, small):
     docs = [(r.lang, r.text) for r in table(spark, small, "documents").collect()]
     assert found(queries.op13_collocations(spark, small)) == plain(docs, 30, 2000)
+
+
+def test_rare_phrases_go_when_their_cycle_ends(spark, monkeypatch):
+    """No written sum holds a rare phrase whose cycle is over, and no phrase is dropped before."""
+    written = []
+    keep = collocations.materialise
+
+    def watched(df, label, folders=None):
+        out = keep(df, label, folders)
+        if label == "collocation-counts":
+            written.append([tuple(r) for r in out.select("phrase", "n", "count", "until").collect()])
+        return out
+
+    monkeypatch.setattr(collocations, "materialise", watched)
+    monkeypatch.setattr(collocations, "SLICE", 100)
+    docs = texts(5, 120)
+    df = spark.createDataFrame(docs, "lang string, text string").repartition(4)
+    assert found(collocations.mine_collocations(df, least=8, shards=2)) == plain(docs, 8, 2000)
+    for step, rows in enumerate(written):
+        assert all(n < 2 or count >= 8 or until == step + 1 for _, n, count, until in rows)
+    assert any(n > 1 and count < 8 for rows in written for _, n, count, _ in rows)
