@@ -3,7 +3,8 @@
 1. Anchors. The anchor of a window of `length` bytes is its 24-byte string with the least hash, so equal windows have equal anchors in
    equal places. Neighbouring windows with one anchor make a run (about 90 windows). Runs of an anchor that occurs
    once repeat nothing. Runs that are equal as a whole repeat in all their windows. These are exact rules; what is left are
-   runs that share an anchor and differ, mostly next to edits and to the ends of copied passages.
+   runs that share an anchor and differ, mostly next to edits and to the ends of copied passages. Runs that one text has several times (lines said
+   over and over) are known there at once: they stay as united ranges, and each kind meets the other texts as one row with its count.
 2. Suffix order. One copy of each distinct run of such an anchor is dealt by anchor to buckets of about half a megabyte, and each bucket is sorted
    by the difference-cover algorithm (difference_cover.py): sort sampled triples, recurse on their names, merge the remaining suffixes. Windows that are
    neighbours in that order are compared over their `length` bytes.
@@ -125,7 +126,32 @@ def _bytes(batch) -> list[bytes]:
     return [t.encode() if t is not None else b"" for t in batch.column(1).to_pylist()]
 
 
+def _kinds(which: np.ndarray, s: np.ndarray, n: np.ndarray, anchor: np.ndarray, run: np.ndarray):
+    """Of runs in text order, `which` telling texts apart: (first, k, a, b).
+
+    `first` are the runs that stand first of their kind in their text, `k` how often the text has the kind. The runs of kinds with several places
+    in one text are those from a to b (included); each such range goes as far as their windows touch.
+    """
+    order = np.lexsort((run, anchor, which))  # stable: of each kind, the first place leads
+    x, y = order[1:], order[:-1]
+    begins = np.ones(len(order), bool)
+    begins[1:] = (run[x] != run[y]) | (anchor[x] != anchor[y]) | (which[x] != which[y])
+    lead = np.flatnonzero(begins)
+    k = np.diff(np.append(lead, len(order)))
+    again = np.empty(len(order), bool)
+    again[order] = np.repeat(k > 1, k)
+    hit = np.flatnonzero(again)
+    apart = (which[hit[1:]] != which[hit[:-1]]) | (s[hit[1:]] != s[hit[:-1]] + n[hit[:-1]])
+    ends = np.concatenate([[True], apart, [True]]) if len(hit) else np.zeros(1, bool)
+    return order[lead], k, hit[ends[:-1]], hit[ends[1:]]
+
+
 def occurrences(df: DataFrame, length: int, id_col: str, text_col: str) -> DataFrame:
+    """(doc, s, n, anchor, run, k): each kind of run that a text has, once, at its first place, with the number k of its places there.
+
+    Rows with k = 0 and no anchor are ranges of windows that are known to repeat, as the text itself has their runs several times.
+    """
+
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
@@ -133,16 +159,29 @@ def occurrences(df: DataFrame, length: int, id_col: str, text_col: str) -> DataF
             ids, parts = b.column(0).to_pylist(), [runs(t, length) for t in _bytes(b)]
             if not parts:
                 continue
-            s, c, a, r = (np.concatenate([p[k] for p in parts]) for k in range(4))
-            doc = np.repeat(np.array(ids, np.int64), [len(p[0]) for p in parts])
-            for i in range(0, len(doc), 100_000):
-                j = slice(i, i + 100_000)
+            s, n, a, r = (np.concatenate([p[k] for p in parts]) for k in range(4))
+            which = np.repeat(np.arange(len(parts)), [len(p[0]) for p in parts])
+            first, k, begin, end = _kinds(which, s, n, a, r)
+            doc = np.array(ids, np.int64)[which]
+            at = np.concatenate([first, begin])
+            windows = np.concatenate([n[first], s[end] + n[end] - s[begin]])
+            k = np.concatenate([k, np.zeros(len(begin), k.dtype)])
+            for i in range(0, len(at), 100_000):
+                j = at[i : i + 100_000]
+                m, known = k[i : i + 100_000], k[i : i + 100_000] == 0
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(doc[j]), pa.array(s[j].astype(np.int32)), pa.array(c[j].astype(np.int32)), pa.array(a[j].view(np.int64)), pa.array(r[j].view(np.int64))],
-                    names=["doc", "s", "n", "anchor", "run"],
+                    [
+                        pa.array(doc[j]),
+                        pa.array(s[j].astype(np.int32)),
+                        pa.array(windows[i : i + 100_000].astype(np.int32)),
+                        pa.array(a[j].view(np.int64), mask=known),
+                        pa.array(r[j].view(np.int64), mask=known),
+                        pa.array(m.astype(np.int32)),
+                    ],
+                    names=["doc", "s", "n", "anchor", "run", "k"],
                 )
 
-    return df.select(id_col, text_col).mapInArrow(run, "doc long, s int, n int, anchor long, run long")
+    return df.select(id_col, text_col).mapInArrow(run, "doc long, s int, n int, anchor long, run long, k int")
 
 
 def _strings(texts: DataFrame, length: int) -> DataFrame:
@@ -249,19 +288,21 @@ def _by_blocks(strings: DataFrame, length: int) -> DataFrame:
 def repeated_ranges(df: DataFrame, length: int = 200, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc, a, b): the windows starting at bytes a..b-1 of the document occur elsewhere too. Ranges may touch. Ids tell rows apart."""
     occ = materialise(occurrences(df, length, id_col, text_col), "runs")
-    multi = occ.groupBy("anchor").agg(F.count(F.lit(1)).alias("times"), F.min("run").alias("r0"), F.max("run").alias("r1")).where("times > 1")
-    multi = multi.select("anchor", "times", (F.col("r0") == F.col("r1")).alias("equal"))
-    met = materialise(join_by_size(occ, multi, ["anchor"], "times").drop("times"), "shared-anchors")
+    kinds, known = occ.where("k > 0"), occ.where("k = 0").withColumn("equal", F.lit(True))
+    multi = kinds.groupBy("anchor").agg(F.sum("k").alias("times"), F.count(F.lit(1)).alias("size"), F.min("run").alias("r0"), F.max("run").alias("r1")).where("times > 1")
+    multi = multi.select("anchor", "size", (F.col("r0") == F.col("r1")).alias("equal"))
+    met = materialise(join_by_size(kinds, multi, ["anchor"], "size").drop("size").unionByName(known), "shared-anchors")
     release(occ)
 
     mixed = met.where("not equal")
-    distinct = mixed.groupBy("anchor", "run").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("doc", "s", "n")).alias("one"))
-    distinct = materialise(distinct.select("anchor", "run", "c", "one.*"), "distinct-runs")
-    # Runs of an anchor that has no other run repeat without a look at their groups; of the others, those stay here whose run is repeated as a whole.
-    several = distinct.where("c > 1").select("anchor", "run", "c")
+    distinct = mixed.groupBy("anchor", "run").agg(F.sum("k").alias("c"), F.count_if(F.col("k") == 1).alias("size"), F.min(F.struct("doc", "s", "n")).alias("one"))
+    distinct = materialise(distinct.select("anchor", "run", "c", "size", "one.*"), "distinct-runs")
+    # Runs of an anchor that has no other run repeat without a look at their groups, and so do those that a text has several times; of the others, those
+    # stay here whose run is repeated as a whole.
+    several = distinct.where("c > 1 and size > 0").select("anchor", "run", "size")
     start = F.col("s").cast("bigint")
     ranges = lambda rows: rows.select("doc", start.alias("a"), (start + F.col("n")).alias("b"))
-    easy = ranges(met.where("equal")).unionByName(ranges(join_by_size(mixed, several, ["anchor", "run"], "c", "left_semi")))
+    easy = ranges(met.where("equal and k < 2")).unionByName(ranges(join_by_size(mixed.where("k = 1"), several, ["anchor", "run"], "size", "left_semi")))
 
     size = F.sum(F.col("n") + F.lit(length - 1))
     sized = materialise(distinct.groupBy("anchor").agg(size.alias("bytes"), F.count(F.lit(1)).alias("kinds")), "anchors")

@@ -584,6 +584,51 @@ def test_runs_without_a_second_kind_are_not_joined(spark, monkeypatch):
     assert equal == 0 and 0 < found <= looked_up
 
 
+def test_lines_said_over_and_over_are_not_joined(spark, monkeypatch):
+    """However often a text repeats a line, it takes one row of each kind of run to the joins; the result is that of brute force."""
+    seen = []
+    join = suffix_dedup.join_by_size
+
+    def watched(rows, groups, keys, size, how="inner"):
+        out = join(rows, groups, keys, size, how)
+        if keys in (["anchor"], ["anchor", "run"]):
+            seen.append((rows.count(), out.count()))
+        return out
+
+    monkeypatch.setattr(suffix_dedup, "join_by_size", watched)
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    line, edges = " ".join(word() for _ in range(12)), [(" ".join(word() for _ in range(40)), word()) for _ in range(12)]
+    counts = []
+    for times in (8, 80):
+        said = "\n".join([line] * times)
+        rows = [(i, f"{a}\n{said}{'' if i % 4 else b}\n{b}") for i, (a, b) in enumerate(edges)] + [(50, f"{line}\n" * 3 + edges[0][1])]
+        seen.clear()
+        got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.passage_digests(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+        assert got == {i: w[:4] for i, w in brute.repeated_bytes([(i, t.encode()) for i, t in rows]).items()}
+        counts.append([*seen])
+    assert counts[0] == counts[1]
+
+
+def test_kinds_of_runs():
+    """First places, counts and touching ranges, against loops; a text's runs never meet those of another text."""
+    rng = np.random.default_rng(5)
+    for size in (0, 1, 2, 60, 400):
+        which = np.sort(rng.integers(0, 4, size))
+        anchor, run = rng.integers(0, 5, size).astype(np.uint64), rng.integers(0, 3, size).astype(np.uint64)
+        n = rng.integers(1, 90, size)
+        s = np.cumsum(n) - n
+        first, k, a, b = suffix_dedup._kinds(which, s, n, anchor, run)
+        places = collections.defaultdict(list)
+        for i, kind in enumerate(zip(which.tolist(), anchor.tolist(), run.tolist(), strict=True)):
+            places[kind].append(i)
+        assert sorted(zip(first.tolist(), k.tolist(), strict=True)) == sorted((p[0], len(p)) for p in places.values())
+        inside = [i for x, y in zip(a.tolist(), b.tolist(), strict=True) for i in range(x, y + 1)]
+        assert inside == sorted(i for p in places.values() if len(p) > 1 for i in p)
+        assert all(which[x] == which[y] for x, y in zip(a, b, strict=True))
+        assert all(which[x] != which[y] or x > y + 1 for x, y in zip(a[1:], b[:-1], strict=True))
+
+
 def test_blocks_of_many_runs():
     """Blocks of all runs at once: aligned by the anchor, whole, and equal where their bytes are equal."""
     rng = random.Random(6)
