@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces
+from .common import in_pieces, pieces
 
 CHUNK, OVERLAP, WIDTH, STRIDE = 1024, 32, 12, 4
 EMBED, FILTERS, HIDDEN = 8, 32, 24
@@ -189,10 +189,10 @@ def score_documents(df: DataFrame, net: Network, id_col: str = "doc_id", text_co
 def keep_good(df: DataFrame, net: Network, threshold: float = 0.7, text_col: str = "text") -> DataFrame:
     """Rows of `df` with a score of at least `threshold`; columns as they are."""
 
-    @F.pandas_udf("double")
+    @F.arrow_udf("double")
     def scored(text):
-        import pandas as pd
+        import pyarrow as pa
 
-        return pd.Series(score(net, [t if t is not None else "" for t in text]))
+        return in_pieces(lambda texts: score(net, [t if t is not None else "" for t in texts]), pa.float64(), text)
 
     return df.where(scored(F.col(text_col)) >= threshold)

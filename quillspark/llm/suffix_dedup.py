@@ -28,7 +28,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bloom_filter, bloom_words, fresh, give_back, join_by_size, keyed_rows, materialise, maybe_in, mix64, pieces, release, semi_by_bloom
+from .common import bloom_filter, bloom_words, fresh, give_back, in_pieces, join_by_size, keyed_rows, materialise, maybe_in, mix64, pieces, release, semi_by_bloom
 from .difference_cover import repeated_windows
 
 GRAM = 24
@@ -333,8 +333,8 @@ def kept_bytes(data: bytes, ranges, length: int) -> tuple[bytes, int, int]:
     return np.frombuffer(data, np.uint8)[~gone].tobytes(), int(gone.sum()), starts
 
 
-def with_ranges(df: DataFrame, ranges: DataFrame, id_col: str, columns: list[str], name: str) -> DataFrame:
-    """`columns` of df with the document's ranges as `name`, null where there are none; documents without ranges aren't shuffled."""
+def with_ranges(df: DataFrame, ranges: DataFrame, id_col: str, columns: list[str], name: str) -> tuple[DataFrame, DataFrame]:
+    """`columns` of df with the document's ranges as `name`, null where there are none: the documents that may have some, and those that surely have none, which aren't shuffled."""
     per_doc = materialise(ranges.groupBy(F.col("doc").alias(id_col)).agg(F.collect_list(F.struct("a", "b")).alias(name)), "document-ranges")
     words = bloom_words(per_doc.count())
     h = F.xxhash64(F.col(id_col).cast("bigint"))
@@ -342,7 +342,7 @@ def with_ranges(df: DataFrame, ranges: DataFrame, id_col: str, columns: list[str
     marked = maybe_in(df.select(*columns), h, bloom_filter(per_doc.select(id_col), h, words), words, flag)
     none = F.lit(None).cast("array<struct<a:bigint,b:bigint>>")
     rest = marked.where(F.col(flag)).join(per_doc.hint("merge"), id_col, "left").select(*columns, name)
-    return marked.where(~F.col(flag)).select(*columns, none.alias(name)).unionByName(rest)
+    return rest, marked.where(~F.col(flag)).select(*columns, none.alias(name))
 
 
 def passage_digests(df: DataFrame, length: int = 200, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -364,21 +364,19 @@ def passage_digests(df: DataFrame, length: int = 200, id_col: str = "doc_id", te
 
     rows, key = keyed_rows(df, id_col, [id_col, text_col])
     (name,) = fresh(rows.columns, "ranges")
-    both = with_ranges(rows, repeated_ranges(rows, length, key, text_col), key, rows.columns, name).select(id_col, text_col, name)
-    return both.mapInArrow(run, f"{id_col} long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    some, none = with_ranges(rows, repeated_ranges(rows, length, key, text_col), key, rows.columns, name)
+    return none.unionByName(some).select(id_col, text_col, name).mapInArrow(run, f"{id_col} long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def drop_repeated_passages(df: DataFrame, length: int = 200, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """`df` with the repeated bytes cut out of the text column (a character cut in half goes wholly); other columns as they are."""
+    """`df` with the repeated bytes cut out of the text column (a character cut in half goes wholly); other columns as they are. Texts without repeats don't go to Python."""
 
-    @F.pandas_udf("string")
+    @F.arrow_udf("string")
     def cut(text, ranges):
-        import pandas as pd
-
         left = lambda t, r: t if t is None or r is None else kept_bytes(t.encode(), r, length)[0].decode("utf-8", "ignore")
-        return pd.Series([left(t, r) for t, r in zip(text, ranges, strict=True)], dtype=object)
+        return in_pieces(lambda ts, rs: [left(t, r) for t, r in zip(ts, rs, strict=True)], text.type, text, ranges)
 
     rows, key = keyed_rows(df, id_col, df.columns)
     (name,) = fresh(rows.columns, "ranges")
-    both = with_ranges(rows, repeated_ranges(rows, length, key, text_col), key, rows.columns, name)
-    return both.withColumn(text_col, cut(F.col(text_col), F.col(name))).select(*df.columns)
+    some, none = with_ranges(rows, repeated_ranges(rows, length, key, text_col), key, rows.columns, name)
+    return none.unionByName(some.withColumn(text_col, cut(F.col(text_col), F.col(name)))).select(*df.columns)

@@ -1,7 +1,8 @@
 """The pipeline's stages against brute force, each on its own input."""
 
 import corpus_pipeline
-from quillspark.llm import quality_cnn
+from pyspark.sql import functions as F
+from quillspark.llm import quality_cnn, suffix_dedup
 from quillspark.llm.common import materialise, table
 
 from . import brute
@@ -30,3 +31,34 @@ def test_stages(spark, small):
     packed = corpus_pipeline.run(spark, small)
     assert {r.doc_id for r in packed.select("doc_id").distinct().collect()} == set(before)
     assert quality_cnn.CHUNK and labels
+
+
+def batch_sizes(batches):
+    import pyarrow as pa
+
+    for b in batches:
+        yield pa.RecordBatch.from_arrays([pa.array([b.nbytes]), pa.array([b.num_rows])], names=["size", "n"])
+
+
+def test_short_batches(spark, small):
+    """Stages send all texts to Python, few at once; a session's own limit holds."""
+    key = corpus_pipeline.BATCH_KEY
+    long = spark.range(0, 6000, 1, 1).select("id", F.repeat(F.lit("x"), 3400).alias("text"))
+    docs = table(spark, small, "documents")
+    try:
+        for name, stage in corpus_pipeline.STAGES:
+            spark.conf.unset(key)
+            stage(spark, docs, small)
+            if name != "exact_dedup":
+                got = long.mapInArrow(batch_sizes, "size long, n long").collect()
+                assert sum(r.n for r in got) == 6000 and max(r.size for r in got) < 5 << 20
+        spark.conf.set(key, "1m")
+        corpus_pipeline.repeated_passages(spark, docs, small)
+        assert spark.conf.get(key) == "1m"
+    finally:
+        spark.conf.unset(key)
+
+
+def test_texts_without_repeats_stay_out_of_python(spark, docs):
+    plan = suffix_dedup.drop_repeated_passages(docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and plan.index("Union") < plan.index("ArrowEvalPython")
