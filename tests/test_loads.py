@@ -162,3 +162,42 @@ def test_hops_by_node_equal_hops_by_seed(spark, depth):
     first = spark.createDataFrame([(f"s{rng.randint(0, 20)}", rng.randint(0, 90)) for _ in range(50)], "seed string, node int")
     seeds = first.select("seed").where("seed != 's3'")
     assert rows(expand.expand_hops_by_node(seeds, first, edges, depth)) == rows(expand.expand_hops(seeds, first, edges, depth))
+
+
+def _odd_hops(spark, depth, name):
+    """A hub, a seed with most of the first nodes, repeated and missing nodes; `name` turns a node's number into its id."""
+    rng = random.Random(depth)
+    pairs = [(rng.randint(0, 90), rng.randint(0, 90)) for _ in range(150)] * 2 + [(5, i) for i in range(90)]
+    edges = spark.createDataFrame([(name(a), name(b)) for a, b in pairs] + [(None, name(3)), (name(3), None)], f"src {name.kind}, dst {name.kind}")
+    first = [(f"s{rng.randint(0, 20)}", rng.randint(0, 90)) for _ in range(50)] + [("s1", i) for i in range(0, 90, 2)] + [("s2", None), (None, 4)]
+    first = spark.createDataFrame([(s, None if n is None else name(n)) for s, n in first], f"seed string, node {name.kind}")
+    return first.select("seed").where("seed != 's3'"), first, edges
+
+
+def _text(n):
+    return f"node {n}"
+
+
+def _big(n):
+    return (n - 45) << 40
+
+
+_text.kind, _big.kind = "string", "long"
+
+
+@pytest.mark.parametrize("name", [_text, _big])
+@pytest.mark.parametrize("depth", [2, 3, 4, 5])
+def test_hops_by_node_over_many_slices_and_blocks(spark, depth, name):
+    seeds, first, edges = _odd_hops(spark, depth, name)
+    want = rows(expand.expand_hops(seeds, first, edges.where("src is not null and dst is not null"), depth))
+    assert rows(expand.expand_hops_by_node(seeds, first, edges, depth)) == want
+    assert rows(expand.expand_hops_by_node(seeds, first, edges, depth, pairs=40, rows=8)) == want
+
+
+def test_hops_by_node_shuffle_no_reached_rows(spark):
+    """Each of 60 seeds reaches 900 nodes in two hops; what is shuffled are seeds and edges."""
+    first = spark.createDataFrame([(s, 10_000 + s) for s in range(60)], "seed long, node long")
+    edges = spark.createDataFrame([(10_000 + s, n) for s in range(60) for n in range(900)], "src long, dst long")
+    out = expand.expand_hops_by_node(first.select("seed"), first, edges, 3)
+    assert out.count() == 60 * 901
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
