@@ -313,3 +313,17 @@ def test_unfilled_link_tables(spark):
     assert rows(terms) == [("1", "a", "1/s1")]
     lifted = links.lift_links(terms.select("term", "path"), spark.createDataFrame([("1/s1", "1")], "path string, cap string"), "path", "cap")
     assert rows(lifted) == [("a", "1")]
+
+
+def test_case_links_are_distinct_without_a_shuffle_of_all_edges(spark):
+    """Repeated references and pages, judgments under several citations, twice under one, without an id or a number."""
+    kind = "nid int, cases_ref array<struct<court:string,year:string,no:string>>"
+    a, b, c = ("A", "2001", "5"), ("B", "2001", "6"), ("C", "1999", "1")
+    pages = spark.createDataFrame([(1, [a, a, b]), (1, [a, c]), (2, [b, ("B", None, "6"), (None, "2001", "6")]), (3, [])], kind)
+    judgments = spark.createDataFrame(
+        [(7, "A", 2001, 5), (7, "A", 2001, 5), (8, "A", 2001, 5), (8, "B", 2001, 6), (8, "C", 1999, 1), (None, "A", 2001, 5), (None, "B", 2001, 6), (9, "B", 2001, None), (10, None, 2001, 6)], "id int, courtName string, year int, number int"
+    )
+    out = links.link_cases(pages, judgments)
+    assert sorted(rows(out), key=repr) == sorted([(1, 7), (1, 8), (1, None), (2, 8), (2, None)], key=repr)
+    plan = out._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    assert plan[0].startswith("Union") and "Aggregate" not in plan[1]
