@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.keys import terms
+from .nearest import nearest
 
 K1, B, RRF = 1.2, 0.75, 60
 #: Rows of (query, term) that are sent to all executors, after they were counted; more are met in a shuffled join.
@@ -119,18 +120,12 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
 
-def search_vector(queries: DataFrame, corpus: DataFrame, top: int, query: str = "query_id", q_vec: str = "q_vec", doc: str = "doc_id", vec: str = "vec", block: int = 256) -> DataFrame:
+def search_vector(queries: DataFrame, corpus: DataFrame, top: int, query: str = "query_id", q_vec: str = "q_vec", doc: str = "doc_id", vec: str = "vec") -> DataFrame:
     """(query, doc, score, rank) by exact cosine similarity.
 
-    The stated queries are packed in blocks of about `block`; each corpus row meets each block once, and all but the k best of each
-    partition are dropped before the shuffle.
+    All pairs are scored, as products of matrices of blocks of queries and blocks of the corpus (`nearest`); what may be among a query's best is scored anew, number by number.
     """
-    q = queries.select(query, doubles(F.col(q_vec)).alias("u"), norm(F.col(q_vec)).alias("nu"))
-    n = max(1, -(-queries.count() // block))
-    blocks = q.groupBy(F.pmod(F.xxhash64(query), F.lit(n)).cast("int").alias("block")).agg(F.collect_list(F.struct(F.col(query), "u", "nu")).alias("qs"))
-    c = corpus.select(F.col(doc), doubles(F.col(vec)).alias("v"), norm(F.col(vec)).alias("nv"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("block"))
-    scored = c.join(blocks, "block").select(doc, F.explode(F.transform("qs", lambda s: F.struct(s[query].alias(query), cosine(s["u"], F.col("v"), s["nu"], F.col("nv")).alias("score")))).alias("h"))
-    return rank_top(scored.select(f"h.{query}", doc, "h.score"), top, query, "score", doc)
+    return rank_top(nearest(queries, corpus, top, query, q_vec, doc, vec), top, query, "score", doc)
 
 
 def lsh_bits(rows: int) -> int:
