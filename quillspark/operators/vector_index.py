@@ -8,19 +8,17 @@ With `exact`, the lists' angles bound what they can hold: after the nearest list
 from __future__ import annotations
 
 import math
-import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import shared_folder
-from .retrieval import cosine, doubles, norm, rank_top, search_vector
-
-#: Rows in a block of queries that a list's rows meet at once.
-BLOCK = 64
+from ..session import materialise
+from .nearest import Vectors, nearest
+from .retrieval import norm, rank_top, search_vector
 
 
 @dataclass
@@ -69,15 +67,13 @@ def _with_lists(df: DataFrame, vec: str, centroids: np.ndarray, keep: list[str])
     kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep)
 
     def run(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
         for b in batches:
-            v = b.column(b.schema.get_field_index(vec))
-            rows = np.array([x if x is not None and len(x) == centroids.shape[1] else [0.0] * centroids.shape[1] for x in v.to_pylist()], float).reshape(b.num_rows, -1)
+            v = Vectors(b.column(b.schema.get_field_index(vec))).widened(centroids.shape[1])
+            rows = np.where((v.size == centroids.shape[1])[:, None], v.rows[:, : centroids.shape[1]], 0.0)
             sims = unit(rows) @ centroids.T
             best = sims.argmax(axis=1)
             best[~rows.any(axis=1)] = 0
-            fit = np.clip(sims[np.arange(len(rows)), best], -1, 1) if len(rows) else np.zeros(0)
+            fit = np.clip(np.nan_to_num(sims[np.arange(len(rows)), best], nan=-1.0), -1, 1) if len(rows) else np.zeros(0)
             yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(c)) for c in keep), pa.array(best.astype(np.int32)), pa.array(fit)], names=[*keep, "list", "fit"])
 
     return df.select(*keep).mapInArrow(run, f"{kinds}, list int, fit double")
@@ -98,14 +94,14 @@ def write_vector_index(
     Rows of a list are dealt to `parts` files by their document, so a list may hold any share of the rows.
     """
     spark = corpus.sparkSession
-    corpus = corpus.select(doc, doubles(F.col(vec)).alias(vec))
+    corpus = corpus.select(doc, vec)
     n = corpus.count()
     sample = [r[vec] for r in _bounded_rows(corpus.where(F.col(vec).isNotNull()), doc, [doc, vec], sample_rows).collect()]
     lists = lists or max(1, min(4096, len(sample) // 10, round(math.sqrt(n))))
     centroids = train_centroids(np.array(sample, float).reshape(len(sample), -1), lists)
     rows = _with_lists(corpus, vec, centroids, [doc, vec]).withColumn("nv", norm(F.col(vec)))
     dealt = rows.withColumn("_part", F.pmod(F.xxhash64(doc), F.lit(parts)))
-    dealt.repartition("list", "_part").drop("_part").write.mode("overwrite").partitionBy("list").parquet(f"{path}/lists")
+    dealt.repartition("list", "_part").drop("_part").sortWithinPartitions("list").write.mode("overwrite").parquet(f"{path}/lists")
     stored = spark.read.parquet(f"{path}/lists")
     about = stored.groupBy(F.col("list").cast("int").alias("list")).agg(F.count(F.lit(1)).alias("n"), F.min("fit").alias("fit"))
     about = {r["list"]: (r["n"], r["fit"]) for r in about.collect()}  # one row per list: 4096 at most
@@ -137,46 +133,34 @@ def open_vector_index(spark: SparkSession, path: str) -> VectorIndex:
     return VectorIndex(path, r["probes"], r["recall"], r["share"])
 
 
-def _probed(queries: DataFrame, about: list, probes: int, query: str, q_vec: str) -> DataFrame:
-    """(query, u, nu, list, place, bound): all lists for each query, nearest first; `bound` is the greatest cosine a list's rows can have with it."""
+def _asked(about: list, probes: int, further: str | None) -> Callable:
+    """Which lists a block of queries asks, as a matrix (queries x lists): the `probes` nearest, or else, with the name of the column that has the k-th score so far, all others that may hold a hit.
+
+    A list's `fit` bounds the cosine that its rows can have with a query; rows without a direction, in list 0, score 0.
+    """
     centroids = np.array([r["centroid"] for r in about], float)
     angle = np.arccos(np.clip([r["fit"] for r in about], -1, 1))
     filled = np.array([r["n"] > 0 for r in about])
-    kind = queries.schema[query].dataType.simpleString()
 
-    def run(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
-        for b in batches:
-            keys, lists, place, bounds = [], [], [], []
-            for i, v in enumerate(b.column(1).to_pylist()):
-                u = unit(np.array([v], float))[0]
-                sims = centroids @ u
-                bound = np.where(u.any(), np.cos(np.maximum(np.arccos(np.clip(sims, -1, 1)) - angle, 0)), 1.0)
-                bound[0] = max(bound[0], 0.0)  # rows without a direction score 0
-                order = np.argsort(-sims, kind="stable")
-                order = order[filled[order]]
-                keys += [i] * len(order)
-                lists.append(order)
-                # A query without a direction is as near to every list.
-                place.append(np.arange(len(order)) if u.any() else np.zeros(len(order), int))
-                bounds.append(bound[order])
-            flat = lambda x, kind: pa.array(np.concatenate(x) if x else np.zeros(0), kind)
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(keys, pa.int64())), flat(lists, pa.int32()), flat(place, pa.int32()), flat(bounds, pa.float64())], names=[query, "list", "place", "bound"])
-
-    return queries.select(query, q_vec).mapInArrow(run, f"`{query}` {kind}, list int, place int, bound double")
-
-
-def _score_lists(wanted: DataFrame, stored: DataFrame, q: DataFrame, top: int, query: str, doc: str, vec: str) -> DataFrame:
-    """The best `top` hits of wanted(query, list). Queries of a list meet its rows in blocks."""
-    blocked = wanted.select(query, "list").join(q, query).withColumn("_block", F.pmod(F.xxhash64(query), F.lit(1 << 20)))
-    # As many blocks for a list as its queries fill.
-    counts = wanted.groupBy("list").agg((F.floor(F.count(F.lit(1)) / BLOCK) + 1).alias("_blocks"))
-    blocked = blocked.join(counts, "list").groupBy("list", (F.col("_block") % F.col("_blocks")).alias("_block")).agg(F.collect_list(F.struct(F.col(query), "u", "nu")).alias("qs"))
-    scored = stored.join(blocked, "list").select(
-        doc, F.explode(F.transform("qs", lambda s: F.struct(s[query].alias(query), cosine(s["u"], F.col(vec), s["nu"], F.col("nv")).alias("score")))).alias("h")
-    )
-    return rank_top(scored.select(f"h.{query}", doc, "h.score"), top, query, "score", doc)
+    def run(t: pa.Table, v: Vectors) -> np.ndarray:
+        rows = v.widened(centroids.shape[1]).rows[:, : centroids.shape[1]]
+        u = unit(rows)
+        sims = u @ centroids.T
+        order = np.argsort(np.where(filled, -sims, np.inf), axis=1, kind="stable")
+        place = np.empty_like(order)
+        np.put_along_axis(place, order, np.arange(len(about))[None, :], axis=1)
+        # A query without a direction is as near to every list.
+        whole = rows.any(axis=1)
+        place[~whole] = 0
+        if further is None:
+            return filled & (place < probes)
+        bound = np.where(whole[:, None] & np.isfinite(sims), np.cos(np.maximum(np.arccos(np.clip(sims, -1, 1)) - angle, 0)), 1.0)
+        bound[:, 0] = np.maximum(bound[:, 0], 0.0)
+        least = t[further].fill_null(-2.0).to_numpy()
+        # Scores are rounded to 6 places, so bounds get that much room.
+        return filled & (place >= probes) & (bound >= least[:, None] - 2e-6)
+
+    return run
 
 
 def search_vector_index(
@@ -186,18 +170,13 @@ def search_vector_index(
     spark = queries.sparkSession
     probes = probes or index.probes
     about = spark.read.parquet(f"{index.path}/centroids").orderBy("list").collect()
-    stored = spark.read.parquet(f"{index.path}/lists").withColumn("list", F.col("list").cast("int"))
-    q = queries.where(F.col(q_vec).isNotNull()).select(query, doubles(F.col(q_vec)).alias("u"), norm(F.col(q_vec)).alias("nu"))
-    lists = _probed(q, about, probes, query, "u")
-    near = lists.where(F.col("place") < probes)
-    first = _score_lists(near, stored, q, top, query, doc, vec)
+    stored = spark.read.parquet(f"{index.path}/lists")
+    q = queries.where(F.col(q_vec).isNotNull()).select(query, q_vec)
+    first = rank_top(nearest(q, stored, top, query, q_vec, doc, vec, _asked(about, probes, None)), top, query, "score", doc)
     if not exact:
         return first
-    path = f"{shared_folder(spark)}/first-hits-{uuid.uuid4().hex}"
-    first.write.parquet(path)
-    first = spark.read.parquet(path)
-    # The k-th score so far; with fewer hits every list may add one. Scores are rounded to 6 places, so bounds get that much room.
+    first = materialise(first, "first-hits")
+    # The k-th score so far; with fewer hits every list may add one.
     least = first.where(F.col("rank") == top).select(query, F.col("score").alias("_least"))
-    more = lists.where(F.col("place") >= probes).join(least, query, "left").where(F.col("_least").isNull() | (F.col("bound") >= F.col("_least") - 2e-6))
-    second = _score_lists(more, stored, q, top, query, doc, vec)
-    return rank_top(first.drop("rank").unionByName(second.drop("rank")), top, query, "score", doc)
+    second = nearest(q.join(least, query, "left"), stored, top, query, q_vec, doc, vec, _asked(about, probes, "_least"), ("_least",))
+    return rank_top(first.drop("rank").unionByName(second), top, query, "score", doc)

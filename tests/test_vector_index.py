@@ -63,3 +63,10 @@ def test_odd_vectors(spark, tmp_path):
         assert pairs(vector_index.search_vector_index(q, index, top, probes=1, exact=True)) == want
     one = vector_index.write_vector_index(c.where("doc_id = 2"), str(tmp_path / "b"))
     assert len(pairs(vector_index.search_vector_index(q, one, 5))) == 3
+
+
+def test_lists_are_scored_without_a_row_for_each_pair(spark, tmp_path):
+    c = grouped(spark, 300)
+    index = vector_index.write_vector_index(c, str(tmp_path / "index"), lists=6)
+    plan = vector_index.search_vector_index(asked(c), index, 5, exact=True)._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "MapInArrow" in plan
