@@ -37,6 +37,7 @@ class Vectors:
         else:
             self.rows = flat.to_numpy(zero_copy_only=False).astype(float).reshape(n, dims)
         self.norm = np.sqrt(self._sum(lambda d: self.rows[:, d] * self.rows[:, d], n))
+        self.codes: np.ndarray | None = None
 
     def _sum(self, part: Callable, n: int) -> np.ndarray:
         total = np.zeros(n)

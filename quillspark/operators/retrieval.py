@@ -193,13 +193,48 @@ def lsh_candidates(queries: DataFrame, corpus: DataFrame, tables: int = 24, bits
     return q.join(c, "k").select(query, doc).distinct()
 
 
-def search_vector_lsh(queries: DataFrame, corpus: DataFrame, top: int, query: str = "query_id", q_vec: str = "q_vec", doc: str = "doc_id", vec: str = "vec", **index) -> DataFrame:
-    """Approximate neighbours: random-hyperplane buckets give candidates (`lsh_candidates`), exact cosine ranks them."""
-    q = queries.select(query, doubles(F.col(q_vec)).alias("u"), norm(F.col(q_vec)).alias("nu"))
-    c = corpus.select(doc, doubles(F.col(vec)).alias("v"), norm(F.col(vec)).alias("nv"))
-    pairs = lsh_candidates(queries, corpus, query=query, q_vec=q_vec, doc=doc, vec=vec, **index)
-    scored = pairs.join(q, query).join(c, doc).select(query, doc, cosine(F.col("u"), F.col("v"), F.col("nu"), F.col("nv")).alias("score"))
-    return rank_top(scored, top, query, "score", doc)
+def search_vector_lsh(
+    queries: DataFrame, corpus: DataFrame, top: int, query: str = "query_id", q_vec: str = "q_vec", doc: str = "doc_id", vec: str = "vec", tables: int = 24, bits: int | None = None, flips: int = 1, seed: int = 11
+) -> DataFrame:
+    """Approximate neighbours: random-hyperplane buckets tell which rows are candidates, as in `lsh_candidates`, exact cosine ranks them.
+
+    On scattered vectors few hyperplanes keep recall, and candidates are most of all pairs. So these aren't made as rows: blocks of both sides meet as in `search_vector`, and buckets are compared inside them.
+    """
+    import numpy as np
+
+    bits = bits or measured_bits(corpus, tables, flips, seed, doc=doc, vec=vec)
+    planes = _planes(tables, bits, corpus.agg(F.max(F.size(vec))).first()[0] or 0, seed)
+    power = 1 << np.arange(bits - 1, -1, -1)
+
+    def sides(v):
+        rows = v.rows[:, : planes.shape[2]]
+        d = np.einsum("nd,tbd->tnb", rows, planes[:, :, : rows.shape[1]], optimize=True)
+        return d, (d > 0) @ power
+
+    def probes_of(u):
+        d, own = sides(u)
+        near = np.argsort(np.abs(d), axis=2, kind="stable")[:, :, :flips]
+        return np.concatenate([own[:, :, None], own[:, :, None] ^ power[near]], axis=2)
+
+    def allowed(u, v):
+        # A block meets many others: its codes are worked out once.
+        u.codes = probes = probes_of(u) if u.codes is None else u.codes
+        v.codes = codes = sides(v)[1] if v.codes is None else v.codes
+
+        def may(i, j):
+            left = np.arange(len(i))
+            ok = np.zeros(len(i), bool)
+            for t in range(tables):
+                # Only pairs that no table has joined so far.
+                p, c = probes[t][i[left]], codes[t][j[left]]
+                hit = (p == c[:, None]).any(axis=1)
+                ok[left[hit]] = True
+                left = left[~hit]
+            return ok
+
+        return may
+
+    return rank_top(nearest(queries, corpus, top, query, q_vec, doc, vec, allowed=allowed), top, query, "score", doc)
 
 
 def fuse(legs: list[DataFrame], top: int, query: str = "query_id", doc: str = "doc_id") -> DataFrame:

@@ -62,3 +62,20 @@ def test_rounding_is_sparks(spark):
     x = np.concatenate([np.random.default_rng(2).normal(size=3000), np.arange(-50, 50) / 1e6 + 0.5e-6, [0.1234565, -0.9999995, 1.0, -0.0, 0.0, math.nan, math.inf, 1.0000005, 2.5e-6]])
     df = spark.createDataFrame([(i, float(v)) for i, v in enumerate(x)], "i int, x double").selectExpr("i", "round(x, 6) as r").toPandas().sort_values("i")
     assert np.array_equal(df["r"].to_numpy(), nearest.rounded(x), equal_nan=True)
+
+
+def test_lsh_ranks_its_candidates_without_rows_for_them(spark):
+    rng = np.random.default_rng(4)
+    v = rng.normal(size=(30, 8))[np.arange(900) % 30] + 0.3 * rng.normal(size=(900, 8))
+    rows = [(i, x.tolist()) for i, x in enumerate(v)] + [(900, None)]
+    c = spark.createDataFrame(rows, "doc_id long, vec array<double>").repartition(3)
+    q = c.where("doc_id % 50 = 0 and vec is not null").selectExpr("doc_id as query_id", "vec as q_vec")
+    for tables, bits in ((3, 4), (2, 9)):
+        out = retrieval.search_vector_lsh(q, c, 10, tables=tables, bits=bits)
+        pairs = {tuple(r) for r in retrieval.lsh_candidates(q, c, tables=tables, bits=bits).collect()}
+        want = set()
+        for i in sorted({p[0] for p in pairs}):
+            hits = sorted((-score(rows[i][1], rows[d][1]), d) for k, d in pairs if k == i)[:10]
+            want |= {(i, d, -s, n) for n, (s, d) in enumerate(hits, 1)}
+        assert found(out) == want
+        assert "Generate" not in out._jdf.queryExecution().executedPlan().toString()
