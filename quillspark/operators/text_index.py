@@ -12,8 +12,12 @@ from __future__ import annotations
 
 import math
 import uuid
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -74,18 +78,66 @@ def _live(rows: DataFrame, spark: SparkSession, index: TextIndex, log: list) ->
     return rows.join(_deletes(spark, index, log).withColumnRenamed("old", "seq"), ["doc", "seq"], "left_anti")
 
 
+def _counted(tokens: DataFrame, doc_type: str) -> DataFrame:
+    """(term, doc, tf, len): a document's terms are counted where its row is, as a document is one row."""
+
+    def run(batches: Iterator) -> Iterator:
+        for b in batches:
+            lists = b.column(b.schema.get_field_index("terms"))
+            at = pc.list_parent_indices(lists)
+            t = pa.table({"at": at, "term": pc.list_flatten(lists)}).group_by(["at", "term"]).aggregate([([], "count_all")])
+            own = t["at"].combine_chunks()
+            columns = [t["term"].combine_chunks(), b.column(b.schema.get_field_index("doc")).take(own), t["count_all"].combine_chunks(), b.column(b.schema.get_field_index("len")).take(own)]
+            yield pa.RecordBatch.from_arrays(columns, names=["term", "doc", "tf", "len"])
+
+    return tokens.select("doc", "len", "terms").mapInArrow(run, f"term string, doc {doc_type}, tf long, len long")
+
+
+def _cut(placed: DataFrame, doc_type: str) -> DataFrame:
+    """Rows of one term and block, which follow each other, as one row."""
+
+    def blocks(t: pa.Table) -> pa.RecordBatch:
+        t = t.combine_chunks()
+        first = np.concatenate([[0], _changes(t), [len(t)]])
+        heads = pa.array(first[:-1])
+        tf, size = t["tf"].to_numpy(), t["len"].to_numpy()
+        rows = pa.StructArray.from_arrays([t[c].combine_chunks() for c in ("doc", "tf", "len")], names=["doc", "tf", "len"])
+        columns = [t["bucket"].combine_chunks().take(heads), t["term"].combine_chunks().take(heads), t["block"].combine_chunks().take(heads), pa.array(np.diff(first))]
+        columns += [pa.array(np.maximum.reduceat(tf, first[:-1])), pa.array(np.minimum.reduceat(size, first[:-1])), pa.ListArray.from_arrays(pa.array(first, pa.int32()), rows)]
+        return pa.RecordBatch.from_arrays(columns, names=["bucket", "term", "block", "n", "max_tf", "min_len", "postings"])
+
+    def run(batches: Iterator) -> Iterator:
+        rest = None
+        for b in batches:
+            t = pa.Table.from_batches([b])
+            t = (t if rest is None else pa.concat_tables([rest, t])).combine_chunks()
+            ends = _changes(t)
+            rest = t
+            if len(ends):
+                yield blocks(t.slice(0, ends[-1]))
+                rest = t.slice(ends[-1])
+        if rest is not None and rest.num_rows:
+            yield blocks(rest)
+
+    return placed.select("bucket", "term", "block", "doc", "tf", "len").mapInArrow(
+        run, f"bucket int, term string, block long, n long, max_tf long, min_len long, postings array<struct<doc:{doc_type},tf:long,len:long>>"
+    )
+
+
+def _changes(t: pa.Table) -> np.ndarray:
+    """Where another term or block begins."""
+    block, term = t["block"].to_numpy(), t["term"].combine_chunks()
+    return np.flatnonzero((block[1:] != block[:-1]) | pc.not_equal(term[1:], term[:-1]).to_numpy(zero_copy_only=False)) + 1
+
+
 def _write_blocks(tokens: DataFrame, folder: str, buckets: int, avg: float) -> None:
-    flat = tokens.select("doc", "len", F.explode("terms").alias("term")).groupBy("term", "doc", "len").agg(F.count(F.lit(1)).alias("tf"))
-    flat = flat.withColumn("impact", _impact(F.col("tf"), F.col("len"), avg))
-    order = ["term", F.desc("impact"), "doc"]
+    """Postings are shuffled once, into ranges by bucket, term and impact; counting before and cutting in blocks after need no other shuffle. A stop word's postings go to as many ranges as they fill, so it isn't one task."""
+    doc_type = tokens.schema["doc"].dataType.simpleString()
+    flat = _counted(tokens, doc_type).withColumn("bucket", _bucket(buckets))
+    order = ["bucket", "term", _impact(F.col("tf"), F.col("len"), avg).desc(), "doc"]
     placed = flat.repartitionByRange(*order).sortWithinPartitions(*order)
     placed = placed.withColumn("block", F.shiftright(F.monotonically_increasing_id(), BLOCK_BITS))
-    blocks = placed.groupBy("term", "block").agg(
-        F.count(F.lit(1)).alias("n"), F.max("tf").alias("max_tf"), F.min("len").alias("min_len"), F.collect_list(F.struct("doc", "tf", "len")).alias("postings")
-    )
-    # A stop word's blocks go to several files, so that it isn't one task.
-    blocks = blocks.withColumn("bucket", _bucket(buckets)).withColumn("_part", F.pmod("block", F.lit(8)))
-    blocks.repartition("bucket", "_part").drop("_part").sortWithinPartitions("bucket", "term", "block").write.partitionBy("bucket").parquet(f"{folder}/blocks")
+    _cut(placed, doc_type).write.partitionBy("bucket").parquet(f"{folder}/blocks")
 
 
 def _add_segment(spark: SparkSession, index: TextIndex, seq: int, kind: str, docs: DataFrame | None, tokens: DataFrame | None, removed: DataFrame | None, log: list) -> None:

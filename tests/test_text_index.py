@@ -97,3 +97,10 @@ def test_empty_corpus_and_text_ids(spark, tmp_path, queries):
     q = queries.where("query_id = 92")
     assert [r.doc_id for r in text_index.search_text_index(q, index, 5).orderBy("rank").collect()] == ["y", "x"]
     assert text_index.search_text_index(q.limit(0), index, 5).count() == 0
+
+
+def test_terms_are_counted_without_a_shuffle(spark):
+    tokens = spark.createDataFrame([(1, 3, ["a", "b", "a"]), (2, 0, []), (3, 1, ["b"])], "doc long, len long, terms array<string>")
+    out = text_index._counted(tokens, "bigint")
+    assert sorted(map(tuple, out.select("doc", "term", "tf", "len").collect())) == [(1, "a", 2, 3), (1, "b", 1, 3), (3, "b", 1, 1)]
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
